@@ -35,6 +35,7 @@ FORMATTING = r"[*_#`\[\]{}|]|^\s*[-•]|^\s*[0-9]+[.)]|\n"
 # Below this k Spark cuts each task's rows to k per latent before the shuffle.
 _LIMIT_PUSHED_BELOW = 1_000
 _SALTS = 64
+_TIE_DECIMALS = 9
 
 
 def top_activations(z: DataFrame, k: int) -> DataFrame:
@@ -44,7 +45,8 @@ def top_activations(z: DataFrame, k: int) -> DataFrame:
     latent before the exchange, so a hot latent does not reach one task whole.
     For a large ``k``, where that does not apply, a salted round comes first.
     """
-    order = [F.desc("z"), F.asc("doc_id"), F.asc("tok_pos")]
+    # Equal vectors must tie, though a product may differ in its last bits.
+    order = [F.desc(F.round("z", _TIE_DECIMALS)), F.asc("doc_id"), F.asc("tok_pos")]
     rows = z
     if k >= _LIMIT_PUSHED_BELOW:
         salt = F.pmod(F.xxhash64("doc_id", "tok_pos"), F.lit(_SALTS))

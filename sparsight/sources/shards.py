@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsight.operators.ordering import index_documents
@@ -45,6 +52,58 @@ def repack(
     )
 
 
+def write_vectors_f16(
+    df: DataFrame, path: str, vector: str = "activation", target: int = TARGET_BYTES
+) -> int:
+    """Write vectors as fixed-size lists of half floats, a type Spark has not.
+
+    Each task writes files named after its partition, under a passing name
+    first, so that a repeated task replaces its own files and nothing else.
+    ``path`` is on storage all executors share. Returns the number of files.
+    """
+    width = df.select(F.size(vector).alias("n")).first()["n"]
+    limit = rows_per_file(width, 2, target)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store.create_dir(root, recursive=True)
+        held, rows, files = [], 0, 0
+
+        def flush() -> None:
+            nonlocal held, rows, files
+            table = pa.Table.from_batches(held)
+            flat = table[vector].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            half = pa.FixedSizeListArray.from_arrays(
+                pa.array(flat.astype(np.float16), pa.float16()), width
+            )
+            at = table.column_names.index(vector)
+            table = table.set_column(at, vector, half)
+            final = f"{root}/part-{context.partitionId():05d}-{files:05d}.parquet"
+            passing = f"{root}/.{context.taskAttemptId()}-{files:05d}"
+            with store.open_output_stream(passing) as sink:
+                pq.write_table(
+                    table, sink, compression="zstd", row_group_size=ROW_GROUP_ROWS,
+                    data_page_size=PAGE_BYTES,
+                )
+            store.move(passing, final)
+            held, rows, files = [], 0, files + 1
+
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, limit - rows)
+                held.append(part)
+                rows += part.num_rows
+                batch = batch.slice(part.num_rows)
+                if rows == limit:
+                    flush()
+        if rows:
+            flush()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return df.mapInArrow(write, "files long").agg(F.sum("files")).first()[0]
+
+
 def write_jsonl(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     df.select(*(columns or ["text"])).write.mode("overwrite").json(path)
 
