@@ -11,7 +11,11 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
+
+# Types rather than type names: workers import this module without a context.
+_CODES = T.ArrayType(T.IntegerType())
+_FLOATS = T.ArrayType(T.FloatType())
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -78,27 +82,27 @@ def _f16_values(codes: pa.Array) -> np.ndarray:
     return bits.view(np.float16).astype(np.float32)
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(_CODES)
 def bf16_codes(array: pa.Array) -> pa.Array:
     return _per_element(array, _bf16_codes, pa.int32())
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(_FLOATS)
 def bf16_values(array: pa.Array) -> pa.Array:
     return _per_element(array, _bf16_values, pa.float32())
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(_CODES)
 def f16_codes(array: pa.Array) -> pa.Array:
     return _per_element(array, _f16_codes, pa.int32())
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(_FLOATS)
 def f16_values(array: pa.Array) -> pa.Array:
     return _per_element(array, _f16_values, pa.float32())
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(_FLOATS)
 def f16_bytes_to_floats(array: pa.Array) -> pa.Array:
     def decode(cells: pa.Array) -> np.ndarray:
         raw = b"".join(cells.to_pylist())

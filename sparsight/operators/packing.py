@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sparsight.operators.ordering import running_total
+from sparsight.session import shuffle_partitions
 
 
 def segment_batches(
@@ -56,7 +57,10 @@ def pack(
             F.slice("seq", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("ids"),
         ).alias("segment"),
     )
-    blocks = pieces.groupBy("block_id").agg(
+    # The exchange of the groupBy, but with a fixed number of partitions: blocks
+    # are small next to the model run they feed, so tasks must not be merged.
+    placed = pieces.repartition(shuffle_partitions(seqs.sparkSession), "block_id")
+    blocks = placed.groupBy("block_id").agg(
         F.sum(F.size("segment.ids")).cast("int").alias("n_tokens"),
         F.sort_array(F.collect_list("segment")).alias("segments"),
     )

@@ -131,7 +131,7 @@ def _step_gradient(
         if total is not None:
             for at in range(0, m + 1, per_group):
                 piece = total[at : at + per_group].tobytes()
-                yield pa.RecordBatch.from_pydict({"at": [at], "g": [piece]})
+                yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int32()), "g": [piece]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(g) for g in group["g"])
