@@ -33,15 +33,17 @@ def long_enough(text: Column) -> Column:
 
 
 def short_enough(text: Column) -> Column:
-    return F.length(strip(text)) < MAX_CHARS
+    """Text that is short as it stands need not be stripped to know."""
+    return (F.length(text) < MAX_CHARS) | (F.length(strip(text)) < MAX_CHARS)
 
 
 def not_all_upper(text: Column) -> Column:
     """Caseless scripts count as upper case, so they are rejected as well.
 
-    White space has no case, so the text need not be stripped for this.
+    White space has no case, so the text need not be stripped for this. One
+    ASCII letter in lower case settles it without building the upper-case copy.
     """
-    return F.upper(text) != text
+    return text.rlike("[a-z]") | (F.upper(text) != text)
 
 
 def not_numeric(text: Column) -> Column:

@@ -100,9 +100,8 @@ def import_marked(df: DataFrame, key: list[str], text: str = "text") -> DataFram
     lines = F.filter(
         F.transform(F.split(F.col(text), "\n"), tx.strip), lambda line: line != ""
     )
-    rows = df.select(*key, F.posexplode(lines).alias("rank", "_line")).withColumn(
-        "_tokens", tx.words(F.ltrim(F.col("_line"), F.lit(LINE_NUMBERING)))
-    )
+    cells = F.transform(lines, lambda line: tx.words(F.ltrim(line, F.lit(LINE_NUMBERING))))
+    rows = df.select(*key, F.posexplode(cells).alias("rank", "_tokens"))
     at = F.array_position(F.transform("_tokens", is_marked), True)
 
     def clean(token: Column, i: Column) -> Column:

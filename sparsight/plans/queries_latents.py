@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparsight.functions import text as tx
 from sparsight.operators import budget, latents, tokens
 from sparsight.plans import flows
-from sparsight.plans.catalogue import (
-    EXAMPLES, LENGTHS, TOKEN_CODES, TOP, VOCAB, WORDS, query, r,
-)
+from sparsight.plans.catalogue import EXAMPLES, LENGTHS, TOKEN_CODES, TOP, WORDS, query, r
+from sparsight.sources.corpus import spread
 
 _SPACE = tx.SPACE_RUN
 
@@ -99,27 +98,29 @@ split_ AS (SELECT conv_id, turn, rank, line,
     CASE WHEN trim(ltrim(line, '0123456789. '), '{tx.WHITESPACE}') = '' THEN []::VARCHAR[]
     ELSE string_split_regex(trim(ltrim(line, '0123456789. '), '{tx.WHITESPACE}'), '{_SPACE}') END
     AS w FROM numbered),
-marked AS (SELECT *, 1 + length(line) % greatest(len(w), 1) AS at FROM split_),
+marked AS (SELECT *, 1 + length(line) % greatest(len(w), 1) AS spot FROM split_),
 imported AS (SELECT conv_id, turn, rank, len(w) AS n, list_transform(w, lambda x, i:
-    CASE WHEN i = at THEN '<<' || trim(x, '<>') || '>>' ELSE x END) AS tokens FROM marked)"""
+    CASE WHEN i = spot THEN '<<' || trim(x, '<>') || '>>' ELSE x END) AS tokens FROM marked)"""
 
 
 def _marked_turns(spark: SparkSession, folder: str) -> DataFrame:
-    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    turns = spread(spark.read.parquet(f"{folder}/conversations.parquet"), "conv_id")
+
+    def cut(line):
+        body = F.ltrim(line, F.lit(latents.LINE_NUMBERING))
+        return F.struct(line.alias("line"), tx.words(body).alias("w"))
 
-    def mark(line):
-        stripped = tx.strip(line)
-        body = F.ltrim(stripped, F.lit(latents.LINE_NUMBERING))
-        w = tx.words(body)
-        at = 1 + F.length(stripped) % F.greatest(F.size(w), F.lit(1))
+    def mark(cell):
+        at = F.length(cell["line"]) % F.greatest(F.size(cell["w"]), F.lit(1))
         put = F.transform(
-            w, lambda x, i: F.when(i + 1 == at, F.concat(F.lit("<<"), x, F.lit(">>"))).otherwise(x)
+            cell["w"],
+            lambda x, i: F.when(i == at, F.concat(F.lit("<<"), x, F.lit(">>"))).otherwise(x),
         )
         # a line of numbering alone keeps its place, without words
-        return F.when(F.size(w) > 0, F.array_join(put, " ")).otherwise(stripped)
+        return F.when(F.size(cell["w"]) > 0, F.array_join(put, " ")).otherwise(cell["line"])
 
-    lines = F.transform(F.split("text", "\n"), mark)
-    return turns.withColumn("text", F.array_join(lines, "\n"))
+    lines = F.transform(F.transform(F.split("text", "\n"), tx.strip), cut)
+    return turns.withColumn("text", F.array_join(F.transform(lines, mark), "\n"))
 
 
 @query(f"""WITH {_LINES}

@@ -11,7 +11,6 @@ from sparsight.plans.catalogue import GOOD, LENGTHS, WORDS, query, r
 from sparsight.session import scratch_path
 from sparsight.streaming import ingest
 
-BUCKETS = 4
 BLOCK = 128
 
 
@@ -58,14 +57,17 @@ def streamed_rms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {LENGTHS},
-buckets AS (SELECT source || '-' || doc_id % 4 AS bucket, sum(n)::BIGINT AS n FROM lengths GROUP BY 1)
+buckets AS (SELECT source || '-' || substr(md5(doc_id::VARCHAR), 1, 1) AS bucket, sum(n)::BIGINT AS n FROM lengths GROUP BY 1)
 SELECT bucket, n // 128 AS n_blocks, (n // 128) * 128 AS n_tokens FROM buckets WHERE n >= 128""")
 def streamed_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks per (source, part); the words' hashes stand in for their ids."""
+    """Blocks per (source, hash of the document), so that a source that holds
+    much of the corpus is packed by many tasks. Word hashes stand in for ids.
+    """
+    part = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
     docs = quality_good(_documents(spark, folder))
     ids = F.transform(tx.words(F.col("text")), lambda w: F.pmod(F.hash(w), F.lit(1 << 30)) + 2)
     seqs = docs.select(
-        F.concat_ws("-", "source", (F.col("doc_id") % BUCKETS).cast("string")).alias("bucket"),
+        F.concat_ws("-", "source", part).alias("bucket"),
         "doc_id",
         F.concat(F.array(F.lit(0)), ids, F.array(F.lit(1))).alias("seq"),
     )
