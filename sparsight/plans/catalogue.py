@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsight.functions.text import SPACE_RUN, WHITESPACE
+from sparsight.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,7 @@ def query(sql: str | None = None, exact: tuple[str, ...] = ()) -> Callable[[Quer
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return _plain(fn(spark, folder), exact)
 
         QUERIES[fn.__name__] = run
