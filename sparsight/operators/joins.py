@@ -16,7 +16,7 @@ def lookup_join(
     max_bytes: int = BROADCAST_BYTES,
     salts: int = 32,
 ) -> DataFrame:
-    """Attach ``right`` (unique on ``on``) to a left side with hot keys.
+    """Attach a small ``right`` to a left side with hot keys.
 
     ``row_bytes`` bounds one row of ``right``. Where count x row_bytes fits,
     the right side is broadcast. Otherwise every right row is copied ``salts``

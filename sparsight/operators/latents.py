@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparsight.functions import text as tx
+from sparsight.operators.joins import lookup_join
+from sparsight.session import materialize
 
 # The texts of the explanation prompt.
 SYSTEM_PROMPT = (
@@ -36,6 +38,7 @@ FORMATTING = r"[*_#`\[\]{}|]|^\s*[-•]|^\s*[0-9]+[.)]|\n"
 _LIMIT_PUSHED_BELOW = 1_000
 _SALTS = 64
 _TIE_DECIMALS = 9
+_HIT_BYTES = 96
 
 
 def top_activations(z: DataFrame, k: int) -> DataFrame:
@@ -66,16 +69,20 @@ def with_context(
 ) -> DataFrame:
     """Add the words around each hit: ``before``, ``token``, ``after``.
 
-    Position 0 is BOS, so word ``tok_pos`` counts from 1. The stretch is cut
-    out of the document, so that no token table is exploded or joined.
+    Position 0 is BOS, so word ``tok_pos`` counts from 1. The hits are few, k
+    per latent: they are written and, where their number allows, broadcast, so
+    that the documents stay where they are and only those hit are split.
     """
-    joined = top.join(documents.select("doc_id", tx.words(F.col(text)).alias("_w")), "doc_id")
+    hits = materialize(top, "hits")
+    joined = lookup_join(
+        documents.select("doc_id", text), hits, ["doc_id"], row_bytes=_HIT_BYTES
+    ).withColumn("_w", tx.words(F.col(text)))
     first = F.greatest(F.col("tok_pos") - width, F.lit(1))
     return (
         joined.withColumn("before", F.slice("_w", first, F.col("tok_pos") - first))
         .withColumn("token", F.element_at("_w", F.col("tok_pos")))
         .withColumn("after", F.slice("_w", F.col("tok_pos") + 1, F.lit(width)))
-        .drop("_w")
+        .drop("_w", text)
     )
 
 

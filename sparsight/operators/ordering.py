@@ -92,9 +92,8 @@ def rank_rows(df: DataFrame, order: list[Column], out: str, start: int = 0) -> D
     Range partitions split even a run of equal leading values. The written
     copy pins each row's partition, so the two passes over it agree.
     """
-    n = shuffle_partitions(df.sparkSession)
     ranged = (
-        df.repartitionByRange(n, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_mono", F.monotonically_increasing_id())
     )

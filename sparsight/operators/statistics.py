@@ -183,8 +183,11 @@ def dim_token_corr(acts: DataFrame, token: str = "token_id") -> DataFrame:
     Pearson's r against a 0/1 indicator needs only the sums inside the token
     and over everything; the latter follow from the former.
     """
-    inside = _elements(acts, token).groupBy(token, "dim").agg(
-        F.count("*").alias("n_in"), F.sum(_x()).alias("s_in"), F.sum(_x() * _x()).alias("q_in")
+    inside = materialize(  # one pass over the activations, two over their sums
+        _elements(acts, token).groupBy(token, "dim").agg(
+            F.count("*").alias("n_in"), F.sum(_x()).alias("s_in"), F.sum(_x() * _x()).alias("q_in")
+        ),
+        "token-sums",
     )
     whole = inside.groupBy("dim").agg(
         F.sum("n_in").alias("n"), F.sum("s_in").alias("s"), F.sum("q_in").alias("q")

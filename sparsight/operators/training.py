@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparsight.functions.vectors import to_matrix
+from sparsight.functions.vectors import from_matrix, to_matrix
 from sparsight.operators.autoencoder import (
     INITIAL_THRESHOLD, SAE_SCHEMA, Block, blocks_of, sae_init,
 )
@@ -164,23 +164,23 @@ class _Adam:
         return -lr * m_hat / (np.sqrt(v_hat) + ADAM_EPS)
 
 
-def _lots(acts: DataFrame, key: str, vector: str, cfg: FitConfig) -> tuple[DataFrame, int, int]:
+def _lots(
+    acts: DataFrame, keys: list[str], vector: str, cfg: FitConfig
+) -> tuple[DataFrame, int, int]:
     """The written table, its number of lots, and batches per lot."""
     n = acts.count()
     batches = max(1, n // cfg.batch_rows)
     lots = min(batches, cfg.max_lots)
     hashed = acts.select(
-        F.col(key).alias("key"),
-        F.col(vector).alias("x"),
-        F.pmod(F.xxhash64(F.lit(cfg.seed), F.col(key)), F.lit(lots)).cast("int").alias("lot"),
-    ).repartition(lots, "lot")
+        F.xxhash64(F.lit(cfg.seed), *keys).alias("key"), F.col(vector).alias("x")
+    ).withColumn("lot", F.pmod("key", F.lit(lots)).cast("int")).repartition(lots, "lot")
     return materialize(hashed, "training", ["lot"]), lots, math.ceil(batches / lots)
 
 
 def sae_fit(
     acts: DataFrame,
     cfg: FitConfig,
-    key: str = "vec_id",
+    keys: tuple[str, ...] = ("vec_id",),
     vector: str = "activation",
     initial: DataFrame | None = None,
 ) -> Fit:
@@ -188,9 +188,10 @@ def sae_fit(
 
     A step takes one lot, or a hashed share of one where lots are larger than
     a batch. Lots come in a new order, and shares are cut anew, every epoch.
+    ``keys`` name a row, so that rows spread evenly over the lots.
     """
     spark = acts.sparkSession
-    table, lots, shares = _lots(acts, key, vector, cfg)
+    table, lots, shares = _lots(acts, list(keys), vector, cfg)
     width = table.select(F.size("x").alias("n")).first()["n"]
     if (2 * width + 2) * cfg.d_sae * 8 > _MAX_PARAMETER_BYTES:
         raise ValueError("parameters exceed what the driver may hold")
@@ -252,13 +253,14 @@ def sae_fit(
 
 
 def _parameters(spark: SparkSession, latent, w_enc, b_enc, log_theta, w_dec) -> DataFrame:
-    rows = pd.DataFrame(
+    table = pa.table(
         {
-            "latent": latent, "w_enc": list(w_enc), "b_enc": b_enc,
-            "log_threshold": log_theta, "w_dec": list(w_dec),
+            "latent": pa.array(latent, pa.int32()),
+            "w_enc": from_matrix(w_enc, pa.float64()), "b_enc": b_enc,
+            "log_threshold": log_theta, "w_dec": from_matrix(w_dec, pa.float64()),
         }
     )
-    return spark.createDataFrame(rows, SAE_SCHEMA)
+    return spark.createDataFrame(table, SAE_SCHEMA)
 
 
 def _log_table(spark: SparkSession, log: list[tuple]) -> DataFrame:

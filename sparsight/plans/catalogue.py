@@ -84,7 +84,7 @@ LENGTHS = WORDS + """,
 lengths AS (SELECT doc_id, source, len(w) + 2 AS n,
                    sum(len(w) + 2) OVER (ORDER BY doc_id) - len(w) - 2 AS off FROM words)"""
 
-EMB = """emb AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"""
+EMB = """emb AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS x FROM embeddings)"""
 CELLS = EMB + """,
 cells AS (SELECT vec_id, label, unnest(range(len(x))) AS dim, unnest(x) AS x FROM emb)"""
 DICT = CELLS + """,

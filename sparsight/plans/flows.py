@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsight.operators import autoencoder, extraction, latents, ordering, packing, tokens
 from sparsight.operators.filters import drop_special, quality_good
+from sparsight.session import materialize
 from sparsight.sources.corpus import read_corpus, read_vectors
 
 SPECIAL = [tokens.BOS_ID, tokens.EOS_ID]
@@ -17,6 +18,11 @@ TRUNCATE = 256
 WIDTH = 64
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus as scanned, for work that hardly touches the texts."""
+    return read_corpus(spark, f"{folder}/documents.parquet", heavy=False)
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     return read_corpus(spark, f"{folder}/documents.parquet")
 
@@ -74,7 +80,8 @@ def dictionary(spark: SparkSession, folder: str) -> DataFrame:
     )
     ordered = F.sort_array(F.collect_list(F.struct("dim", "m")))
     grouped = means.groupBy("latent").agg(F.transform(ordered, lambda c: c["m"]).alias("vector"))
-    return autoencoder.dictionary_from_vectors(grouped, threshold=THRESHOLD)
+    made = autoencoder.dictionary_from_vectors(grouped, threshold=THRESHOLD)
+    return materialize(made, "dictionary")  # read several times, made from all vectors once
 
 
 def vector_codes(spark: SparkSession, folder: str, **kwargs) -> DataFrame:

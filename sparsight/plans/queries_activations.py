@@ -169,7 +169,7 @@ SELECT split, count(*) AS n_rows, min(vec_id) AS first_key, max(vec_id) AS last_
 FROM sharded GROUP BY split""")
 def numbered_shards(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "shards")
-    shards.write_shards(_sharded(spark, folder), path)
+    shards.write_shards(_sharded(spark, folder), path, clustered=True)
     return spark.read.parquet(path).groupBy("split").agg(
         F.count("*").alias("n_rows"), F.min("vec_id").alias("first_key"),
         F.max("vec_id").alias("last_key"),
@@ -179,14 +179,14 @@ def numbered_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_SHARDED} SELECT vec_id, label FROM sharded WHERE split = 'train_00002'")
 def one_split(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "shards")
-    shards.write_shards(_sharded(spark, folder), path)
+    shards.write_shards(_sharded(spark, folder), path, clustered=True)
     return sources.read_split(spark, path, "train_00002").select("vec_id", "label")
 
 
 @query(f"""WITH {_SHARDED}
 SELECT split, count(*) AS n_rows, min(len(x)) AS min_len, max(len(x)) AS max_len,
   count(*) FILTER (len(x) <> 64) AS wrong_len, count(*) FILTER (vec_id IS NULL) AS no_key,
-  0 AS not_finite, count(DISTINCT vec_id) AS n_keys FROM sharded GROUP BY split""")
+  0::BIGINT AS not_finite, count(DISTINCT vec_id) AS n_keys FROM sharded GROUP BY split""")
 def shard_check(spark: SparkSession, folder: str) -> DataFrame:
     return shards.verify_shards(_sharded(spark, folder), flows.WIDTH, "vec_id")
 
@@ -198,7 +198,7 @@ def next_shard(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH {EMB}
 SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_keys, {r('sum(list_sum(x))', 'total')},
-       0 AS files_over_limit FROM emb""")
+       0::BIGINT AS files_over_limit FROM emb""")
 def repacked_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Files of 8 KiB of half floats, 64 vectors each at this width."""
     path, target = scratch_path(spark, "repacked"), 1 << 13
@@ -400,8 +400,8 @@ def dimension_token_correlation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {CELLS},
-layers AS (SELECT 0 AS layer, vec_id, x FROM cells
-           UNION ALL SELECT 1, vec_id, greatest(x, 0) FROM cells)
+layers AS (SELECT 0::BIGINT AS layer, vec_id, x FROM cells
+           UNION ALL SELECT 1::BIGINT, vec_id, greatest(x, 0) FROM cells)
 SELECT layer, count(DISTINCT vec_id) AS tokens, {r('avg(x)', 'mean')},
        {r('var_pop(x)', 'variance')}, {r('min(x)', 'lo')}, {r('max(x)', 'hi')},
        {r('sqrt(sum(x * x) / count(DISTINCT vec_id))', 'rms')} FROM layers GROUP BY layer""")

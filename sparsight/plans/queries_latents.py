@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsight.functions import text as tx
-from sparsight.operators import budget, latents, tokens
+from sparsight.operators import budget, latents
+from sparsight.operators.joins import lookup_join
 from sparsight.plans import flows
 from sparsight.plans.catalogue import EXAMPLES, LENGTHS, TOKEN_CODES, TOP, WORDS, query, r
+from sparsight.session import materialize
 from sparsight.sources.corpus import spread
 
 _SPACE = tx.SPACE_RUN
@@ -55,7 +57,13 @@ def explanation_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return latents.build_prompts(flows.examples(spark, folder))
 
 
-@query()
+@query(rf"""WITH {TOP},
+named AS (SELECT latent, rank, lower(trim(token, '.,;:!?')) AS name FROM top),
+firsts AS (SELECT latent, name, min(rank) AS rank FROM named GROUP BY ALL),
+said AS (SELECT latent, 'tokens like ' || string_agg(name, ' ' ORDER BY rank) AS explanation,
+                count(*) AS k FROM firsts GROUP BY latent)
+SELECT latent, n, explanation, k + 2 < 20 AND NOT regexp_matches(explanation, '{latents.FORMATTING}')
+  AS valid FROM said, (SELECT unnest(range(1, 4)) AS n)""")
 def latent_explanations(spark: SparkSession, folder: str) -> DataFrame:
     """Completions of the offline client, each with its check."""
     prompts = latents.build_prompts(flows.examples(spark, folder))
@@ -85,7 +93,8 @@ def latent_keywords(spark: SparkSession, folder: str) -> DataFrame:
     """The few winners, not the corpus, meet the vocabulary."""
     top = latents.latent_keywords(flows.token_codes(spark, folder), 3)
     names = flows.vocab(spark, folder).select("token_id", "token")
-    return top.join(names, "token_id").select("latent", "rank", "token_id", "token", "n", "max_z")
+    few = materialize(top, "keywords")
+    return lookup_join(names, few, ["token_id"], row_bytes=64).select("latent", "rank", "token_id", "token", "n", "max_z")
 
 
 # Conversations carry no marks. One word per line gets one, its place following

@@ -18,7 +18,7 @@ from sparsight.sources import corpus as sources, shards
 
 @query("SELECT doc_id, lang, source, n_chars, length(text) AS n_read FROM documents")
 def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return flows.corpus(spark, folder).select(
+    return flows.documents(spark, folder).select(
         "doc_id", "lang", "source", "n_chars", F.length("text").alias("n_read")
     )
 
@@ -50,7 +50,7 @@ def first_percent(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, source, md5(text) AS digest FROM documents ORDER BY doc_id LIMIT 100")
 def first_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = flows.documents(spark, folder)
     return sources.take_docs(docs, "doc_id", 100).select(
         "doc_id", "source", F.md5("text").alias("digest")
     )
@@ -109,13 +109,13 @@ def exact_duplicates_removed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, source FROM documents WHERE lang = 'es'")
 def language_subset(spark: SparkSession, folder: str) -> DataFrame:
-    return filters.by_language(flows.corpus(spark, folder), "es").select("doc_id", "source")
+    return filters.by_language(flows.documents(spark, folder), "es").select("doc_id", "source")
 
 
 @query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src7', 'src13')")
 def source_subset(spark: SparkSession, folder: str) -> DataFrame:
     names = ["src1", "src7", "src13"]
-    return filters.by_source(flows.corpus(spark, folder), names).select("doc_id", "source")
+    return filters.by_source(flows.documents(spark, folder), names).select("doc_id", "source")
 
 
 @query(f"""WITH {TOKENS}
@@ -268,9 +268,9 @@ def chunk_counts_by_source(spark: SparkSession, folder: str) -> DataFrame:
     n = F.floor((F.least(F.size(tx.words(F.col("text"))), F.lit(flows.TRUNCATE)) + 2) / flows.CHUNK)
     return (
         docs.select("source", n.alias("n"))
-        .where("n > 0")
         .groupBy("source")
-        .agg(F.sum("n").alias("n_chunks"), F.count("*").alias("n_docs"))
+        .agg(F.sum("n").alias("n_chunks"), F.count_if(F.col("n") > 0).alias("n_docs"))
+        .where("n_chunks > 0")
     )
 
 
@@ -354,13 +354,13 @@ def position_distribution(spark: SparkSession, folder: str) -> DataFrame:
 def pending_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The labelled documents count as done."""
     done = spark.read.parquet(f"{folder}/labels.parquet")
-    return shards.pending(flows.corpus(spark, folder), done).select("doc_id")
+    return shards.pending(flows.documents(spark, folder), done).select("doc_id")
 
 
 @query("""SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang""")
 def appended_shards(spark: SparkSession, folder: str) -> DataFrame:
     """One part per language, appended to one dataset again."""
-    docs = flows.corpus(spark, folder).select("doc_id", "lang", "n_chars")
+    docs = flows.documents(spark, folder).select("doc_id", "lang", "n_chars")
     parts = [filters.by_language(docs, x) for x in ("en", "es", "fr", "de")]
     return (
         shards.union_shards(*parts)

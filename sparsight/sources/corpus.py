@@ -30,9 +30,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Documents with an explicit schema; filters and columns reach the scan."""
-    return spread(spark.read.schema(CORPUS_SCHEMA).parquet(path), "doc_id")
+def read_corpus(spark: SparkSession, path: str, heavy: bool = True) -> DataFrame:
+    """Documents with an explicit schema; filters and columns reach the scan.
+
+    ``heavy`` says that work on the texts follows, see ``spread``.
+    """
+    docs = spark.read.schema(CORPUS_SCHEMA).parquet(path)
+    return spread(docs, "doc_id") if heavy else docs
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

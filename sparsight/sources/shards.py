@@ -29,9 +29,15 @@ def assign_shards(
     return indexed.withColumn("split", name).drop("_idx")
 
 
-def write_shards(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One folder per split; one task writes one split, of bounded size."""
-    df.repartition("split").write.mode(mode).partitionBy("split").parquet(path)
+def write_shards(df: DataFrame, path: str, mode: str = "append", clustered: bool = False) -> None:
+    """One folder per split.
+
+    Rows as ``assign_shards`` leaves them are ``clustered``: a task holds a
+    range of keys and so whole splits but for its ends, and they are written
+    where they are. Otherwise one exchange brings each split into one task.
+    """
+    placed = df if clustered else df.repartition("split")
+    placed.write.mode(mode).partitionBy("split").parquet(path)
 
 
 def rows_per_file(width: int, element_bytes: int = 2, target: int = TARGET_BYTES) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -64,32 +65,35 @@ def _packer(block: int):
             self.left = handle.getValueState("left", _LEFT_OVER)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-            ids, docs, positions, number = [], [], [], 0
+            held = [np.zeros(0, kind) for kind in (np.int32, np.int64, np.int32)]
+            number = 0
             if self.left.exists():
-                ids, docs, positions, number = (
-                    v if i == 3 else list(v) for i, v in enumerate(self.left.get())
-                )
-            for batch in rows:
-                for doc, seq in zip(batch["doc_id"], batch["seq"]):
-                    ids.extend(int(t) for t in seq)
-                    docs.extend([int(doc)] * len(seq))
-                    positions.extend(range(len(seq)))
-                full = len(ids) // block
+                *arrays, number = self.left.get()
+                held = [np.asarray(a, h.dtype) for a, h in zip(arrays, held)]
+            for batch in rows:  # at most one Arrow batch is held at a time
+                seqs = [np.asarray(s, np.int32) for s in batch["seq"]]
+                sizes = [len(s) for s in seqs]
+                docs = np.repeat(batch["doc_id"].to_numpy(np.int64), sizes)
+                positions = [np.arange(n, dtype=np.int32) for n in sizes]
+                held = [
+                    np.concatenate(parts)
+                    for parts in ([held[0], *seqs], [held[1], docs], [held[2], *positions])
+                ]
+                full = len(held[0]) // block
                 if full:
-                    cuts = [slice(i * block, (i + 1) * block) for i in range(full)]
+                    ids, docs, positions = (
+                        list(h[: full * block].reshape(full, block)) for h in held
+                    )
                     yield pd.DataFrame(
                         {
-                            "bucket": [key[0]] * full,
-                            "block_no": [number + i for i in range(full)],
-                            "docs": [docs[c] for c in cuts],
-                            "positions": [positions[c] for c in cuts],
-                            "ids": [ids[c] for c in cuts],
+                            "bucket": key[0],
+                            "block_no": np.arange(number, number + full),
+                            "docs": docs, "positions": positions, "ids": ids,
                         }
                     )
                     number += full
-                    used = full * block
-                    ids, docs, positions = ids[used:], docs[used:], positions[used:]
-            self.left.update((ids, docs, positions, number))
+                    held = [h[full * block :] for h in held]
+            self.left.update((*(h.tolist() for h in held), number))
 
         def close(self) -> None:
             pass

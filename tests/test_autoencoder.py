@@ -208,7 +208,7 @@ def test_training(spark):
 def test_a_step_reads_its_lot_only(spark, case):
     x, _ = case
     cfg = training.FitConfig(d_sae=4, batch_rows=10)
-    table, lots, shares = training._lots(acts(spark, x), "vec_id", "activation", cfg)
+    table, lots, shares = training._lots(acts(spark, x), ["vec_id"], "activation", cfg)
     assert (lots, shares) == (6, 1)
     plan = table.where("lot = 3")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(lot" in plan
