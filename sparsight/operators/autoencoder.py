@@ -22,6 +22,8 @@ from sparsight.operators.statistics import products
 MAX_BLOCK_BYTES = 512 << 20
 _CELLS_PER_STEP = 1 << 22  # codes computed at once inside a task
 
+TIE_DECIMALS = 9  # equal vectors must tie, though a product may differ in its last bits
+
 SAE_SCHEMA = (
     "latent int, w_enc array<double>, b_enc double, log_threshold double, w_dec array<double>"
 )
@@ -121,9 +123,19 @@ def _code(pre: np.ndarray, theta: np.ndarray, activation: str) -> np.ndarray:
     raise ValueError(f"unknown activation {activation}")
 
 
+def _strongest(
+    row: np.ndarray, col: np.ndarray, z: np.ndarray, ties: list[np.ndarray], k: int
+) -> np.ndarray:
+    """Indices of the ``k`` largest codes of every latent."""
+    order = np.lexsort((*(t[row] for t in reversed(ties)), -np.round(z, TIE_DECIMALS), col))
+    ordered = col[order]
+    place = np.arange(len(order)) - np.searchsorted(ordered, ordered)
+    return order[place < k]
+
+
 def _encode_block(
     acts: DataFrame, block: Block, b_dec: np.ndarray | None, keys: list[str],
-    vector: str, activation: str,
+    vector: str, activation: str, top: int | None,
 ) -> DataFrame:
     shared = acts.sparkSession.sparkContext.broadcast(block)
 
@@ -138,6 +150,10 @@ def _encode_block(
                     x = x - b_dec
                 z = _code(x @ b.w_enc.T + b.b_enc, b.theta, activation)
                 row, col = np.nonzero(z)
+                if top is not None:
+                    ties = [part.column(k).to_numpy(zero_copy_only=False) for k in keys]
+                    best = _strongest(row, col, z[row, col], ties, top)
+                    row, col = row[best], col[best]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -161,15 +177,19 @@ def sae_encode(
     activation: str = "jumprelu",
     vector: str = "activation",
     max_bytes: int = MAX_BLOCK_BYTES,
+    top: int | None = None,
 ) -> DataFrame:
     """Sparse codes (keys, latent, z) of ``W (x - b_dec) + b``; no shuffle.
 
     Only non-zero codes become rows. ``acts`` is scanned once per block
     of latents, which is once unless the dictionary exceeds ``max_bytes``.
+    ``top`` is for a search of the strongest codes: each batch of rows puts
+    out no more than its own ``top`` per latent, ties in the order of the
+    keys. The overall ``top`` are always among them.
     """
     bias = None if b_dec is None else np.asarray(b_dec, dtype=np.float64)
     parts = [
-        _encode_block(acts, block, bias, keys, vector, activation)
+        _encode_block(acts, block, bias, keys, vector, activation, top)
         for block in blocks_of(sae, max_bytes)
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -25,7 +25,7 @@ class GatedMlp:
 
     Call it with ids (rows, tokens) to get the output of one layer's MLP,
     (rows, tokens, width); deeper layers are never computed. Weights follow
-    from the seed and are made once per Python worker.
+    from the seed and are made once per Python worker; single precision.
     """
 
     layer: int = 0
@@ -39,6 +39,7 @@ class GatedMlp:
             raise MemoryError(f"sequence exceeds {self.max_tokens} tokens")
         frequencies, layers = _weights(self)
         angle = (ids[..., None].astype(np.float64) + 1.0) * frequencies
+        angle = np.remainder(angle, 2 * np.pi).astype(np.float32)
         x = np.concatenate([np.sin(angle), np.cos(angle)], axis=-1)
         for depth, (gate, up, down) in enumerate(layers):
             gated = x @ gate
@@ -55,7 +56,8 @@ def _weights(cfg: GatedMlp):
     frequencies = 1.0 / 10_000 ** (np.arange(cfg.width // 2) / (cfg.width // 2))
     shapes = [(cfg.width, cfg.hidden), (cfg.width, cfg.hidden), (cfg.hidden, cfg.width)]
     layers = [
-        tuple(rng.normal(0.0, s[0] ** -0.5, s) for s in shapes) for _ in range(cfg.layer + 1)
+        tuple(rng.normal(0.0, s[0] ** -0.5, s).astype(np.float32) for s in shapes)
+        for _ in range(cfg.layer + 1)
     ]
     return frequencies, layers
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparsight.functions import text as tx
+from sparsight.operators.autoencoder import TIE_DECIMALS
 from sparsight.operators.joins import lookup_join
 from sparsight.session import materialize
 
@@ -37,7 +38,6 @@ FORMATTING = r"[*_#`\[\]{}|]|^\s*[-•]|^\s*[0-9]+[.)]|\n"
 # Below this k Spark cuts each task's rows to k per latent before the shuffle.
 _LIMIT_PUSHED_BELOW = 1_000
 _SALTS = 64
-_TIE_DECIMALS = 9
 _HIT_BYTES = 96
 
 
@@ -48,8 +48,7 @@ def top_activations(z: DataFrame, k: int) -> DataFrame:
     latent before the exchange, so a hot latent does not reach one task whole.
     For a large ``k``, where that does not apply, a salted round comes first.
     """
-    # Equal vectors must tie, though a product may differ in its last bits.
-    order = [F.desc(F.round("z", _TIE_DECIMALS)), F.asc("doc_id"), F.asc("tok_pos")]
+    order = [F.desc(F.round("z", TIE_DECIMALS)), F.asc("doc_id"), F.asc("tok_pos")]
     rows = z
     if k >= _LIMIT_PUSHED_BELOW:
         salt = F.pmod(F.xxhash64("doc_id", "tok_pos"), F.lit(_SALTS))

@@ -90,14 +90,19 @@ def vector_codes(spark: SparkSession, folder: str, **kwargs) -> DataFrame:
     )
 
 
-def token_codes(spark: SparkSession, folder: str) -> DataFrame:
+def token_codes(spark: SparkSession, folder: str, top: int | None = None) -> DataFrame:
     return autoencoder.sae_encode(
         token_activations(spark, folder), dictionary(spark, folder),
-        ["doc_id", "tok_pos", "token_id"],
+        ["doc_id", "tok_pos", "token_id"], top=top,
     )
 
 
+def strongest(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
+    """The strongest tokens of every latent over the whole corpus."""
+    return latents.top_activations(token_codes(spark, folder, k), k)
+
+
 def examples(spark: SparkSession, folder: str, k: int = 5, width: int = 4) -> DataFrame:
     """The strongest tokens of every latent, with their context, marked."""
-    top = latents.top_activations(token_codes(spark, folder), k)
+    top = strongest(spark, folder, k)
     return latents.highlight(latents.with_context(top, good(spark, folder), width))

@@ -17,7 +17,7 @@ _SPACE = tx.SPACE_RUN
 
 @query(f"WITH {TOP} SELECT latent, rank, doc_id, tok_pos, token_id, {r('z', 'z')} FROM top")
 def top_activations(spark: SparkSession, folder: str) -> DataFrame:
-    return latents.top_activations(flows.token_codes(spark, folder), 5).select(
+    return flows.strongest(spark, folder).select(
         "latent", "rank", "doc_id", "tok_pos", "token_id", "z"
     )
 
@@ -28,7 +28,7 @@ SELECT latent, rank, doc_id, tok_pos, token,
        array_to_string(w[tok_pos + 1 : tok_pos + 4], ' ') AS after
 FROM top JOIN words USING (doc_id)""")
 def hit_context(spark: SparkSession, folder: str) -> DataFrame:
-    top = latents.top_activations(flows.token_codes(spark, folder), 5)
+    top = flows.strongest(spark, folder)
     found = latents.with_context(top, flows.good(spark, folder), 4)
     return found.select(
         "latent", "rank", "doc_id", "tok_pos", "token",

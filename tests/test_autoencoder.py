@@ -213,3 +213,21 @@ def test_a_step_reads_its_lot_only(spark, case):
     plan = table.where("lot = 3")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(lot" in plan
     assert table.count() == len(x)
+
+
+def test_strongest_per_batch_hold_the_strongest_of_all(spark, case):
+    from sparsight.operators.latents import top_activations
+
+    x, w = case
+    rows = [(i % 7, i, [float(v) for v in x[i % 20]]) for i in range(200)]  # many ties
+    df = spark.createDataFrame(rows, "doc_id long, tok_pos int, activation array<double>")
+    d = dictionary(spark, w, 0.2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        whole = top_activations(sae.sae_encode(df, d, ["doc_id", "tok_pos"]), 3)
+        few = sae.sae_encode(df, d, ["doc_id", "tok_pos"], top=3)
+        a = sorted((r.latent, r["rank"], r.doc_id, r.tok_pos) for r in whole.collect())
+        b = sorted((r.latent, r["rank"], r.doc_id, r.tok_pos) for r in top_activations(few, 3).collect())
+        assert a == b and few.count() < sae.sae_encode(df, d, ["doc_id", "tok_pos"]).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

