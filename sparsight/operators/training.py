@@ -113,7 +113,8 @@ def _packed(g: dict) -> np.ndarray:
 
 
 def _step_gradient(
-    batch: DataFrame, params: Block, b_dec: np.ndarray, weight: float, bandwidth: float
+    batch: DataFrame, params: Block, b_dec: np.ndarray, norm: float, weight: float,
+    bandwidth: float,
 ) -> np.ndarray:
     m, d = params.w_enc.shape
     width = 2 * d + 2
@@ -126,7 +127,8 @@ def _step_gradient(
         for rows in batches:
             if not rows.num_rows:
                 continue
-            g = _packed(gradients(to_matrix(rows.column(0)), p, bias, weight, bandwidth))
+            x = to_matrix(rows.column(0)) / norm
+            g = _packed(gradients(x, p, bias, weight, bandwidth))
             total = g if total is None else total + g
         if total is not None:
             for at in range(0, m + 1, per_group):
@@ -203,9 +205,6 @@ def sae_fit(
             F.sum(F.col("v").cast("double") * F.col("v"))
         )
         norm = math.sqrt(squares.first()[0] / table.count())
-    scaled = table.withColumn(
-        "x", F.transform("x", lambda v: v.cast("double") / F.lit(norm))
-    )
 
     w_enc, b_enc, w_dec = p.w_enc.copy(), p.b_enc.copy(), p.w_dec.copy()
     log_theta, b_dec = np.log(p.theta), np.zeros(width)
@@ -221,14 +220,14 @@ def sae_fit(
         epoch, within = divmod(step, per_epoch)
         order = np.random.default_rng([cfg.seed, epoch]).permutation(per_epoch)
         lot, share = divmod(int(order[within]), shares)
-        batch = scaled.where(F.col("lot") == lot)
+        batch = table.where(F.col("lot") == lot)
         if shares > 1:
             mine = F.pmod(F.xxhash64(F.lit(epoch), F.col("key")), F.lit(shares)) == share
             batch = batch.where(mine)
         weight = sparsity_weight(step, cfg.sparsity_warmup_steps, cfg.max_sparsity)
         rate = cfg.max_lr * learning_rate(step, cfg.warmup_steps, cfg.total_steps)
         params = Block(p.latent, w_enc, b_enc, np.exp(log_theta), w_dec)
-        g = _step_gradient(batch.select("x"), params, b_dec, weight, cfg.bandwidth)
+        g = _step_gradient(batch.select("x"), params, b_dec, norm, weight, cfg.bandwidth)
         squared, active, n = g[m, d : d + 3]
         if n:
             g /= n

@@ -9,7 +9,9 @@ from sparsight.operators import (
     autoencoder, extraction, neighbours, ordering, packing, statistics, tokens, training,
 )
 from sparsight.plans import flows
-from sparsight.plans.catalogue import BODY, CELLS, CODES, DICT, EMB, LENGTHS, ids_text, query, r
+from sparsight.plans.catalogue import (
+    BODY, CELLS, CODES, DICT, EMB, LENGTHS, PLACED, ids_text, query, r,
+)
 from sparsight.session import scratch_path
 from sparsight.sources import corpus as sources, shards
 
@@ -269,6 +271,19 @@ def mlp_activations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {PLACED}
+SELECT g // 128 AS block_id, doc_id, tok_pos, token_id, 16::BIGINT AS n_values FROM placed
+WHERE token_id NOT IN (0, 1) AND g // 128 < (SELECT count(*) FROM placed) // 128""")
+def mlp_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Which token of which block every row of a model run belongs to."""
+    aligned = extraction.align_blocks(flows.blocks(spark, folder))
+    model = extraction.GatedMlp(width=16, hidden=16)
+    rows = extraction.succeeded(extraction.extract_activations(aligned, model))
+    return rows.select(
+        "block_id", "doc_id", "tok_pos", "token_id", F.size("activation").alias("n_values")
+    )
+
+
 @query(f"""WITH {BODY}, {EMB}
 SELECT doc_id, count(*) AS n_rows, {r('sum(x[1])', 'first')}, {r('sum(x[64])', 'last')}
 FROM body JOIN emb ON emb.vec_id = token_id % (SELECT count(*) FROM embeddings) GROUP BY doc_id""")
