@@ -68,7 +68,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             base = tempfile.mkdtemp(prefix="sparsight-")
             _local_scratch[context.applicationId] = base
             atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/sparsight/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/sparsight/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the scratch folder.
+
+    DataFrames that rest on it can no longer be read afterwards.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x")).getParent()
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
