@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparsight.llm import lempel_ziv_dedup, phrase_index, simhash_dedup
+from sparsight.llm import lempel_ziv_dedup, packing, phrase_index, simhash_dedup, toxicity
 from sparsight.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,21 @@ def op10_substring_dedup(spark, folder):
     return lempel_ziv_dedup.without_factors(parsed).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query()
+def op5_packing(spark, folder):
+    pieces = packing.packed(table(spark, folder, "documents"), public_tokenizers.path(packing.TOKENIZER))
+    return packing.digests(pieces).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query()
+def op8_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    net = toxicity.trained(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs, net).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
