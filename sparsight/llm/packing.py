@@ -23,7 +23,7 @@ END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 #: documents of a group on average; their ids, two bytes each, are held by one task
 GROUP_DOCUMENTS = 4096
-_PIECE_BYTES = 4 << 20
+_PIECE_BYTES = 8 << 20
 
 
 class TournamentTree:
@@ -157,10 +157,11 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     bounds, flat = parts.offsets.to_numpy(), parts.values
     first = np.zeros(len(flat), bool)
     first[bounds[:-1]] = True
-    ours = np.repeat(~whole, np.diff(bounds))
+    mixed = bool(whole.any())
+    ours = np.repeat(~whole, np.diff(bounds)) if mixed else np.ones(len(flat), bool)
     # the part after a blank keeps it
     head = flat.filter(pa.array(first & ours)).dictionary_encode()
-    tail = flat.filter(pa.array(~first & ours)).dictionary_encode()
+    tail = (flat.filter(pa.array(ours)) if mixed else flat).dictionary_encode()
     known = [code(w) for w in [*head.dictionary.to_pylist(), *texts.filter(pa.array(whole)).to_pylist()]]
     n_head, shift = len(head.dictionary), len(known)
     joined = np.empty(0, np.int64)
@@ -170,9 +171,10 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         joined = np.array(code(" " + line), np.int64)
     heads = np.flatnonzero(_blank_first(path)[joined])
     number = np.full(len(flat), -1, np.int64)
+    number[ours] = tail.indices.to_numpy(zero_copy_only=False)
+    number[ours] += shift
     number[first & ours] = head.indices.to_numpy(zero_copy_only=False)
     number[bounds[:-1][whole]] = np.arange(whole.sum()) + n_head
-    number[~first & ours] = tail.indices.to_numpy(zero_copy_only=False) + shift
     size = np.concatenate([np.array([0, *map(len, known)], np.int64)[1:], np.diff(np.append(heads, len(joined)))])
     values = np.concatenate([np.array([i for ids in known for i in ids], np.int64), joined])
     starts = np.cumsum(size) - size
@@ -210,7 +212,9 @@ def packed(
     docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
     end_id: int = END_ID, group_documents: int = GROUP_DOCUMENTS,
 ) -> DataFrame:
-    """``doc_id, start, ids, doc_tokens, sequence_id, offset`` of every piece; ``ids`` an array of integers.
+    """``doc_id, start, ids, doc_tokens, sequence_id, offset`` of every piece.
+
+    ``ids`` holds the piece's ids as little-endian unsigned 32-bit integers.
 
     Null and empty texts give the end id alone. Repeated rows are packed each
     for itself: the group is drawn by row, so that no id or text can fill one.
@@ -234,32 +238,21 @@ def packed(
         return pa.table({
             "doc_id": group.column("doc_id").combine_chunks().take(pa.array(item)),
             "start": pa.array(start),
-            "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[at].astype(np.int32))),
+            "ids": pa.Array.from_buffers(
+                pa.binary(), len(n), [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(values[at].astype("<u4").tobytes())]
+            ),
             "doc_tokens": pa.array(size[item].astype(np.int64)),
             "sequence_id": pa.array((np.int64(number) << 32) + sequence),
             "offset": pa.array(offset),
         })
 
     return tokens.groupBy("g").applyInArrow(
-        pack, f"doc_id {kind}, start bigint, ids array<int>, doc_tokens bigint, sequence_id bigint, offset bigint"
+        pack, f"doc_id {kind}, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     )
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    """Pieces with ``length`` and the CRC-32 of their ids, as little-endian 32-bit integers, in place of the ids."""
-    from zlib import crc32
-
-    fields = [f for f in pieces.schema if f.name != "ids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            values, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-            crc = [crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in fields), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
-                [*(f.name for f in fields), "length", "ids_crc32"],
-            )
-
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return pieces.mapInArrow(run, f"{given}, length bigint, ids_crc32 bigint")
+    """Pieces with ``length`` and ``ids_crc32``, the CRC-32 of the bytes of their ids, in place of the ids."""
+    return pieces.withColumns(
+        {"length": (F.octet_length("ids") / 4).cast("bigint"), "ids_crc32": F.crc32("ids")}
+    ).drop("ids")
