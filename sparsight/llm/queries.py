@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparsight.llm import lempel_ziv_dedup, packing, phrase_index, simhash_dedup, toxicity
+from sparsight.llm import lempel_ziv_dedup, link_rank, packing, phrase_index, secret_scan, simhash_dedup, toxicity
 from sparsight.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,62 @@ def op8_toxicity(spark, folder):
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op4_secret_scan(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.secret_spans(docs)
+    of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    count = [F.size(of(k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS)]
+    base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.PATTERNS))
+    return found.select(
+        "doc_id", *count, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
+_RANKS = "\n".join(
+    f""", {k}{i} AS (SELECT host, sum(r) AS r FROM (
+  SELECT {e}b AS host, r * share * 0.85 AS r FROM {k}{i - 1} JOIN {e} ON {e}a = host
+  UNION ALL SELECT host, seed * (1 - 0.85) FROM {k}s) GROUP BY host)"""
+    for k, e in (("t", "f"), ("d", "g")) for i in range(1, link_rank.ROUNDS + 1)
+)
+_OP6_SQL = rf"""
+WITH p AS (
+  SELECT page_id, html, {_ASCII_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fit AS (
+  SELECT page_id, host, path, html,
+    (SELECT max_by({{'rule': h || r.p, 'verdict': verdict}}, length(h || r.p)) FROM rules r
+     WHERE (p.host = h OR p.host LIKE '%.' || h) AND starts_with(p.path, r.p)) AS x FROM p
+), links AS (
+  SELECT host AS a, {_ASCII_LOWER.format("b")} AS b, count(*) AS w FROM (
+    SELECT host, unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)) AS b
+    FROM fit) GROUP BY 1, 2
+), family AS (
+  SELECT host AS a, regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) AS b
+  FROM (SELECT host FROM fit UNION SELECT b FROM links)
+), e AS (
+  SELECT a, b, CAST(sum(w) AS DOUBLE) AS w FROM (
+    SELECT a, b, w FROM links UNION ALL SELECT a, b, 1 FROM family WHERE b <> ''
+    UNION ALL SELECT b, a, 1 FROM family WHERE b <> '') WHERE a <> b AND a <> '' AND b <> '' GROUP BY a, b
+), f AS (SELECT a AS fa, b AS fb, w / sum(w) OVER (PARTITION BY a) AS share FROM e
+), g AS (SELECT b AS ga, a AS gb, w / sum(w) OVER (PARTITION BY b) AS share FROM e
+), ts AS (SELECT host, count(*) / (SELECT count(*) FROM fit WHERE x.verdict = 'allow')::DOUBLE AS seed
+  FROM fit WHERE x.verdict = 'allow' AND host <> '' GROUP BY host
+), ds AS (SELECT host, count(*) / (SELECT count(*) FROM fit WHERE x.verdict = 'block')::DOUBLE AS seed
+  FROM fit WHERE x.verdict = 'block' AND host <> '' GROUP BY host
+), t0 AS (SELECT host, seed AS r FROM ts), d0 AS (SELECT host, seed AS r FROM ds)
+{_RANKS}
+SELECT page_id, fit.host, path, x.rule AS rule,
+  coalesce(x.verdict, CASE WHEN coalesce(d.r, 0) > 0.5 * (coalesce(t.r, 0) + coalesce(d.r, 0)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fit LEFT JOIN t{link_rank.ROUNDS} t ON t.host = fit.host LEFT JOIN d{link_rank.ROUNDS} d ON d.host = fit.host
+"""
+
+
+@query(_OP6_SQL)
+def op6_url_filter(spark, folder):
+    return link_rank.verdicts(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
