@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparsight.llm import lempel_ziv_dedup, link_rank, packing, phrase_index, secret_scan, simhash_dedup, toxicity
+from sparsight.llm import lempel_ziv_dedup, link_rank, packing, phrase_index, projected_neighbours, secret_scan, simhash_dedup, toxicity
 from sparsight.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,8 @@ FROM fit LEFT JOIN t{link_rank.ROUNDS} t ON t.host = fit.host LEFT JOIN d{link_r
 @query(_OP6_SQL)
 def op6_url_filter(spark, folder):
     return link_rank.verdicts(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op1_projected_neighbours(spark, folder):
+    return projected_neighbours.nearest(table(spark, folder, "embeddings"))
