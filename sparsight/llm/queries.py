@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparsight.llm import lempel_ziv_dedup, link_rank, packing, phrase_index, projected_neighbours, secret_scan, simhash_dedup, toxicity
+from sparsight.llm import (
+    lempel_ziv_dedup, licence_scan, link_rank, packing, phrase_index, projected_neighbours, secret_scan, simhash_dedup,
+    toxicity, warc,
+)
 from sparsight.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +187,60 @@ def op6_url_filter(spark, folder):
 @query()
 def op1_projected_neighbours(spark, folder):
     return projected_neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+# Captures derived from pages: each page is answered in full once, and asked for
+# again later, with another spelling of its URL, by a request that finds it unchanged
+# or, for one page in seven, that has another entity tag.
+_OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, md5(html) AS tag, page_id * 60 AS t, (page_id * 7919) % 2000 * 60 AS gap FROM pages
+), k AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[^:]*://[^/?#]*')), '(:80|:443)$', ''), '$', '')
+    || CASE WHEN regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) END
+    || regexp_extract(url, '^[^:]*://[^/?#]*[^?#]*(\?[^#]*)?', 1) AS key FROM p
+), v AS (SELECT page_id, key, t + gap AS t, CASE WHEN page_id % 7 = 0 THEN 'other' ELSE tag END AS tag FROM k
+), j AS (
+  SELECT v.page_id, v.t, v.tag, max_by(k.page_id, k.t) AS target, max_by(k.tag, k.t) AS target_tag
+  FROM v LEFT JOIN k ON k.key = v.key AND k.t < v.t GROUP BY v.page_id, v.t, v.tag
+)
+SELECT page_id, target AS target_page,
+  CASE WHEN target IS NULL THEN 'unmatched' WHEN tag = target_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+  CASE WHEN target IS NOT NULL AND tag = target_tag THEN
+    'content-type=text/html,date=' || CAST(t AS VARCHAR) || ',etag="' || tag || '"' END AS headers
+FROM j
+"""
+
+
+@query(_OP3_SQL)
+def op3_warc_revisits(spark, folder):
+    pages = table(spark, folder, "pages")
+    tag = F.md5("html")
+    seconds = F.col("page_id") * 60
+    later = seconds + F.col("page_id") * 7919 % 2000 * 60
+    headers = lambda *x: F.create_map(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    responses = pages.select(
+        F.col("page_id").cast("string").alias("record_id"), F.lit("response").alias("kind"), "url",
+        F.timestamp_seconds(seconds).alias("at"), F.lit(200).alias("status"),
+        headers("content-type", "text/html", "date", seconds.cast("string"), "etag", quoted(tag)).alias("headers"),
+    )
+    revisits = pages.select(
+        F.concat(F.lit("again-"), F.col("page_id").cast("string")).alias("record_id"), F.lit("revisit").alias("kind"),
+        F.concat(F.col("url"), F.lit("#again")).alias("url"), F.timestamp_seconds(later).alias("at"), F.lit(304).alias("status"),
+        headers(
+            "content-length", "0", "date", later.cast("string"),
+            "etag", F.concat(F.lit("W/"), quoted(F.when(F.col("page_id") % 7 == 0, "other").otherwise(tag))),
+        ).alias("headers"),
+    )
+    entries = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return warc.resolve(responses.unionByName(revisits)).select(
+        F.regexp_replace("record_id", "again-", "").cast("bigint").alias("page_id"),
+        F.col("target_id").cast("bigint").alias("target_page"), "outcome",
+        F.when(F.col("headers").isNotNull(), F.regexp_replace(F.concat_ws(",", entries), "W/", "")).alias("headers"),
+    )
+
+
+@query()
+def op7_licence_scan(spark, folder):
+    return licence_scan.notices(table(spark, folder, "documents"))
