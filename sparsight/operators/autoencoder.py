@@ -231,10 +231,12 @@ def sae_decode(
     keys: list[str],
     b_dec: list[float] | None = None,
     max_bytes: int = MAX_BLOCK_BYTES,
+    every: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, reconstruction) for every vector with at least one active latent.
 
-    A group holds the codes of one vector: at most as many as there are latents.
+    With ``every``, a table with the keys of all vectors, those without one are
+    there as well and decode to the bias. A group holds the codes of one vector: at most as many as there are latents.
     """
     grouped = z.groupBy(*keys).agg(F.collect_list(F.struct("latent", "z")).alias("codes"))
     parts = [_decode_block(grouped, block, keys) for block in blocks_of(sae, max_bytes)]
@@ -251,6 +253,11 @@ def sae_decode(
         decoded = cells.groupBy(*keys).agg(
             F.transform(ordered, lambda c: c["x"]).alias("reconstruction")
         )
+    if every is not None:
+        width = sae.select(F.size("w_dec").alias("n")).first()["n"]
+        decoded = every.select(*keys).join(decoded, keys, "left").withColumn(
+            "reconstruction", F.coalesce("reconstruction", F.array_repeat(F.lit(0.0), width))
+        )
     if b_dec is None:
         return decoded
     bias = F.array(*[F.lit(float(b)) for b in b_dec])
@@ -329,8 +336,13 @@ def normalize(acts: DataFrame, rms: float, vector: str = "activation") -> DataFr
     return acts.withColumn(vector, scale(vector, F.lit(1.0 / rms)))
 
 
-def sparsity_penalties(z: DataFrame, n_rows: int, rho: float = 0.05) -> DataFrame:
-    """Per latent: mean activation, KL(rho, mean), and its L1 and L2 sums."""
+def sparsity_penalties(
+    z: DataFrame, n_rows: int, rho: float = 0.05, latents: DataFrame | None = None
+) -> DataFrame:
+    """Per latent: mean activation, KL(rho, mean), and its L1 and L2 sums.
+
+    With ``latents``, those that are never active have zeros and no divergence.
+    """
     n = F.lit(float(n_rows))
     mean = F.sum("z") / n
     sums = z.groupBy("latent").agg(
@@ -338,25 +350,32 @@ def sparsity_penalties(z: DataFrame, n_rows: int, rho: float = 0.05) -> DataFram
         F.sum(F.abs("z")).alias("l1"),
         F.sum(F.col("z") * F.col("z")).alias("l2"),
     )
+    if latents is not None:
+        sums = latents.select("latent").join(sums, "latent", "left").na.fill(0.0, ["rho_j", "l1", "l2"])
     r = F.col("rho_j")
     kl = rho * F.log(rho / r) + (1 - rho) * F.log((1 - rho) / (1 - r))
     return sums.withColumn("kl", F.when((r > 0) & (r < 1), kl))
 
 
+LEAST_PROBABILITY = 1e-7
+
+
 def vector_losses(df: DataFrame, x: str, y: str) -> DataFrame:
     """Squared error and binary cross-entropy averaged over rows and dimensions,
-    categorical cross-entropy averaged over rows.
+    categorical cross-entropy averaged over rows. In the entropies a prediction
+    counts as no nearer to 0 or 1 than ``LEAST_PROBABILITY``.
     """
     cells = df.select(
         F.posexplode(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y"))).alias("dim", "c")
     )
     a, b = F.col("c.x").cast("double"), F.col("c.y").cast("double")
+    p = F.least(F.greatest(b, F.lit(LEAST_PROBABILITY)), F.lit(1 - LEAST_PROBABILITY))
     n = F.count_if(F.col("dim") == 0)
     return cells.agg(
         n.alias("n_rows"),
         F.avg((a - b) * (a - b)).alias("mse"),
-        (-F.avg(a * F.log(b) + (1 - a) * F.log(1 - b))).alias("binary_ce"),
-        (-F.sum(a * F.log(b)) / n).alias("categorical_ce"),
+        (-F.avg(a * F.log(p) + (1 - a) * F.log(1 - p))).alias("binary_ce"),
+        (-F.sum(a * F.log(p)) / n).alias("categorical_ce"),
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparsight.functions.text import SPACE_RUN, WHITESPACE
+from sparsight.functions.text import SPACE_RUN, TWO_LETTERS, WHITESPACE
 from sparsight.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,9 +61,11 @@ def r(expression: str, name: str) -> str:
 # Building blocks of the SQL side, each adding to the ones before it.
 _TRIM = f"trim(text, '{WHITESPACE}')"
 DOCS = f"""docs AS (SELECT doc_id, lang, source, text, {_TRIM} AS t FROM documents)"""
-GOOD = DOCS + r""",
-good AS (SELECT * FROM docs WHERE length(t) > 20 AND length(t) < 30000
-         AND upper(t) <> t AND NOT regexp_matches(t, '^\p{N}+$'))"""
+_RULES = r"length(t) > 20 AND upper(t) <> t AND NOT regexp_matches(t, '^\p{N}+$')"
+GOOD = DOCS + f""",
+good AS (SELECT * FROM docs WHERE {_RULES} AND regexp_matches(t, '{TWO_LETTERS}'))"""
+BOUNDED = DOCS + f""",
+good AS (SELECT * FROM docs WHERE {_RULES} AND length(t) < 30000)"""
 WORDS = GOOD + f""",
 words AS (SELECT doc_id, source, lang, string_split_regex(t, '{SPACE_RUN}') AS w FROM good)"""
 VOCAB = WORDS + """,

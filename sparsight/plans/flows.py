@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsight.operators import autoencoder, extraction, latents, ordering, packing, tokens
-from sparsight.operators.filters import drop_special, quality_good
+from sparsight.operators.filters import drop_special, quality_strict
 from sparsight.session import materialize
 from sparsight.sources.corpus import read_corpus, read_vectors
 
@@ -28,7 +28,8 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def good(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_good(corpus(spark, folder))
+    """Documents worth tokenising; whole texts, of any length."""
+    return quality_strict(corpus(spark, folder))
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

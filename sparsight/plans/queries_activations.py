@@ -10,6 +10,7 @@ from sparsight.operators import (
 )
 from sparsight.plans import flows
 from sparsight.plans.catalogue import (
+    DECIMALS,
     BODY, CELLS, CODES, DICT, EMB, LENGTHS, PLACED, ids_text, query, r,
 )
 from sparsight.session import scratch_path
@@ -552,10 +553,12 @@ hat AS (SELECT vec_id, dim, sum(z * v) AS y FROM codes JOIN wcells USING (latent
 
 
 @query(f"""WITH {_DECODED}
-SELECT vec_id, {r('sum(y)', 'total')}, {r('sum(y * y)', 'sq')} FROM hat GROUP BY vec_id""")
+SELECT vec_id, {r('coalesce(sum(y), 0)', 'total')}, {r('coalesce(sum(y * y), 0)', 'sq')}
+FROM emb LEFT JOIN hat USING (vec_id) GROUP BY vec_id""")
 def sae_reconstructions(spark: SparkSession, folder: str) -> DataFrame:
     decoded = autoencoder.sae_decode(
-        flows.vector_codes(spark, folder), flows.dictionary(spark, folder), ["vec_id"]
+        flows.vector_codes(spark, folder), flows.dictionary(spark, folder), ["vec_id"],
+        every=flows.vectors(spark, folder),
     )
     y = F.col("y")
     return (
@@ -584,25 +587,34 @@ def sae_loss(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_FIT = training.FitConfig(
-    d_sae=128, total_steps=12, batch_rows=128, warmup_steps=4, sparsity_warmup_steps=6, max_lr=1e-2
-)
+_STEPS = 12
+
+
+def _fit(acts: DataFrame) -> training.FitConfig:
+    """One pass over all rows, whatever their number, in a fixed number of steps."""
+    return training.FitConfig(
+        d_sae=128, total_steps=_STEPS, batch_rows=max(1, -(-acts.count() // _STEPS)), warmup_steps=4,
+        sparsity_warmup_steps=6, max_lr=1e-2,
+    )
 
 
 @query()
 def sae_training_log(spark: SparkSession, folder: str) -> DataFrame:
-    return training.sae_fit(flows.vectors(spark, folder), _FIT).log
+    acts = flows.vectors(spark, folder)
+    return training.sae_fit(acts, _fit(acts)).log
 
 
 @query()
 def sae_training_summary(spark: SparkSession, folder: str) -> DataFrame:
-    fit = training.sae_fit(flows.vectors(spark, folder), _FIT)
+    acts = flows.vectors(spark, folder)
+    fit = training.sae_fit(acts, _fit(acts))
     return training.summarise_log(fit.log, 4)
 
 
 @query()
 def trained_dictionary(spark: SparkSession, folder: str) -> DataFrame:
-    fit = training.sae_fit(flows.vectors(spark, folder), _FIT)
+    acts = flows.vectors(spark, folder)
+    fit = training.sae_fit(acts, _fit(acts))
     return fit.sae.select(
         "latent", "b_enc", F.exp("log_threshold").alias("threshold"),
         squared_norm("w_dec").alias("decoder_norm"), squared_norm("w_enc").alias("encoder_norm"),
@@ -623,14 +635,17 @@ def dictionary_start(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {CODES},
-sums AS (SELECT latent, sum(z) / (SELECT count(*) FROM emb) AS rho_j, sum(abs(z)) AS l1,
-                sum(z * z) AS l2 FROM codes GROUP BY latent)
+sums AS (SELECT latent, coalesce(sum(z), 0) / (SELECT count(*) FROM emb) AS rho_j, coalesce(sum(abs(z)), 0) AS l1,
+                coalesce(sum(z * z), 0) AS l2 FROM dict LEFT JOIN codes USING (latent) GROUP BY latent)
 SELECT latent, {r('rho_j', 'rho_j')}, {r('l1', 'l1')}, {r('l2', 'l2')},
-  {r('0.05::DOUBLE * ln(0.05::DOUBLE / rho_j) + 0.95::DOUBLE * ln(0.95::DOUBLE / (1 - rho_j))', 'kl')}
+  CASE WHEN rho_j > 0 AND rho_j < 1 THEN round(0.05::DOUBLE * ln(0.05::DOUBLE / nullif(rho_j, 0))
+    + 0.95::DOUBLE * ln(0.95::DOUBLE / nullif(1 - rho_j, 0)), {DECIMALS}) + 0.0 END AS kl
 FROM sums""")
 def sparsity_penalties(spark: SparkSession, folder: str) -> DataFrame:
     n = flows.vectors(spark, folder).count()
-    return autoencoder.sparsity_penalties(flows.vector_codes(spark, folder), n)
+    return autoencoder.sparsity_penalties(
+        flows.vector_codes(spark, folder), n, latents=flows.dictionary(spark, folder)
+    )
 
 
 @query(f"""WITH {CELLS},
@@ -648,6 +663,21 @@ def vector_losses(spark: SparkSession, folder: str) -> DataFrame:
     return autoencoder.vector_losses(pairs, "a", "b")
 
 
+@query(f"""WITH {CELLS},
+pairs AS (SELECT vec_id, CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END AS a,
+                 least(greatest(CASE WHEN x > 0.1 THEN 1.0 WHEN x < -0.1 THEN 0.0 ELSE 1 / (1 + exp(-x)) END, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS b
+          FROM cells)
+SELECT count(DISTINCT vec_id) AS n_rows, {r('-avg(a * ln(b) + (1 - a) * ln(1 - b))', 'binary_ce')},
+  {r('-sum(a * ln(b)) / count(DISTINCT vec_id)', 'categorical_ce')} FROM pairs""")
+def vector_losses_at_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets and predictions that are exactly 0 or 1."""
+    hard = F.transform("activation", lambda x: F.when(x > 0, 1.0).otherwise(0.0))
+    sure = F.transform("activation", lambda x: F.when(x.cast("double") > 0.1, 1.0).when(
+        x.cast("double") < -0.1, 0.0).otherwise(1 / (1 + F.exp(-x.cast("double")))))
+    pairs = flows.vectors(spark, folder).select(hard.alias("a"), sure.alias("b"))
+    return autoencoder.vector_losses(pairs, "a", "b").drop("mse")
+
+
 @query(f"""WITH {CODES}
 SELECT latent, count(vec_id) AS n_active, {r('count(vec_id) / (SELECT count(*) FROM emb)', 'density')},
        count(vec_id) = 0 AS dead

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsight.functions import text as tx
-from sparsight.operators.filters import quality_good
+from sparsight.operators.filters import quality_strict
 from sparsight.plans import flows
 from sparsight.plans.catalogue import GOOD, LENGTHS, WORDS, query, r
 from sparsight.session import scratch_path
@@ -64,7 +64,7 @@ def streamed_blocks(spark: SparkSession, folder: str) -> DataFrame:
     much of the corpus is packed by many tasks. Word hashes stand in for ids.
     """
     part = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
-    docs = quality_good(_documents(spark, folder))
+    docs = quality_strict(_documents(spark, folder))
     ids = F.transform(tx.words(F.col("text")), lambda w: F.pmod(F.hash(w), F.lit(1 << 30)) + 2)
     seqs = docs.select(
         F.concat_ws("-", "source", part).alias("bucket"),
@@ -90,7 +90,7 @@ def streamed_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Flushed twice from one checkpoint: the second run finds nothing to do."""
     path, state = scratch_path(spark, "flushed"), scratch_path(spark, "flushed-state")
     for _ in range(2):
-        docs = quality_good(_documents(spark, folder)).select("doc_id", "lang")
+        docs = quality_strict(_documents(spark, folder)).select("doc_id", "lang")
         ingest.flush_shards(docs, path, state).awaitTermination()
     return spark.read.parquet(path).groupBy("lang").agg(
         F.count("*").alias("n_docs"), F.count_distinct("doc_id").alias("n_keys")

@@ -8,7 +8,7 @@ from sparsight.functions import text as tx
 from sparsight.operators import filters, ordering, packing, tokens
 from sparsight.plans import flows
 from sparsight.plans.catalogue import (
-    BODY, DOCS, GOOD, LENGTHS, PLACED, TOKENS, VOCAB, WORDS, ids_text, query,
+    BODY, BOUNDED, DOCS, GOOD, LENGTHS, PLACED, TOKENS, VOCAB, WORDS, ids_text, query,
 )
 from sparsight.session import scratch_path
 from sparsight.sources import corpus as sources, shards
@@ -30,7 +30,7 @@ FROM docs d LEFT JOIN good g USING (doc_id)""")
 def jsonl_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that fail the filter are written without their text."""
     path = scratch_path(spark, "jsonl")
-    text = F.when(tx.is_good(F.col("text")), F.col("text")).alias("text")
+    text = F.when(tx.is_strict(F.col("text")), F.col("text")).alias("text")
     shards.write_jsonl(flows.corpus(spark, folder).select("doc_id", text), path, ["doc_id", "text"])
     good, bad = sources.read_jsonl(spark, path)
     return good.select(
@@ -72,9 +72,9 @@ def nonblank_documents(spark: SparkSession, folder: str) -> DataFrame:
     return filters.nonblank(flows.corpus(spark, folder)).select("doc_id")
 
 
-@query(f"WITH {GOOD} SELECT doc_id, source FROM good")
+@query(f"WITH {BOUNDED} SELECT doc_id, source FROM good")
 def good_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return flows.good(spark, folder).select("doc_id", "source")
+    return filters.quality_good(flows.corpus(spark, folder)).select("doc_id", "source")
 
 
 @query(rf"""WITH {DOCS} SELECT doc_id, source FROM docs
@@ -197,23 +197,32 @@ def truncated_sequences(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_CUT}
-SELECT doc_id, string_agg(id::VARCHAR, ' ' ORDER BY pos) || repeat(' 1', (258 - count(*))::INT)
-         AS input_ids,
-       count(*) AS n_real, 258 - count(*) AS n_pad
-FROM seqs GROUP BY doc_id""")
+_WHOLE = BODY + """,
+seqs AS (SELECT doc_id, 0 AS pos, 0 AS id FROM words
+         UNION ALL SELECT doc_id, len(w) + 1, 1 FROM words
+         UNION ALL SELECT doc_id, tok_pos, token_id FROM body)"""
+_CHUNKS = _WHOLE + """,
+chunks AS (SELECT doc_id, (pos // 64) * 64 AS start, count(*) AS n,
+                  string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids,
+                  string_agg(id::VARCHAR, ' ' ORDER BY pos) FILTER (pos % 64 < 16) AS head
+           FROM seqs GROUP BY ALL)"""
+
+
+@query(f"""WITH {_CHUNKS}
+SELECT doc_id, start, ids || repeat(' 1', (64 - n)::INT) AS input_ids, n AS n_real, 64 - n AS n_pad FROM chunks""")
 def padded_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    length = flows.TRUNCATE + 2
-    mask = tokens.attention_mask(F.size("seq"), length)
-    return flows.sequences(spark, folder, flows.TRUNCATE).select(
-        "doc_id",
-        ids_text(tokens.pad_to(F.col("seq"), length)).alias("input_ids"),
+    """Whole documents in rows of one length, the last of each padded."""
+    length = flows.CHUNK
+    mask = tokens.attention_mask(F.size("ids"), length)
+    return tokens.chunk(flows.sequences(spark, folder), length, keep_tail=True).select(
+        "doc_id", "start",
+        ids_text(tokens.pad_to(F.col("ids"), length)).alias("input_ids"),
         F.size(F.filter(mask, lambda x: x == 1)).alias("n_real"),
         F.size(F.filter(mask, lambda x: x == 0)).alias("n_pad"),
     )
 
 
-@query(f"""WITH {_CUT},
+@query(f"""WITH {_WHOLE},
 per_doc AS (SELECT doc_id, count(*) AS n, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids
             FROM seqs GROUP BY doc_id),
 numbered AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch_id FROM per_doc)
@@ -223,7 +232,7 @@ SELECT batch_id, doc_id,
          AS attention_mask
 FROM numbered""")
 def padded_batches(spark: SparkSession, folder: str) -> DataFrame:
-    seqs = flows.sequences(spark, folder, flows.TRUNCATE)
+    seqs = flows.sequences(spark, folder)
     padded = tokens.pad_batch(seqs, 32, splits=flows.document_splits(spark, folder))
     return padded.select(
         "batch_id", "doc_id", ids_text("input_ids").alias("input_ids"),
@@ -231,22 +240,15 @@ def padded_batches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_CHUNKS = _CUT + """,
-chunks AS (SELECT doc_id, (pos // 64) * 64 AS start, count(*) AS n,
-                  string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids,
-                  string_agg(id::VARCHAR, ' ' ORDER BY pos) FILTER (pos % 64 < 16) AS head
-           FROM seqs GROUP BY ALL)"""
-
-
 @query(f"WITH {_CHUNKS} SELECT doc_id, start, ids FROM chunks WHERE n = 64")
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    cut = tokens.chunk(flows.sequences(spark, folder, flows.TRUNCATE), flows.CHUNK)
+    cut = tokens.chunk(flows.sequences(spark, folder), flows.CHUNK)
     return cut.select("doc_id", "start", ids_text("ids").alias("ids"))
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, start, n, ids FROM chunks")
 def chunks_with_tails(spark: SparkSession, folder: str) -> DataFrame:
-    seqs = flows.sequences(spark, folder, flows.TRUNCATE)
+    seqs = flows.sequences(spark, folder)
     return tokens.chunk(seqs, flows.CHUNK, keep_tail=True).select(
         "doc_id", "start", F.size("ids").alias("n"), ids_text("ids").alias("ids")
     )
@@ -254,18 +256,18 @@ def chunks_with_tails(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, start, head AS ids FROM chunks WHERE n = 64")
 def context_cut(spark: SparkSession, folder: str) -> DataFrame:
-    cut = tokens.chunk(flows.sequences(spark, folder, flows.TRUNCATE), flows.CHUNK)
+    cut = tokens.chunk(flows.sequences(spark, folder), flows.CHUNK)
     return cut.select("doc_id", "start", ids_text(tokens.context_cut(F.col("ids"), 16)).alias("ids"))
 
 
 @query(f"""WITH {WORDS}
-SELECT source, sum((least(len(w), 256) + 2) // 64)::BIGINT AS n_chunks,
-       count(*) FILTER (least(len(w), 256) + 2 >= 64) AS n_docs
-FROM words GROUP BY source HAVING sum((least(len(w), 256) + 2) // 64) > 0""")
+SELECT source, sum((len(w) + 2) // 64)::BIGINT AS n_chunks,
+       count(*) FILTER (len(w) + 2 >= 64) AS n_docs
+FROM words GROUP BY source HAVING sum((len(w) + 2) // 64) > 0""")
 def chunk_counts_by_source(spark: SparkSession, folder: str) -> DataFrame:
     """Counts need lengths alone: no vocabulary, one exchange of partial sums."""
     docs = flows.good(spark, folder)
-    n = F.floor((F.least(F.size(tx.words(F.col("text"))), F.lit(flows.TRUNCATE)) + 2) / flows.CHUNK)
+    n = F.floor((F.size(tx.words(F.col("text"))) + 2) / flows.CHUNK)
     return (
         docs.select("source", n.alias("n"))
         .groupBy("source")
@@ -359,9 +361,11 @@ def pending_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang""")
 def appended_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """One part per language, appended to one dataset again."""
+    """One part per language, and one for any other, appended to one dataset again."""
     docs = flows.documents(spark, folder).select("doc_id", "lang", "n_chars")
-    parts = [filters.by_language(docs, x) for x in ("en", "es", "fr", "de")]
+    known = ("en", "es", "fr", "de")
+    parts = [filters.by_language(docs, x) for x in known]
+    parts.append(docs.where(~F.coalesce(F.col("lang").isin(*known), F.lit(False))))
     return (
         shards.union_shards(*parts)
         .groupBy("lang")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sparsight.operators.ordering import index_documents
@@ -76,9 +78,9 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def head_percent(
     df: DataFrame, key: str, percent: float, splits: list[float] | None = None
 ) -> DataFrame:
-    """The first round(n * percent / 100) rows in key order."""
+    """The first round(n * percent / 100) rows in key order, halves up."""
     n = df.count()
-    keep = round(n * percent / 100)
+    keep = math.floor(n * percent / 100 + 0.5)
     return index_documents(df, key, "_idx", splits).where(F.col("_idx") < keep).drop("_idx")
 
 

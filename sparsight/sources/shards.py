@@ -69,10 +69,15 @@ def write_vectors_f16(
     """
     width = df.select(F.size(vector).alias("n")).first()["n"]
     limit = rows_per_file(width, 2, target)
+    # a bare path means the cluster's default store, not a task's own disk
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    uri = hadoop.getFileSystem(conf).makeQualified(hadoop).toString()
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and "://" not in uri else uri
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store, root = fs.FileSystem.from_uri(uri)
         store.create_dir(root, recursive=True)
         held, rows, files = [], 0, 0
 
@@ -92,6 +97,8 @@ def write_vectors_f16(
                     table, sink, compression="zstd", row_group_size=ROW_GROUP_ROWS,
                     data_page_size=PAGE_BYTES,
                 )
+            if store.get_file_info(final).type != fs.FileType.NotFound:
+                store.delete_file(final)
             store.move(passing, final)
             held, rows, files = [], 0, files + 1
 
@@ -138,6 +145,9 @@ def write_with_fallback(
         df.write.mode("overwrite").parquet(f"{target}/split={split}")
         return target, None
     except Exception as error:
+        # only what storage refuses; a failing computation would fail again
+        if not any(x in str(error) for x in ("java.io.", "org.apache.hadoop.fs.", "UnsupportedFileSystem")):
+            raise
         df.write.mode("overwrite").parquet(f"{fallback}/split={split}")
         return fallback, str(error).splitlines()[0]
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from sparsight.functions import text as tx
-from sparsight.operators.filters import quality_good
+from sparsight.operators.filters import quality_strict
 from sparsight.sources.corpus import CORPUS_SCHEMA
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,7 +30,7 @@ def stream_corpus(
 
 def stream_words(documents: DataFrame) -> DataFrame:
     """Filter and flatten: one row per word, BOS being position 0. No state."""
-    return quality_good(documents).select(
+    return quality_strict(documents).select(
         "doc_id", "source", F.posexplode(tx.words(F.col("text"))).alias("tok_pos", "token")
     ).withColumn("tok_pos", F.col("tok_pos") + 1)
 

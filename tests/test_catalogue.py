@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ["documents", "embeddings", "conversations", "labels"]
+TABLES = ["documents", "embeddings", "conversations", "labels", "pages", "benchmark"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 

@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from sparsight.operators.filters import quality_good
+from sparsight.operators.filters import quality_strict
 from sparsight.streaming import ingest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,7 +62,7 @@ def test_words_of_the_stream_equal_the_batch(spark, tmp_path):
     drop(spark, tmp_path / "in", arrivals(6) + [(99, "SHOUTED TEXT THAT IS LONG ENOUGH", "s0")])
     run(ingest.stream_words(ingest.stream_corpus(spark, str(tmp_path / "in"))), tmp_path / "out", tmp_path / "state")
     got = spark.read.parquet(str(tmp_path / "out"))
-    batch = quality_good(spark.read.parquet(str(tmp_path / "in")))
+    batch = quality_strict(spark.read.parquet(str(tmp_path / "in")))
     expected = sum(len(r.text.split()) for r in batch.collect())
     assert got.count() == expected and got.where("doc_id = 99").count() == 0
     assert got.agg(F.min("tok_pos")).first()[0] == 1
