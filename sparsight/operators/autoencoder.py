@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sparsight.functions.vectors import from_matrix, scale, squared_norm, to_matrix, unit
 from sparsight.operators.statistics import products
 
-MAX_BLOCK_BYTES = 512 << 20
+MAX_BLOCK_BYTES = 640 << 20  # both matrices of 16,384 latents of width 2,048 are 513 MiB
+MATRICES = ("w_enc", "w_dec")
 _CELLS_PER_STEP = 1 << 22  # codes computed at once inside a task
 
 TIE_DECIMALS = 9  # equal vectors must tie, though a product may differ in its last bits
@@ -81,12 +82,14 @@ class Block:
     w_dec: np.ndarray
 
 
-def collect_block(sae: DataFrame) -> Block:
-    t = sae.orderBy("latent").toArrow()
+def collect_block(sae: DataFrame, matrices: tuple[str, ...] = MATRICES) -> Block:
+    t = sae.select("latent", "b_enc", "log_threshold", *matrices).orderBy("latent").toArrow()
     if not t.num_rows:
         return Block(*[np.zeros(0)] * 5)
 
     def matrix(name: str) -> np.ndarray:
+        if name not in matrices:
+            return np.zeros((t.num_rows, 0))
         return to_matrix(t.column(name).combine_chunks())
 
     return Block(
@@ -98,15 +101,20 @@ def collect_block(sae: DataFrame) -> Block:
     )
 
 
-def blocks_of(sae: DataFrame, max_bytes: int = MAX_BLOCK_BYTES) -> Iterator[Block]:
-    """The dictionary in ranges of latent ids that stay below ``max_bytes`` each."""
+def blocks_of(
+    sae: DataFrame, max_bytes: int = MAX_BLOCK_BYTES, matrices: tuple[str, ...] = MATRICES
+) -> Iterator[Block]:
+    """The dictionary in ranges of latent ids that stay below ``max_bytes`` each.
+
+    Only the named matrices are read and counted; others stay empty.
+    """
     lo, hi, width = sae.agg(
-        F.min("latent"), F.max("latent"), F.max(F.size("w_enc"))
+        F.min("latent"), F.max("latent"), F.max(F.size(matrices[0]))
     ).first()
-    per_block = max(1, max_bytes // (16 * width + 24))
+    per_block = max(1, max_bytes // (8 * len(matrices) * width + 24))
     for first in range(lo, hi + 1, per_block):
         part = sae.where(F.col("latent").between(first, first + per_block - 1))
-        block = collect_block(part)
+        block = collect_block(part, matrices)
         if len(block.latent):
             yield block
 
@@ -190,7 +198,7 @@ def sae_encode(
     bias = None if b_dec is None else np.asarray(b_dec, dtype=np.float64)
     parts = [
         _encode_block(acts, block, bias, keys, vector, activation, top)
-        for block in blocks_of(sae, max_bytes)
+        for block in blocks_of(sae, max_bytes, ("w_enc",))
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -239,7 +247,7 @@ def sae_decode(
     there as well and decode to the bias. A group holds the codes of one vector: at most as many as there are latents.
     """
     grouped = z.groupBy(*keys).agg(F.collect_list(F.struct("latent", "z")).alias("codes"))
-    parts = [_decode_block(grouped, block, keys) for block in blocks_of(sae, max_bytes)]
+    parts = [_decode_block(grouped, block, keys) for block in blocks_of(sae, max_bytes, ("w_dec",))]
     if len(parts) == 1:
         decoded = parts[0]
     else:
@@ -408,7 +416,7 @@ def interference(
     over the bound become rows.
     """
     parts = []
-    for block in blocks_of(sae.withColumn("w_enc", F.col("w_dec")), max_bytes):
+    for block in blocks_of(sae, max_bytes, ("w_dec",)):
         shared = sae.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):

@@ -43,7 +43,7 @@ def _starts(totals: DataFrame, bucket: str, total: str, out: str) -> DataFrame:
     """Exclusive running sum over the bucket totals: one row per bucket."""
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
-        bucket, F.coalesce(F.sum(total).over(before), F.lit(0).cast("long")).alias(out)
+        bucket, total, F.coalesce(F.sum(total).over(before), F.lit(0).cast("long")).alias(out)
     )
 
 
@@ -58,7 +58,9 @@ def running_total(
     """Sum of ``value`` over all rows with a smaller ``key`` (unique, numeric).
 
     ``df`` is read twice, once for the bucket totals. ``values``, a table of
-    (key, value) that is cheaper to compute, may stand in for that pass.
+    (key, value) that is cheaper to compute, may stand in for that pass; where
+    its sums are not those of ``df``, the job fails instead of giving offsets
+    that overlap or leave gaps.
     """
     cuts = key_splits(df, key) if splits is None else splits
     bucketed = with_key_bucket(df, key, cuts, "_bucket").withColumn("_value", value.cast("long"))
@@ -71,11 +73,17 @@ def running_total(
         Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     )
     local = F.coalesce(F.sum("_value").over(inside), F.lit(0).cast("long"))
+    place = F.col("_start") + local
+    if values is not None:
+        end = F.lead(F.lit(1)).over(Window.partitionBy("_bucket").orderBy(key)).isNull()
+        wrong = end & (local + F.col("_value") != F.col("_total"))
+        told = F.raise_error(F.lit(f"the given values do not add up to those of the rows, by {key}"))
+        place = F.when(wrong, told.cast("long")).otherwise(place)
     # starts: one row per bucket, len(cuts) + 1 at most
     return (
         bucketed.join(F.broadcast(starts), "_bucket")
-        .withColumn(out, F.col("_start") + local)
-        .drop("_bucket", "_value", "_start")
+        .withColumn(out, place)
+        .drop("_bucket", "_value", "_start", "_total")
     )
 
 
@@ -107,7 +115,7 @@ def rank_rows(df: DataFrame, order: list[Column], out: str, start: int = 0) -> D
     return (
         fixed.join(F.broadcast(starts), "_part")
         .withColumn(out, F.col("_start") + within + start)
-        .drop("_part", "_mono", "_start")
+        .drop("_part", "_mono", "_start", "_total")
     )
 
 

@@ -201,12 +201,15 @@ def dim_token_corr(acts: DataFrame, token: str = "token_id") -> DataFrame:
     )
 
 
-def products(rows: DataFrame, column: str, bias: bool = False) -> DataFrame:
+def products(
+    rows: DataFrame, column: str, bias: bool = False, shift: list[float] | None = None
+) -> DataFrame:
     """(i, j, s): sums over all rows of x_i * x_j.
 
-    Each task adds up one matrix; the sums then meet per cell. With ``bias`` a
-    constant 1 is appended to every vector: its cells are the column sums and,
-    at the very end, the number of rows.
+    Each task adds up one matrix; its rows then meet by ``i`` as whole vectors.
+    With ``bias`` a constant 1 is appended to every vector: its cells are the
+    column sums and, at the very end, the number of rows. ``shift`` is taken
+    from every vector first.
     """
 
     def partial(batches):
@@ -215,6 +218,8 @@ def products(rows: DataFrame, column: str, bias: bool = False) -> DataFrame:
             x = to_matrix(batch.column(0))
             if not len(x):
                 continue
+            if shift is not None:
+                x = x - np.asarray(shift)
             if bias:
                 x = np.hstack([x, np.ones((len(x), 1))])
             total = x.T @ x if total is None else total + x.T @ x
@@ -224,34 +229,53 @@ def products(rows: DataFrame, column: str, bias: bool = False) -> DataFrame:
                 names=["i", "row"],
             )
 
-    tasks = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    partials = rows.select(column).coalesce(tasks).mapInArrow(partial, "i int, row array<double>")
-    return (
-        partials.select("i", F.posexplode("row").alias("j", "x"))
-        .groupBy("i", "j")
-        .agg(F.sum("x").alias("s"))
-    )
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}  # the matrix rows of this task, as many as its share of the width
+        for batch in batches:
+            for i, row in zip(batch.column("i").to_pylist(), to_matrix(batch.column("row"))):
+                sums[i] = sums[i] + row if i in sums else row
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), from_matrix(np.stack(list(sums.values())), pa.float64())],
+                names=["i", "row"],
+            )
 
+    schema = "i int, row array<double>"
+    summed = rows.select(column).mapInArrow(partial, schema).repartition("i").mapInArrow(added, schema)
+    return summed.select("i", F.posexplode("row").alias("j", "s"))
 
-def covariance(acts: DataFrame, column: str = "activation") -> DataFrame:
-    """(i, j, cov): sample covariance of the dimensions."""
-    fixed = materialize(products(acts, column, bias=True), "products")
-    last = fixed.agg(F.max("i")).first()[0]
+
+def _moments(acts: DataFrame, column: str) -> tuple[DataFrame, DataFrame, int, list[float]]:
+    """Sums of products around one of the vectors, written; means around it; rows; that vector.
+
+    Any vector of the table lies within its spread, so no digits are lost where
+    the means are large next to it.
+    """
+    shift = [float(x) for x in acts.select(column).first()[0]]
+    fixed = materialize(products(acts, column, bias=True, shift=shift), "products")
+    last = len(shift)
     n = fixed.where((F.col("i") == last) & (F.col("j") == last)).first()["s"]
     means = fixed.where((F.col("i") == last) & (F.col("j") < last)).select(
         F.col("j").alias("d"), (F.col("s") / n).alias("m")
     )
+    return fixed.where((F.col("i") < last) & (F.col("j") < last)), means, n, shift
+
+
+def _covariance(sums: DataFrame, means: DataFrame, n: float) -> DataFrame:
     # means: one row per dimension
     mean_i = F.broadcast(means.select(F.col("d").alias("i"), F.col("m").alias("mi")))
     mean_j = F.broadcast(means.select(F.col("d").alias("j"), F.col("m").alias("mj")))
     return (
-        fixed.where((F.col("i") < last) & (F.col("j") < last))
-        .join(mean_i, "i")
-        .join(mean_j, "j")
+        sums.join(mean_i, "i").join(mean_j, "j")
         .select("i", "j", ((F.col("s") - n * F.col("mi") * F.col("mj")) / (n - 1)).alias("cov"))
     )
 
 
+def covariance(acts: DataFrame, column: str = "activation") -> DataFrame:
+    """(i, j, cov): sample covariance of the dimensions."""
+    return _covariance(*_moments(acts, column)[:3])
+
+
 @dataclass(frozen=True)
 class Pca:
     mean: np.ndarray
@@ -264,12 +288,13 @@ def pca_fit(acts: DataFrame, k: int = 2, column: str = "activation") -> Pca:
     width = acts.select(F.size(column).alias("n")).first()["n"]
     if width > _MAX_WIDTH:
         raise ValueError(f"covariance of width {width} exceeds {_MAX_WIDTH}")
-    cells = covariance(acts, column).toArrow()
+    sums, around, n, shift = _moments(acts, column)
+    cells = _covariance(sums, around, n).toArrow()
     matrix = np.zeros((width, width))
     matrix[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["cov"].to_numpy()
-    means = _elements(acts, column=column).groupBy("dim").agg(F.avg(_x()).alias("m")).toArrow()
-    mean = np.zeros(width)
-    mean[means["dim"].to_numpy()] = means["m"].to_numpy()
+    means = around.toArrow()
+    mean = np.array(shift)
+    mean[means["d"].to_numpy()] += means["m"].to_numpy()
     values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(values)[::-1][:k]
     components = vectors[:, order].T

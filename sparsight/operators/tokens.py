@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparsight.functions import text as tx
 from sparsight.operators.ordering import index_documents, rank_rows
@@ -14,9 +17,10 @@ BOS_ID = 0
 EOS_ID = 1
 FIRST_WORD_ID = 2
 
-# A vocabulary up to this many words is broadcast whole; beyond it only its
-# most frequent HEAD_WORDS are, and the rest meets its tokens in a shuffle.
+# A vocabulary up to this many words and bytes is broadcast whole; beyond them only
+# its most frequent HEAD_WORDS are, and the rest meets its tokens in a shuffle.
 BROADCAST_WORDS = 500_000
+BROADCAST_BYTES = 64 << 20
 HEAD_WORDS = 20_000
 
 _POS_BITS = 32
@@ -33,11 +37,13 @@ def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
     return ranked.withColumn("token_id", F.col("token_id").cast("int"))
 
 
-def _attach_ids(
-    words: DataFrame, vocab: DataFrame, broadcast_words: int, head_words: int
-) -> DataFrame:
-    if vocab.limit(broadcast_words + 1).count() <= broadcast_words:
-        return words.join(F.broadcast(vocab), "token", "left")
+def _small(vocab: DataFrame, words: int) -> bool:
+    """Whether a vocabulary may be broadcast whole: its words are counted and measured."""
+    n, size = vocab.agg(F.count("*"), F.sum(F.octet_length("token"))).first()
+    return n <= words and (size or 0) <= BROADCAST_BYTES
+
+
+def _attach_ids(words: DataFrame, vocab: DataFrame, head_words: int) -> DataFrame:
     # Ids follow frequency: the head holds every hot word, and no word of the
     # tail can exceed 1 / head_words of all tokens.
     last = FIRST_WORD_ID + head_words
@@ -48,6 +54,27 @@ def _attach_ids(
     return frequent.unionByName(rare)
 
 
+def _in_place(vocab: DataFrame):
+    """Words to ids by a broadcast vocabulary: no exchange, and no row per word."""
+    table = vocab.toArrow()
+    columns = [table.column(c).combine_chunks() for c in ("token", "token_id")]
+    shared = vocab.sparkSession.sparkContext.broadcast(columns)
+
+    @F.arrow_udf("array<int>")
+    def ids(words: pa.Array) -> pa.Array:
+        known, numbers = shared.value
+        coded = words.flatten().dictionary_encode()
+        # each distinct word is looked up once; what is unknown stays null and is left out
+        of_word = numbers.take(pc.index_in(coded.dictionary.cast(known.type), value_set=known))
+        found = of_word.take(coded.indices)
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        kept = np.concatenate([[0], np.cumsum(found.is_valid().to_numpy(zero_copy_only=False))])
+        offsets = kept[np.concatenate([[0], np.cumsum(sizes)])]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found.drop_null().cast(pa.int32()))
+
+    return ids
+
+
 def tokenize(
     df: DataFrame,
     vocab: DataFrame,
@@ -58,14 +85,17 @@ def tokenize(
 ) -> DataFrame:
     """(key, ids): the word ids of each document in order, no special tokens.
 
-    Words outside the vocabulary have no id and are left out. A group is one
-    document, which already was one row; where the corpus is partitioned by
-    key the ids come together again without an exchange.
+    Words outside the vocabulary have no id and are left out. With a small
+    vocabulary documents stay where they are. Beyond that words become rows,
+    and a group is one document, which already was one row.
     """
+    vocab = vocab.select("token", "token_id")
+    if _small(vocab, broadcast_words):
+        return df.select(key, _in_place(vocab)(tx.words(F.col(text))).alias("ids"))
     words = df.select(
         key, F.posexplode_outer(tx.words(F.col(text))).alias("pos", "token")
     )
-    ids = _attach_ids(words, vocab.select("token", "token_id"), broadcast_words, head_words)
+    ids = _attach_ids(words, vocab, head_words)
     # One long per token, position above id: sorts as a primitive array.
     # It is null, and so not collected, where there is no id.
     packed = F.shiftleft(F.col("pos").cast("long"), _POS_BITS).bitwiseOR(F.col("token_id"))
@@ -172,10 +202,13 @@ def pad_batch(
     pad: int = EOS_ID,
     splits: list[float] | None = None,
 ) -> DataFrame:
-    """Pad to the longest sequence of each batch of ``size`` documents."""
-    batched = assign_batches(seqs, size, key, splits=splits)
-    longest = batched.groupBy("batch_id").agg(F.max(F.size("seq")).alias("_longest"))
-    return batched.join(longest, "batch_id").select(
+    """Pad to the longest sequence of each batch of ``size`` documents.
+
+    A window holds the ``size`` rows of one batch.
+    """
+    longest = F.max(F.size("seq")).over(Window.partitionBy("batch_id"))
+    batched = assign_batches(seqs, size, key, splits=splits).withColumn("_longest", longest)
+    return batched.select(
         "batch_id",
         key,
         pad_to(F.col("seq"), F.col("_longest"), pad).alias("input_ids"),
@@ -219,7 +252,7 @@ def rebuild_text(
     A group is one document, which already was one row of the corpus.
     """
     lookup = vocab.select("token", "token_id")
-    if lookup.limit(broadcast_words + 1).count() <= broadcast_words:
+    if _small(lookup, broadcast_words):
         named = tokens.join(F.broadcast(lookup), "token_id")
     else:
         last = FIRST_WORD_ID + head_words

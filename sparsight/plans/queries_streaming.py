@@ -18,12 +18,14 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.stream_corpus(spark, folder, "documents.parquet")
 
 
-def _run(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
+def _run(
+    stream: DataFrame, spark: SparkSession, mode: str = "append", checkpoint: str | None = None
+) -> DataFrame:
     """Run to the end of the input into files, and read those."""
     path = scratch_path(spark, "stream")
     writer = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", scratch_path(spark, "stream-state"))
+        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-state"))
         .trigger(availableNow=True)
     )
     if mode == "append":
@@ -57,11 +59,13 @@ def streamed_rms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {LENGTHS},
-buckets AS (SELECT source || '-' || substr(md5(doc_id::VARCHAR), 1, 1) AS bucket, sum(n)::BIGINT AS n FROM lengths GROUP BY 1)
-SELECT bucket, n // 128 AS n_blocks, (n // 128) * 128 AS n_tokens FROM buckets WHERE n >= 128""")
+buckets AS (SELECT source || '-' || substr(md5(doc_id::VARCHAR), 1, 1) AS bucket, sum(n)::BIGINT AS n,
+            sum(n * (n - 1) // 2)::BIGINT AS positions, sum(doc_id * n)::BIGINT AS documents FROM lengths GROUP BY 1)
+SELECT bucket, (n + 127) // 128 AS n_blocks, n AS n_tokens, positions, documents FROM buckets""")
 def streamed_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks per (source, hash of the document), so that a source that holds
     much of the corpus is packed by many tasks. Word hashes stand in for ids.
+    The short last blocks are taken from the state once the input has ended.
     """
     part = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
     docs = quality_strict(_documents(spark, folder))
@@ -75,12 +79,15 @@ def streamed_blocks(spark: SparkSession, folder: str) -> DataFrame:
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, ingest.ROCKSDB)
+    checkpoint = scratch_path(spark, "stream-state")
     try:
-        blocks = _run(ingest.stream_pack(seqs, BLOCK), spark)
+        blocks = _run(ingest.stream_pack(seqs, BLOCK), spark, checkpoint=checkpoint)
     finally:
         spark.conf.set(name, before)
-    return blocks.groupBy("bucket").agg(
-        F.count("*").alias("n_blocks"), F.sum(F.size("ids")).alias("n_tokens")
+    total = lambda name: F.sum(F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x))
+    return blocks.unionByName(ingest.left_over(spark, checkpoint)).groupBy("bucket").agg(
+        F.count("*").alias("n_blocks"), F.sum(F.size("ids")).alias("n_tokens"),
+        total("positions").alias("positions"), total("docs").alias("documents"),
     )
 
 

@@ -106,6 +106,7 @@ def stream_pack(seqs: DataFrame, block: int, bucket: str = "bucket") -> DataFram
 
     Order is per bucket: make buckets of (source, hash of the document) so
     that a large source is packed by many tasks. Needs the RocksDB state store.
+    At the end of the input ``left_over`` has the tokens that still wait.
     """
     return (
         seqs.select(F.col(bucket).cast("string").alias("bucket"), "doc_id", "seq")
@@ -117,6 +118,17 @@ def stream_pack(seqs: DataFrame, block: int, bucket: str = "bucket") -> DataFram
     )
 
 
+def left_over(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The last, short block of each bucket, from the state of a stopped ``stream_pack``.
+
+    A bucket without waiting tokens has none. The stream must have finished a batch.
+    """
+    state = spark.read.format("statestore").option("stateVarName", "left").load(checkpoint)
+    return state.where(F.size("value.ids") > 0).select(
+        "key.bucket", F.col("value.blocks").alias("block_no"), "value.docs", "value.positions", "value.ids"
+    )
+
+
 def flush_shards(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write every micro-batch as its own split, named after the batch number.
 

@@ -47,7 +47,11 @@ def test_packing_carries_the_rest_between_arrivals(spark, tmp_path):
     for b in sorted(blocks, key=lambda r: (r.bucket, r.block_no)):
         assert len(b.ids) == block
         packed[b.bucket] += list(zip(b.docs, b.positions, b.ids))
+    left = {r.bucket: r for r in ingest.left_over(spark, str(state)).collect()}
     for bucket, all_tokens in tokens.items():
+        rest = left.get(bucket)
+        waiting = list(zip(rest.docs, rest.positions, rest.ids)) if rest else []
+        assert sorted(packed[bucket] + waiting) == sorted(all_tokens)
         numbers = [b.block_no for b in blocks if b.bucket == bucket]
         assert sorted(numbers) == list(range(len(all_tokens) // block))
         assert len(set(packed[bucket])) == len(packed[bucket])
