@@ -15,6 +15,7 @@ from sparsight.llm import (
     components, lempel_ziv_dedup, licence_scan, link_rank, packing, phrase_index, projected_neighbours, secret_scan,
     simhash_dedup, toxicity, warc,
 )
+from sparsight.llm.words import hashed
 
 RNG = np.random.default_rng(3)
 VOCABULARY = [f"w{i}" for i in range(60)]
@@ -353,3 +354,13 @@ def test_pipeline_stages_keep_columns(spark, docs, empty, tmp_path):
             left = stage(spark, left, str(tmp_path))
             assert left.columns == table.columns, name
         assert 6 not in {r.doc_id for r in left.collect()}
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    words = pa.array(["a", "ab", "abcdefgh", "abcdefghi", "a\0", "é" * 40, "x" * 64, "x" * 65, "x" * 500, "zz"])
+    whole = hashed(words)
+    assert len(set(whole.tolist())) == len(words)
+    assert (hashed(words.slice(2, 6)) == whole[2:8]).all() and not len(hashed(words.slice(0, 0)))
+    assert [int(hashed(words.slice(i, 1))[0]) for i in range(len(words))] == whole.tolist()
+    many = pa.array([f"w{i}" * (1 + i % 5) for i in range(20_000)])
+    assert len(set(hashed(many).tolist())) == 20_000
