@@ -91,10 +91,11 @@ def _with_bins(
 
 def histogram(acts: DataFrame, bins: int = 100) -> DataFrame:
     """(bin, lower, upper, n, density) over all elements, last bin closed."""
-    lo, hi = (
-        acts.agg(
+    lo, hi, total = (
+        acts.where(F.col("activation").isNotNull()).agg(
             F.min(F.array_min("activation")).cast("double"),
             F.max(F.array_max("activation")).cast("double"),
+            F.sum(F.size("activation")),
         ).first()
     )
     width = (hi - lo) / bins
@@ -103,8 +104,6 @@ def histogram(acts: DataFrame, bins: int = 100) -> DataFrame:
     )
     frame = acts.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     filled = frame.join(counted, "bin", "left").na.fill(0, ["n"])
-    # the total is the sum of at most ``bins`` rows
-    total = counted.agg(F.sum("n").alias("total")).first()["total"]
     return filled.select(
         "bin",
         (F.lit(lo) + F.col("bin") * width).alias("lower"),
