@@ -4,62 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from sparsight.functions.vectors import (
     bf16_codes, bf16_values, f16_codes, f16_values, from_matrix,
 )
 from sparsight.operators.filters import drop_special
 from sparsight.operators.joins import lookup_join
+from sparsight.operators.ordering import running_total
+from sparsight.session import materialize
 
 Model = Callable[[np.ndarray], np.ndarray]
+MAX_MODEL_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
 class GatedMlp:
-    """Recipe of the offline model: ``down(silu(gate x) * (up x))`` per layer.
-
-    Call it with ids (rows, tokens) to get the output of one layer's MLP,
-    (rows, tokens, width); deeper layers are never computed. Weights follow
-    from the seed and are made once per Python worker; single precision.
+    """A stack of gated layers with given weights: ``down(silu(gate x) * (up x))``.
+
+    ``embedding`` has one row per id, taken modulo their number; ``layers``
+    hold (gate, up, down), each hidden x width, and their outputs are added to
+    what goes into the next one. Call it with ids (rows, tokens) to get the
+    outputs of the layers in ``kept``, (kept, rows, tokens, width), or of the
+    only one without the first axis. Layers above the last kept one are not
+    computed. The weights travel with the job: ``MAX_MODEL_BYTES`` at most.
     """
 
-    layer: int = 0
-    width: int = 64
-    hidden: int = 128
-    seed: int = 42
+    embedding: np.ndarray
+    layers: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]
+    kept: tuple[int, ...] = (0,)
     max_tokens: int | None = None
 
+    def __post_init__(self) -> None:
+        if self.embedding.nbytes + sum(w.nbytes for layer in self.layers for w in layer) > MAX_MODEL_BYTES:
+            raise ValueError("weights exceed what is sent with a job: load them in the worker instead")
+        if not self.kept or max(self.kept) >= len(self.layers):
+            raise ValueError("no such layer")
+
     def __call__(self, ids: np.ndarray) -> np.ndarray:
         if self.max_tokens is not None and ids.shape[1] > self.max_tokens:
             raise MemoryError(f"sequence exceeds {self.max_tokens} tokens")
-        frequencies, layers = _weights(self)
-        angle = (ids[..., None].astype(np.float64) + 1.0) * frequencies
-        angle = np.remainder(angle, 2 * np.pi).astype(np.float32)
-        x = np.concatenate([np.sin(angle), np.cos(angle)], axis=-1)
-        for depth, (gate, up, down) in enumerate(layers):
-            gated = x @ gate
-            out = (gated / (1.0 + np.exp(-gated)) * (x @ up)) @ down
-            if depth == self.layer:
-                return out
-            x = x + out
-        raise ValueError("no such layer")
-
-
-@lru_cache(maxsize=8)
-def _weights(cfg: GatedMlp):
-    rng = np.random.default_rng(cfg.seed)
-    frequencies = 1.0 / 10_000 ** (np.arange(cfg.width // 2) / (cfg.width // 2))
-    shapes = [(cfg.width, cfg.hidden), (cfg.width, cfg.hidden), (cfg.hidden, cfg.width)]
-    layers = [
-        tuple(rng.normal(0.0, s[0] ** -0.5, s).astype(np.float32) for s in shapes)
-        for _ in range(cfg.layer + 1)
-    ]
-    return frequencies, layers
+        # a vector follows from its id alone, so every id is computed once
+        distinct, place = np.unique(ids % len(self.embedding), return_inverse=True)
+        x, outputs = self.embedding[distinct], {}
+        for depth, (gate, up, down) in enumerate(self.layers[: max(self.kept) + 1]):
+            gated = x @ gate.T
+            outputs[depth] = (gated / (1.0 + np.exp(-gated)) * (x @ up.T)) @ down
+            x = x + outputs[depth]
+        whole = np.stack([outputs[k] for k in self.kept])[:, place.reshape(ids.shape)]
+        return whole if len(self.kept) > 1 else whole[0]
 
 
 def align_blocks(blocks: DataFrame) -> DataFrame:
@@ -79,6 +76,16 @@ def align_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
+def number_rows(aligned: DataFrame, special: Sequence[int] = (0, 1)) -> DataFrame:
+    """``aligned`` with ``first_row``: how many kept tokens stand in the blocks before.
+
+    The rows of a run can so be numbered without a gap before the model makes
+    vectors of them; only blocks of ids are ordered. Block ids are unique.
+    """
+    kept = F.size(F.filter("ids", lambda t: ~t.isin(list(special))))
+    return running_total(materialize(aligned, "blocks"), "block_id", kept, "first_row")
+
+
 def align_chunks(chunks: DataFrame) -> DataFrame:
     """The same columns from chunks of single documents."""
     n = F.size("ids")
@@ -90,8 +97,7 @@ def align_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
-_OUT = "block_id long, doc_id long, tok_pos int, token_id int, activation array<float>, error string"
-_ARROW_OUT = pa.schema(
+_OUT = pa.schema(
     [
         ("block_id", pa.int64()), ("doc_id", pa.int64()), ("tok_pos", pa.int32()),
         ("token_id", pa.int32()), ("activation", pa.list_(pa.float32())), ("error", pa.string()),
@@ -105,6 +111,7 @@ def extract_activations(
     special: Sequence[int] = (0, 1),
     rows_per_call: int = 16,
     on_error: str = "raise",
+    layers: Sequence[int] | None = None,
 ) -> DataFrame:
     """Run ``model`` over aligned blocks, one row per token that is kept.
 
@@ -112,24 +119,40 @@ def extract_activations(
     With ``on_error='quarantine'`` a batch that fails is tried again block by
     block; a block that still fails becomes one row holding the error text,
     and the job goes on. Split the result with ``succeeded`` and ``failed``.
+
+    ``layers`` names the layers of a model that returns several at once; each
+    token then has one row per layer, told apart by ``layer``. Blocks from
+    ``number_rows`` give rows their ``row_id``, the place of the token among
+    all kept ones.
     """
     drop = np.array(sorted(special), dtype=np.int64)
-
-    def rows_of(block_ids, docs, positions, ids) -> pa.RecordBatch:
+    numbered = "first_row" in aligned.columns
+    out = _OUT
+    if numbered:
+        out = out.append(pa.field("row_id", pa.int64()))
+    if layers is not None:
+        out = out.append(pa.field("layer", pa.int32()))
+
+    def rows_of(block_ids, docs, positions, ids, first) -> Iterator[pa.RecordBatch]:
         kept = ~np.isin(ids, drop)
-        vectors = model(ids)[kept].astype(np.float32)
-        n = len(vectors)
-        return pa.RecordBatch.from_arrays(
-            [
+        whole = model(ids)
+        for number, values in zip(layers, whole) if layers is not None else ((None, whole),):
+            vectors = values[kept].astype(np.float32)
+            n = len(vectors)
+            columns = [
                 pa.array(np.repeat(block_ids, ids.shape[1])[kept.ravel()], pa.int64()),
                 pa.array(docs[kept], pa.int64()),
                 pa.array(positions[kept], pa.int32()),
                 pa.array(ids[kept], pa.int32()),
                 from_matrix(vectors, pa.float32()) if n else pa.array([], pa.list_(pa.float32())),
                 pa.nulls(n, pa.string()),
-            ],
-            schema=_ARROW_OUT,
-        )
+            ]
+            if numbered:
+                place = first[:, None] + np.cumsum(kept, axis=1) - 1
+                columns.append(pa.array(place[kept], pa.int64()))
+            if layers is not None:
+                columns.append(pa.array(np.full(n, number), pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     def error_row(block_ids, docs, error: Exception) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(
@@ -139,12 +162,12 @@ def extract_activations(
                     "error": f"{type(error).__name__}: {error}",
                 }
             ],
-            schema=_ARROW_OUT,
+            schema=out,
         )
 
     def attempt(parts) -> Iterable[pa.RecordBatch]:
         try:
-            yield rows_of(*parts)
+            made = list(rows_of(*parts))
         except Exception as error:
             if on_error != "quarantine":
                 raise
@@ -153,10 +176,13 @@ def extract_activations(
                 return
             for i in range(len(parts[0])):
                 yield from attempt([p[i : i + 1] for p in parts])
+        else:
+            yield from made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block_ids = batch.column("block_id").to_numpy(zero_copy_only=False)
+            first = batch.column("first_row").to_numpy(zero_copy_only=False) if numbered else block_ids
             columns = [batch.column(c) for c in ("docs", "positions", "ids")]
             lengths = columns[2].value_lengths().to_numpy(zero_copy_only=False)
             # Calls take blocks of one length; only tails differ.
@@ -168,9 +194,11 @@ def extract_activations(
                     for column in columns:
                         flat = column.take(take).flatten().to_numpy(zero_copy_only=False)
                         parts.append(flat.reshape(len(take), length))
+                    parts.append(first[where[at : at + rows_per_call]])
                     yield from attempt(parts)
 
-    return aligned.select("block_id", "docs", "positions", "ids").mapInArrow(run, _OUT)
+    columns = ["block_id", "docs", "positions", "ids", *(["first_row"] if numbered else [])]
+    return aligned.select(*columns).mapInArrow(run, from_arrow_schema(out))
 
 
 def succeeded(rows: DataFrame) -> DataFrame:

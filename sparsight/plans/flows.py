@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparsight.operators import autoencoder, extraction, latents, ordering, packing, tokens
 from sparsight.operators.filters import drop_special, quality_strict
 from sparsight.session import materialize
+from sparsight.sources import shards
 from sparsight.sources.corpus import read_corpus, read_vectors
 
 SPECIAL = [tokens.BOS_ID, tokens.EOS_ID]
@@ -85,6 +86,33 @@ def dictionary(spark: SparkSession, folder: str) -> DataFrame:
     return materialize(made, "dictionary")  # read several times, made from all vectors once
 
 
+def gated_mlp(
+    spark: SparkSession, folder: str, kept: tuple[int, ...] = (0,), width: int = WIDTH, **kwargs
+) -> extraction.GatedMlp:
+    """Two gated layers whose weights are the directions of the dictionary.
+
+    The dictionary has one direction per label and fold, however many vectors
+    there are. Ids stand for its rows; the second layer swaps gate and up.
+    """
+    w = autoencoder.collect_block(dictionary(spark, folder), ("w_enc",)).w_enc[:, :width]
+    return extraction.GatedMlp(w, ((w, w[::-1], w), (w[::-1], w, w)), kept, **kwargs)
+
+
+def activation_dataset(spark: SparkSession, folder: str, path: str, rows: int) -> DataFrame:
+    """Corpus to stored activations: filter, pack, model, special ids out, numbered shards.
+
+    Rows are numbered before the model runs, so no vector is shuffled: a task
+    writes the rows it has made. Returns what was written, read back.
+    """
+    aligned = extraction.number_rows(
+        extraction.align_blocks(blocks(spark, folder, keep_tail=True)), SPECIAL
+    )
+    made = extraction.extract_activations(aligned, gated_mlp(spark, folder), SPECIAL)
+    numbered = shards.name_shards(extraction.succeeded(made), "row_id", rows)
+    shards.write_shards(numbered, path, clustered=True)
+    return spark.read.parquet(path)
+
+
 def vector_codes(spark: SparkSession, folder: str, **kwargs) -> DataFrame:
     return autoencoder.sae_encode(
         vectors(spark, folder), dictionary(spark, folder), ["vec_id", "label"], **kwargs

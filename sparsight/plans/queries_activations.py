@@ -18,6 +18,7 @@ from sparsight.sources import corpus as sources, shards
 
 SHARD_ROWS = 100
 MATRIX_ROWS = 32
+DATASET_ROWS = shards.rows_per_file(flows.WIDTH, 4)
 
 _NUMBERED = EMB + """,
 numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM emb)"""
@@ -262,23 +263,78 @@ def fallback_write(spark: SparkSession, folder: str) -> DataFrame:
 # --- extraction --------------------------------------------------------------
 
 
-@query()
+_MLP = f"""{PLACED}, {DICT},
+w AS (SELECT w, row_number() OVER (ORDER BY latent) - 1 AS i, count(*) OVER () AS n FROM dict),
+halves AS (SELECT a.i AS t, h.i AS h, list_inner_product(a.w, h.w) AS p, list_inner_product(a.w, u.w) AS q
+           FROM w a, w h JOIN w u ON u.i = h.n - 1 - h.i),
+out0 AS (SELECT t, d, sum(p / (1 + exp(-p)) * q * w[d]) AS y FROM halves JOIN w ON w.i = h,
+         (SELECT unnest(range(1, (SELECT max(len(w)) FROM w) + 1)) AS d) GROUP BY t, d),
+x1 AS (SELECT t, list(y + w[d] ORDER BY d) AS x FROM out0 JOIN w ON w.i = t GROUP BY t),
+halves1 AS (SELECT t, h.i AS h, list_inner_product(x, u.w) AS p, list_inner_product(x, h.w) AS q
+            FROM x1, w h JOIN w u ON u.i = h.n - 1 - h.i),
+out1 AS (SELECT t, d, sum(p / (1 + exp(-p)) * q * w[d]) AS y FROM halves1 JOIN w ON w.i = h,
+         (SELECT unnest(range(1, (SELECT max(len(w)) FROM w) + 1)) AS d) GROUP BY t, d),
+made AS (SELECT layer, t, list(y::FLOAT::DOUBLE ORDER BY d) AS x
+         FROM (SELECT 0 AS layer, * FROM out0 UNION ALL SELECT 1, * FROM out1) GROUP BY layer, t),
+runs AS (SELECT layer, doc_id, tok_pos, token_id, g, x FROM placed
+         JOIN made ON made.t = token_id % (SELECT count(*) FROM w) WHERE token_id NOT IN (0, 1))"""
+_PARTS = f"{r('x[1]', 'first')}, {r('list_sum(x)', 'total')}, {r('list_inner_product(x, x)', 'sq')}"
+
+
+def _parts() -> list:
+    x = F.transform("activation", lambda v: v.cast("double"))
+    return [
+        F.element_at("activation", 1).alias("first"),
+        F.aggregate(x, F.lit(0.0), lambda s, v: s + v).alias("total"),
+        squared_norm("activation").alias("sq"),
+    ]
+
+
+@query(f"WITH {_MLP} SELECT doc_id, tok_pos, token_id, {_PARTS} FROM runs WHERE layer = 1")
 def mlp_activations(spark: SparkSession, folder: str) -> DataFrame:
-    """Packed blocks through the offline model; one row per kept token."""
-    aligned = extraction.align_blocks(flows.blocks(spark, folder))
-    rows = extraction.succeeded(extraction.extract_activations(aligned, extraction.GatedMlp(1)))
-    return rows.select(
-        "doc_id", "tok_pos", "token_id", F.element_at("activation", 1).alias("first")
+    """Packed blocks through the second layer; one row per kept token."""
+    aligned = extraction.align_blocks(flows.blocks(spark, folder, keep_tail=True))
+    model = flows.gated_mlp(spark, folder, (1,))
+    rows = extraction.succeeded(extraction.extract_activations(aligned, model))
+    return rows.select("doc_id", "tok_pos", "token_id", *_parts())
+
+
+@query(f"""WITH {_MLP}
+SELECT layer, doc_id, count(*) AS n_rows, {r('sum(list_sum(x))', 'total')},
+  {r('sum(list_inner_product(x, x))', 'sq')} FROM runs GROUP BY layer, doc_id""")
+def layer_activations(spark: SparkSession, folder: str) -> DataFrame:
+    """Both layers out of one run of the model."""
+    aligned = extraction.align_blocks(flows.blocks(spark, folder, keep_tail=True))
+    model = flows.gated_mlp(spark, folder, (0, 1))
+    rows = extraction.succeeded(extraction.extract_activations(aligned, model, layers=(0, 1)))
+    return rows.select("layer", "doc_id", *_parts()).groupBy("layer", "doc_id").agg(
+        F.count("*").alias("n_rows"), F.sum("total").alias("total"), F.sum("sq").alias("sq")
+    )
+
+
+@query(f"""WITH {_MLP},
+numbered AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS row_id FROM runs WHERE layer = 0)
+SELECT 'train_' || lpad((row_id // {DATASET_ROWS})::VARCHAR, 5, '0') AS split, doc_id,
+  count(*) AS n_rows, min(row_id) AS first_row, max(row_id) AS last_row, sum(token_id)::BIGINT AS ids,
+  {r('sum(list_sum(x))', 'total')}, {r('sum(list_inner_product(x, x))', 'sq')}
+FROM numbered GROUP BY 1, 2""")
+def activation_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored vectors of all tokens, from the corpus through the model to numbered shards."""
+    path = scratch_path(spark, "dataset")
+    stored = flows.activation_dataset(spark, folder, path, DATASET_ROWS)
+    return stored.select("split", "doc_id", "row_id", "token_id", *_parts()).groupBy("split", "doc_id").agg(
+        F.count("*").alias("n_rows"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"),
+        F.sum("token_id").alias("ids"), F.sum("total").alias("total"), F.sum("sq").alias("sq"),
     )
 
 
 @query(f"""WITH {PLACED}
 SELECT g // 128 AS block_id, doc_id, tok_pos, token_id, 16::BIGINT AS n_values FROM placed
-WHERE token_id NOT IN (0, 1) AND g // 128 < (SELECT count(*) FROM placed) // 128""")
+WHERE token_id NOT IN (0, 1)""")
 def mlp_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Which token of which block every row of a model run belongs to."""
-    aligned = extraction.align_blocks(flows.blocks(spark, folder))
-    model = extraction.GatedMlp(width=16, hidden=16)
+    aligned = extraction.align_blocks(flows.blocks(spark, folder, keep_tail=True))
+    model = flows.gated_mlp(spark, folder, width=16)
     rows = extraction.succeeded(extraction.extract_activations(aligned, model))
     return rows.select(
         "block_id", "doc_id", "tok_pos", "token_id", F.size("activation").alias("n_values")
@@ -305,7 +361,7 @@ SELECT source, sum(CASE WHEN k <= 256 THEN words ELSE 0 END)::BIGINT AS tokens_k
        count(*) FILTER (k > 256) AS blocks_failed FROM kept GROUP BY source""")
 def quarantined_batches(spark: SparkSession, folder: str) -> DataFrame:
     """A model out of memory beyond 256 tokens: failing blocks are set aside."""
-    model = extraction.GatedMlp(max_tokens=256)
+    model = flows.gated_mlp(spark, folder, max_tokens=256)
     cut = tokens.chunk(flows.sequences(spark, folder), 512, keep_tail=True)
     rows = extraction.extract_activations(
         extraction.align_chunks(cut), model, on_error="quarantine"

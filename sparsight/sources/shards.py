@@ -24,9 +24,12 @@ def assign_shards(
     df: DataFrame, key: str, rows: int, splits: list[float] | None = None
 ) -> DataFrame:
     """``split`` train_00000, train_00001, ... of ``rows`` rows in key order."""
-    indexed = index_documents(df, key, "_idx", splits)
-    name = F.format_string(SPLIT_FORMAT, F.expr(f"_idx div {int(rows)}"))
-    return indexed.withColumn("split", name).drop("_idx")
+    return name_shards(index_documents(df, key, "_idx", splits), "_idx", rows).drop("_idx")
+
+
+def name_shards(df: DataFrame, number: str, rows: int) -> DataFrame:
+    """``split`` of ``rows`` rows each, for rows that ``number`` numbers without a gap."""
+    return df.withColumn("split", F.format_string(SPLIT_FORMAT, F.expr(f"`{number}` div {int(rows)}")))
 
 
 def write_shards(df: DataFrame, path: str, mode: str = "append", clustered: bool = False) -> None:

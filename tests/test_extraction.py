@@ -12,36 +12,72 @@ def blocks(spark, size=8, **kwargs):
     return packing.pack(df, size, **kwargs)
 
 
-def naive(cfg, token):
-    """One token through the layers, number by number."""
-    frequencies, layers = extraction._weights(cfg)
-    x = [f((token + 1) * w) for f in (np.sin, np.cos) for w in frequencies]
-    for depth, (gate, up, down) in enumerate(layers):
+def network(kept=(0,), width=8, hidden=6, ids=11):
+    rng = np.random.default_rng(3)
+    weights = lambda n: rng.normal(0, 0.4, (n, width))
+    layers = tuple(tuple(weights(hidden) for _ in range(3)) for _ in range(2))
+    return extraction.GatedMlp(weights(ids), layers, kept)
+
+
+def naive(net, token):
+    """One token through both layers, number by number."""
+    x = list(net.embedding[token % len(net.embedding)])
+    outputs = []
+    for gate, up, down in net.layers:
         hidden = []
-        for h in range(cfg.hidden):
-            g = sum(x[i] * gate[i, h] for i in range(cfg.width))
-            u = sum(x[i] * up[i, h] for i in range(cfg.width))
+        for g_row, u_row in zip(gate, up):
+            g = sum(a * b for a, b in zip(x, g_row))
+            u = sum(a * b for a, b in zip(x, u_row))
             hidden.append(g / (1 + np.exp(-g)) * u)
-        out = [sum(hidden[h] * down[h, i] for h in range(cfg.hidden)) for i in range(cfg.width)]
-        if depth == cfg.layer:
-            return out
+        out = [sum(h * row[i] for h, row in zip(hidden, down)) for i in range(len(x))]
+        outputs.append(out)
         x = [a + b for a, b in zip(x, out)]
+    return outputs
+
+
+EXPECTED = {(d, p): t for d, s in ROWS for p, t in enumerate(s) if t not in (0, 1)}
 
 
 def test_model_job_against_a_loop(spark):
-    cfg = extraction.GatedMlp(layer=1, width=8, hidden=6)
+    net = network((1,))
+    aligned = extraction.align_blocks(blocks(spark, keep_tail=True))
+    rows = extraction.succeeded(extraction.extract_activations(aligned, net, rows_per_call=2)).collect()
+    assert {(r.doc_id, r.tok_pos): r.token_id for r in rows} == EXPECTED
+    for r in rows:
+        assert r.activation == pytest.approx(naive(net, r.token_id)[1], rel=1e-5, abs=1e-6)
+
+
+def test_several_layers_in_one_run(spark):
+    net = network((0, 1))
     aligned = extraction.align_blocks(blocks(spark, keep_tail=True))
-    rows = extraction.succeeded(extraction.extract_activations(aligned, cfg, rows_per_call=2)).collect()
-    expected = {(d, p): t for d, s in ROWS for p, t in enumerate(s) if t not in (0, 1)}
-    assert {(r.doc_id, r.tok_pos): r.token_id for r in rows} == expected
-    for r in rows[:6]:
-        assert r.activation == pytest.approx(naive(cfg, r.token_id), rel=1e-3, abs=1e-4)
+    rows = extraction.extract_activations(aligned, net, layers=(0, 1)).collect()
+    assert {(r.layer, r.doc_id, r.tok_pos) for r in rows} == {(k, *at) for k in (0, 1) for at in EXPECTED}
+    for r in rows:
+        assert r.activation == pytest.approx(naive(net, r.token_id)[r.layer], rel=1e-5, abs=1e-6)
+
+
+def test_rows_are_numbered_before_the_run(spark, tmp_path):
+    from sparsight.sources import shards
+
+    aligned = extraction.number_rows(extraction.align_blocks(blocks(spark, keep_tail=True)))
+    rows = extraction.extract_activations(aligned, network())
+    shards.write_shards(shards.name_shards(rows.drop("error"), "row_id", 7), str(tmp_path / "s"), clustered=True)
+    stored = spark.read.parquet(str(tmp_path / "s")).orderBy("row_id").collect()
+    assert [r.row_id for r in stored] == list(range(len(EXPECTED)))
+    assert [(r.doc_id, r.tok_pos) for r in stored] == sorted(EXPECTED)
+    assert all(r.split == f"train_{r.row_id // 7:05d}" for r in stored)
+
+
+def test_weights_have_a_bound(monkeypatch):
+    monkeypatch.setattr(extraction, "MAX_MODEL_BYTES", 100)
+    with pytest.raises(ValueError, match="weights exceed"):
+        network()
 
 
 def test_chunks_keep_true_positions(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, seq array<int>")
     aligned = extraction.align_chunks(tokens.chunk(df, 4, keep_tail=True))
-    rows = extraction.extract_activations(aligned, extraction.GatedMlp(width=4, hidden=4)).collect()
+    rows = extraction.extract_activations(aligned, network()).collect()
     assert {(r.doc_id, r.tok_pos): r.token_id for r in rows} == {
         (d, p): t for d, s in ROWS for p, t in enumerate(s) if t not in (0, 1)
     }
