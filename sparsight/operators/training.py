@@ -65,15 +65,22 @@ class Fit:
     steps: int = field(default=0)
 
 
-def learning_rate(step: int, warmup: int, total: int) -> float:
-    """Linear warm-up to 1, then half a cosine down to 0."""
-    if step < warmup:
-        return (step + 1) / warmup
-    return 0.5 + 0.5 * math.cos(math.pi * (step - warmup) / (total - warmup))
+def schedule(spark: SparkSession, cfg: FitConfig) -> DataFrame:
+    """(step, lr, sparsity_weight) of every step.
 
-
-def sparsity_weight(step: int, warmup: int, top: float) -> float:
-    return top * min(1.0, (step + 1) / warmup)
+    The rate rises in a line during the warm-up and then falls along half a
+    cosine; the weight of the sparsity rises in a line and stays.
+    """
+    step = F.col("id").cast("double")
+    done = (step - cfg.warmup_steps) / max(1, cfg.total_steps - cfg.warmup_steps)
+    rate = F.when(step < cfg.warmup_steps, (step + 1) / max(1, cfg.warmup_steps)).otherwise(
+        (F.cos(done * math.pi) + 1) / 2
+    )
+    weight = F.least(F.lit(1.0), (step + 1) / max(1, cfg.sparsity_warmup_steps))
+    return spark.range(cfg.total_steps).select(
+        F.col("id").cast("int").alias("step"), (rate * cfg.max_lr).alias("lr"),
+        (weight * cfg.max_sparsity).alias("sparsity_weight"),
+    )
 
 
 def gradients(x: np.ndarray, p: Block, b_dec: np.ndarray, weight: float, bandwidth: float) -> dict:
@@ -179,18 +186,61 @@ def _lots(
     return materialize(hashed, "training", ["lot"]), lots, math.ceil(batches / lots)
 
 
+def _save_state(spark: SparkSession, path: str, step: int, values: dict, adam: dict, log: list) -> None:
+    """The state after ``step`` updates; one row per latent and parameter."""
+    names, at, columns = [], [], {"value": [], "m": [], "v": []}
+    for name, value in values.items():
+        parts = [np.atleast_2d(a) for a in (value, adam[name].m, adam[name].v)]
+        names += [name] * len(parts[0])
+        at += range(len(parts[0]))
+        for column, part in zip(columns.values(), parts):
+            column += part.tolist()
+    numbers = {k: pa.array(v, pa.list_(pa.float64())) for k, v in columns.items()}
+    state = pa.table({"name": names, "at": pa.array(at, pa.int32()), **numbers})
+    # the log first: a state that is marked as whole has its log
+    _log_table(spark, log).write.mode("overwrite").parquet(f"{path}/log-{step:08d}")
+    spark.createDataFrame(state).write.mode("overwrite").parquet(f"{path}/state-{step:08d}")
+
+
+def _last_state(spark: SparkSession, path: str) -> int | None:
+    """The number of updates of the newest state that was written to its end."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/state-*/_SUCCESS")
+    store = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.globStatus(pattern)
+    steps = [int(f.getPath().getParent().getName().rpartition("-")[2]) for f in found or []]
+    return max(steps, default=None)
+
+
+def _load_state(spark: SparkSession, path: str, step: int, values: dict, adam: dict) -> list[tuple]:
+    """Puts a saved state into ``values`` and ``adam``; returns its log."""
+    rows = spark.read.parquet(f"{path}/state-{step:08d}").orderBy("name", "at").toPandas()
+    for name, part in rows.groupby("name"):
+        shape = values[name].shape
+        values[name], adam[name].m, adam[name].v = (
+            np.array(part[c].tolist()).reshape(shape) for c in ("value", "m", "v")
+        )
+        adam[name].t = step
+    return [tuple(r) for r in spark.read.parquet(f"{path}/log-{step:08d}").orderBy("step").collect()]
+
+
 def sae_fit(
     acts: DataFrame,
     cfg: FitConfig,
     keys: tuple[str, ...] = ("vec_id",),
     vector: str = "activation",
     initial: DataFrame | None = None,
+    checkpoint: str | None = None,
+    every: int = LOG_EVERY,
 ) -> Fit:
     """Minibatch training; exactly ``cfg.total_steps`` updates.
 
     A step takes one lot, or a hashed share of one where lots are larger than
     a batch. Lots come in a new order, and shares are cut anew, every epoch.
     ``keys`` name a row, so that rows spread evenly over the lots.
+
+    With ``checkpoint``, a folder that all share, the state is saved there
+    every ``every`` steps and at the end. A run with the same table and
+    settings goes on from the newest whole state; steps without rows count.
     """
     spark = acts.sparkSession
     table, lots, shares = _lots(acts, list(keys), vector, cfg)
@@ -206,17 +256,22 @@ def sae_fit(
         )
         norm = math.sqrt(squares.first()[0] / table.count())
 
-    w_enc, b_enc, w_dec = p.w_enc.copy(), p.b_enc.copy(), p.w_dec.copy()
-    log_theta, b_dec = np.log(p.theta), np.zeros(width)
+    now = {
+        "w_enc": p.w_enc.copy(), "b_enc": p.b_enc.copy(), "w_dec": p.w_dec.copy(),
+        "b_dec": np.zeros(width), "log_threshold": np.log(p.theta),
+    }
     adam = {
-        "w_enc": _Adam(w_enc.shape, BETAS), "b_enc": _Adam(b_enc.shape, BETAS),
-        "w_dec": _Adam(w_dec.shape, BETAS), "b_dec": _Adam(b_dec.shape, BETAS),
-        "log_threshold": _Adam(log_theta.shape, THRESHOLD_BETAS),
+        name: _Adam(value.shape, THRESHOLD_BETAS if name == "log_threshold" else BETAS)
+        for name, value in now.items()
     }
     log: list[tuple] = []
-    m, d = w_enc.shape
+    done = _last_state(spark, checkpoint) if checkpoint else None
+    if done is not None:
+        log = _load_state(spark, checkpoint, done, now, adam)
+    m, d = now["w_enc"].shape
     per_epoch = lots * shares
-    for step in range(cfg.total_steps):
+    planned = schedule(spark, cfg).orderBy("step").collect()  # one row per step
+    for step, rate, weight in planned[done or 0 :]:
         epoch, within = divmod(step, per_epoch)
         order = np.random.default_rng([cfg.seed, epoch]).permutation(per_epoch)
         lot, share = divmod(int(order[within]), shares)
@@ -224,31 +279,49 @@ def sae_fit(
         if shares > 1:
             mine = F.pmod(F.xxhash64(F.lit(epoch), F.col("key")), F.lit(shares)) == share
             batch = batch.where(mine)
-        weight = sparsity_weight(step, cfg.sparsity_warmup_steps, cfg.max_sparsity)
-        rate = cfg.max_lr * learning_rate(step, cfg.warmup_steps, cfg.total_steps)
-        params = Block(p.latent, w_enc, b_enc, np.exp(log_theta), w_dec)
-        g = _step_gradient(batch.select("x"), params, b_dec, norm, weight, cfg.bandwidth)
+        params = Block(p.latent, now["w_enc"], now["b_enc"], np.exp(now["log_threshold"]), now["w_dec"])
+        g = _step_gradient(batch.select("x"), params, now["b_dec"], norm, weight, cfg.bandwidth)
         squared, active, n = g[m, d : d + 3]
         if n:
             g /= n
             d_dec = g[:m, d : 2 * d]
-            d_dec = d_dec - (d_dec * w_dec).sum(axis=1, keepdims=True) * w_dec
-            w_enc = w_enc + adam["w_enc"].update(g[:m, :d], rate)
-            b_enc = b_enc + adam["b_enc"].update(g[:m, 2 * d], rate)
-            w_dec = w_dec + adam["w_dec"].update(d_dec, rate)
-            b_dec = b_dec + adam["b_dec"].update(g[m, :d], rate)
-            log_theta = log_theta + adam["log_threshold"].update(
-                g[:m, 2 * d + 1], THRESHOLD_LR_FACTOR * rate
-            )
-            w_dec = w_dec / np.linalg.norm(w_dec, axis=1, keepdims=True)
+            d_dec = d_dec - (d_dec * now["w_dec"]).sum(axis=1, keepdims=True) * now["w_dec"]
+            slopes = {
+                "w_enc": g[:m, :d], "b_enc": g[:m, 2 * d], "w_dec": d_dec, "b_dec": g[m, :d],
+                "log_threshold": g[:m, 2 * d + 1],
+            }
+            for name, slope in slopes.items():
+                own = THRESHOLD_LR_FACTOR * rate if name == "log_threshold" else rate
+                now[name] = now[name] + adam[name].update(slope, own)
+            now["w_dec"] = now["w_dec"] / np.linalg.norm(now["w_dec"], axis=1, keepdims=True)
+        else:
+            for moments in adam.values():
+                moments.t += 1
         rows = max(n, 1.0)
         rec, mean_active = squared / rows, active / rows
         log.append(
             (step, int(n), float(rec), float(mean_active), float(rec + weight * mean_active),
              float(rate), float(weight))
         )
-    sae = _parameters(spark, p.latent, w_enc, b_enc, log_theta, w_dec)
-    return Fit(sae, [float(b) for b in b_dec], _log_table(spark, log), cfg.total_steps)
+        if checkpoint and ((step + 1) % every == 0 or step + 1 == cfg.total_steps):
+            _save_state(spark, checkpoint, step + 1, now, adam, log)
+    sae = _parameters(
+        spark, p.latent, now["w_enc"], now["b_enc"], now["log_threshold"], now["w_dec"]
+    )
+    return Fit(sae, [float(b) for b in now["b_dec"]], _log_table(spark, log), cfg.total_steps)
+
+
+def save_dictionary(fit: Fit, path: str) -> None:
+    """A trained dictionary and its bias, as Parquet."""
+    fit.sae.write.mode("overwrite").parquet(f"{path}/latents")
+    bias = fit.sae.sparkSession.createDataFrame([(fit.b_dec,)], "b_dec array<double>")
+    bias.write.mode("overwrite").parquet(f"{path}/bias")
+
+
+def load_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, list[float]]:
+    """What ``save_dictionary`` has written."""
+    bias = spark.read.parquet(f"{path}/bias").first()["b_dec"]
+    return spark.read.schema(SAE_SCHEMA).parquet(f"{path}/latents"), list(bias)
 
 
 def _parameters(spark: SparkSession, latent, w_enc, b_enc, log_theta, w_dec) -> DataFrame:

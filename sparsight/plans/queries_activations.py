@@ -654,12 +654,79 @@ def _fit(acts: DataFrame) -> training.FitConfig:
     )
 
 
+def _one_step(acts: DataFrame, start: DataFrame) -> training.Fit:
+    cfg = training.FitConfig(
+        d_sae=start.count(), total_steps=1, batch_rows=max(1, acts.count()), warmup_steps=1,
+        sparsity_warmup_steps=1, max_lr=1e-2, bandwidth=0.1, expected_norm=1.0,
+    )
+    return training.sae_fit(acts, cfg, initial=start)
+
+
 @query()
 def sae_training_log(spark: SparkSession, folder: str) -> DataFrame:
     acts = flows.vectors(spark, folder)
     return training.sae_fit(acts, _fit(acts)).log
 
 
+@query(f"""SELECT step, {r('1e-2::DOUBLE * CASE WHEN step < 4 THEN (step + 1) / 4 ELSE (1 + cos(pi() * (step - 4) / 8)) / 2 END', 'lr')},
+  {r('5e-4::DOUBLE * least(1, (step + 1) / 6)', 'sparsity_weight')}, (SELECT count(*) FROM embeddings) AS rows_of_an_epoch
+FROM (SELECT unnest(range(12)) AS step)""")
+def sae_training_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """The rates that a run used, and the rows that it counts in an epoch."""
+    acts = flows.vectors(spark, folder)
+    cfg = _fit(acts)
+    log = training.sae_fit(acts, cfg).log
+    per_epoch = max(1, acts.count() // cfg.batch_rows)
+    read = log.where(F.col("step") < per_epoch).agg(F.sum("n_rows")).first()[0]
+    return log.select("step", "lr", "sparsity_weight", F.lit(read).alias("rows_of_an_epoch"))
+
+
+_ONE_STEP = _DECODED + """,
+theta AS (SELECT 0.25::DOUBLE AS t, 0.1::DOUBLE AS width, 0.0005::DOUBLE AS weight, 0.01::DOUBLE AS lr,
+                 (SELECT count(*) FROM emb) AS n),
+gap AS (SELECT vec_id, list(coalesce(y, 0) - x ORDER BY dim) AS e
+        FROM cells LEFT JOIN hat USING (vec_id, dim) GROUP BY vec_id),
+slope AS (SELECT latent, vec_id, z, 2 * list_inner_product(e, w) AS dz FROM pre JOIN gap USING (vec_id) JOIN dict USING (latent)),
+scalars AS (SELECT latent, sum(CASE WHEN z > t THEN dz ELSE 0 END) / any_value(n) AS gb,
+  -sum(CASE WHEN abs(greatest(z, 0) - t) < width / 2 THEN dz * z + weight ELSE 0 END) / any_value(width * n) * any_value(t) AS gt
+  FROM slope, theta GROUP BY latent),
+matrices AS (SELECT latent, dim, sum(dz * x) / any_value(n) AS ge, sum(z * 2 * e[dim + 1]) / any_value(n) AS gd
+  FROM slope JOIN cells USING (vec_id) JOIN gap USING (vec_id), theta WHERE z > t GROUP BY latent, dim),
+grads AS (SELECT latent, dim, v, coalesce(ge, 0) AS ge, coalesce(gd, 0) - v * sum(coalesce(gd, 0) * v) OVER (PARTITION BY latent) AS gd
+  FROM wcells LEFT JOIN matrices USING (latent, dim)),
+moved AS (SELECT latent, dim, v, v - lr * ge / (abs(ge) + 1e-8) AS enc, v - lr * gd / (abs(gd) + 1e-8) AS dec FROM grads, theta),
+unit AS (SELECT latent, v, enc, dec / sqrt(sum(dec * dec) OVER (PARTITION BY latent)) AS dec FROM moved)"""
+
+
+@query(f"""WITH {_ONE_STEP}
+SELECT latent, {r('any_value(-lr * gb / (abs(gb) + 1e-8))', 'b_enc')},
+  {r('any_value(ln(t) - 3.5::DOUBLE * lr * gt / (abs(gt) + 1e-8))', 'log_threshold')},
+  {r('sum(enc)', 'enc_sum')}, {r('sum(enc * v)', 'enc_kept')}, {r('sum(dec)', 'dec_sum')}, {r('sum(dec * v)', 'dec_kept')}
+FROM unit JOIN scalars USING (latent), theta GROUP BY latent""")
+def sae_first_step(spark: SparkSession, folder: str) -> DataFrame:
+    """The dictionary after one step of training on all vectors."""
+    start = flows.dictionary(spark, folder)
+    after = _one_step(flows.vectors(spark, folder), start).sae
+    pair = after.join(start.select("latent", F.col("w_dec").alias("v")), "latent")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    dot = lambda c: total(F.zip_with(c, "v", lambda a, b: a * b))
+    return pair.select(
+        "latent", "b_enc", "log_threshold", total("w_enc").alias("enc_sum"), dot("w_enc").alias("enc_kept"),
+        total("w_dec").alias("dec_sum"), dot("w_dec").alias("dec_kept"),
+    )
+
+
+@query(f"""WITH {_DECODED},
+parts AS (SELECT sum((coalesce(y, 0) - x) ** 2) / (SELECT count(*) FROM emb) AS rec,
+                 (SELECT count(*) FROM codes) / (SELECT count(*) FROM emb) AS l0
+          FROM cells LEFT JOIN hat USING (vec_id, dim))
+SELECT 0::BIGINT AS step, (SELECT count(*) FROM emb) AS n_rows, {r('rec', 'reconstruction')}, {r('l0', 'l0')},
+  {r('rec + 0.0005 * l0', 'loss')}, {r('0.01::DOUBLE', 'lr')}, {r('0.0005::DOUBLE', 'sparsity_weight')} FROM parts""")
+def sae_first_loss(spark: SparkSession, folder: str) -> DataFrame:
+    """What the log says of a step that takes all vectors."""
+    return _one_step(flows.vectors(spark, folder), flows.dictionary(spark, folder)).log
+
+
 @query()
 def sae_training_summary(spark: SparkSession, folder: str) -> DataFrame:
     acts = flows.vectors(spark, folder)

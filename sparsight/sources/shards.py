@@ -50,9 +50,14 @@ def rows_per_file(width: int, element_bytes: int = 2, target: int = TARGET_BYTES
 def repack(
     df: DataFrame, path: str, width: int, element_bytes: int = 2, target: int = TARGET_BYTES
 ) -> None:
-    """Rewrite vectors into files of a target size, without a shuffle."""
+    """Rewrite vectors into files of a target size, without a shuffle.
+
+    Large inputs are split, and small ones merged: a task takes several of them.
+    """
+    files = max(1, -(-df.count() // rows_per_file(width, element_bytes, target)))
+    merged = df.coalesce(files) if df.rdd.getNumPartitions() > files else df
     (
-        df.write.mode("overwrite")
+        merged.write.mode("overwrite")
         .option("maxRecordsPerFile", rows_per_file(width, element_bytes, target))
         .option("compression", "zstd")
         .option("parquet.block.size", ROW_GROUP_ROWS * width * element_bytes)

@@ -136,15 +136,16 @@ def test_geometry(spark, case):
     assert got[0].projection == pytest.approx((x[0] @ f / (f @ f) * f).tolist())
 
 
-def test_schedules():
-    assert training.learning_rate(0, 2000, 32000) == pytest.approx(0.0005)
-    assert training.learning_rate(1999, 2000, 32000) == 1.0
-    assert training.learning_rate(2000, 2000, 32000) == 1.0
-    assert training.learning_rate(17000, 2000, 32000) == pytest.approx(0.5)
-    assert training.learning_rate(32000, 2000, 32000) == pytest.approx(0.0)
-    assert training.sparsity_weight(0, 10000, 0.0005) == pytest.approx(5e-8)
-    assert training.sparsity_weight(9999, 10000, 0.0005) == pytest.approx(0.0005)
-    assert training.sparsity_weight(20000, 10000, 0.0005) == pytest.approx(0.0005)
+def test_schedules(spark):
+    cfg = training.FitConfig(d_sae=1)
+    rows = training.schedule(spark, cfg)
+    at = {r.step: r for r in rows.where("step in (0, 1999, 2000, 9999, 17000, 20000, 31999)").collect()}
+    assert rows.count() == 32000
+    share = {k: v.lr / training.MAX_LR for k, v in at.items()}
+    assert share[0] == pytest.approx(0.0005) and share[1999] == share[2000] == pytest.approx(1.0)
+    assert share[17000] == pytest.approx(0.5) and share[31999] == pytest.approx(0.0, abs=1e-6)
+    assert at[0].sparsity_weight == pytest.approx(5e-8)
+    assert at[9999].sparsity_weight == at[20000].sparsity_weight == pytest.approx(0.0005)
 
 
 def test_gradients_against_finite_differences():
@@ -231,3 +232,28 @@ def test_strongest_per_batch_hold_the_strongest_of_all(spark, case):
         assert a == b and few.count() < sae.sae_encode(df, d, ["doc_id", "tok_pos"]).count()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_training_goes_on_from_a_saved_state(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5))
+    cfg = training.FitConfig(
+        d_sae=7, total_steps=6, batch_rows=20, warmup_steps=2, sparsity_warmup_steps=3, max_lr=1e-2
+    )
+    whole = training.sae_fit(acts(spark, x), cfg)
+    path = str(tmp_path / "run")
+    training.sae_fit(acts(spark, x), cfg, checkpoint=path, every=2)
+    # as if lost after the fourth step, while a fifth state was being written
+    for part in tmp_path.glob("run/state-00000006/*SUCCESS"):
+        part.unlink()
+    assert training._last_state(spark, path) == 4
+    again = training.sae_fit(acts(spark, x), cfg, checkpoint=path, every=2)
+    rows = lambda fit: fit.sae.orderBy("latent").collect()
+    for a, b in zip(rows(whole), rows(again)):
+        assert a.w_enc == pytest.approx(b.w_enc) and a.w_dec == pytest.approx(b.w_dec)
+        assert (a.b_enc, a.log_threshold) == pytest.approx((b.b_enc, b.log_threshold))
+    assert whole.b_dec == pytest.approx(again.b_dec)
+    assert [r.step for r in again.log.orderBy("step").collect()] == list(range(6))
+    training.save_dictionary(again, str(tmp_path / "saved"))
+    sae, bias = training.load_dictionary(spark, str(tmp_path / "saved"))
+    assert bias == again.b_dec and sae.orderBy("latent").collect() == rows(again)

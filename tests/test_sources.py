@@ -73,6 +73,8 @@ def test_repack_bounds_the_files(spark, tmp_path):
     sizes = sorted(pq.read_metadata(p).num_rows for p in (tmp_path / "r").glob("*.parquet"))
     assert sizes == [10, 30, 30, 30]
     assert shards.rows_per_file(2048) == 131_072
+    shards.repack(vectors(spark, 100).repartition(20), str(tmp_path / "m"), 4, target=8 * 1000)
+    assert len(list((tmp_path / "m").glob("*.parquet"))) == 1  # small inputs are merged
 
 
 def test_fallback_and_manifest(spark, tmp_path):
