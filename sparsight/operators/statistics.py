@@ -331,8 +331,64 @@ def cluster(acts: DataFrame, k: int, seed: int = 42, column: str = "activation")
     )
 
 
+def cluster_from(
+    acts: DataFrame, starts: DataFrame, rounds: int, column: str = "activation"
+) -> DataFrame:
+    """``acts`` with ``cluster, distance`` after ``rounds`` moves of given centroids.
+
+    ``starts`` has one row (cluster, centroid) per group. A round puts every
+    vector to its nearest centroid, ties to the smaller number, and moves each
+    centroid to the mean of its vectors; one that has none stays. A task adds
+    up its vectors per cluster, so that a large cluster costs one row per task.
+    """
+    known = sorted((c, list(map(float, v))) for c, v in starts.select("cluster", "centroid").collect())
+    names = np.array([c for c, _ in known], np.int32)
+    centroids = np.array([v for _, v in known])
+
+    def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gaps = np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
+        best = gaps.argmin(axis=1)
+        return best, np.sqrt(gaps[np.arange(len(x)), best])
+
+    def sums(centroids: np.ndarray):
+        def run(batches):
+            total, n = np.zeros_like(centroids), np.zeros(len(centroids), np.int64)
+            for batch in batches:
+                x = to_matrix(batch.column(0))
+                if len(x):
+                    best = nearest(x, centroids)[0]
+                    np.add.at(total, best, x)
+                    n += np.bincount(best, minlength=len(n))
+            at = np.flatnonzero(n)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at.astype(np.int32)), pa.array(n[at]), from_matrix(total[at], pa.float64())],
+                    names=["at", "n", "total"],
+                )
+
+        return run
+
+    for _ in range(rounds):
+        parts = acts.select(column).mapInArrow(sums(centroids), "at int, n long, total array<double>")
+        means = (
+            parts.select("at", "n", F.posexplode("total").alias("dim", "s"))
+            .groupBy("at", "dim").agg((F.sum("s") / F.sum("n")).alias("m")).toArrow()
+        )  # one number per cluster and dimension
+        centroids = centroids.copy()
+        centroids[means["at"].to_numpy(), means["dim"].to_numpy()] = means["m"].to_numpy()
+
+    @F.arrow_udf("struct<cluster int, distance double>")
+    def placed(array: pa.Array) -> pa.Array:
+        best, distance = nearest(to_matrix(array), centroids)
+        return pa.StructArray.from_arrays([pa.array(names[best]), pa.array(distance)], ["cluster", "distance"])
+
+    out = acts.withColumn("_placed", placed(column))
+    return out.select(*acts.columns, "_placed.cluster", "_placed.distance")
+
+
 def outliers(clustered: DataFrame, k: float = 3.0) -> DataFrame:
     """Rows further than ``k`` deviations from what is usual in their cluster."""
+    clustered = materialize(clustered, "clustered")  # read for the usual distance and for the rows
     usual = clustered.groupBy("cluster").agg(
         F.avg("distance").alias("_mean"), F.stddev_pop("distance").alias("_sd")
     )

@@ -494,14 +494,47 @@ def covariance(spark: SparkSession, folder: str) -> DataFrame:
     return statistics.covariance(flows.vectors(spark, folder))
 
 
-@query()
+def _main_direction(k: int, matrix: str) -> str:
+    """``v{k}``, ``l{k}``: the direction of most spread of ``matrix`` and its spread, and ``m{k}``, what is left.
+
+    A matrix squared twelve times over keeps that direction alone, as v v'.
+    """
+    steps = [f"q{k}_0 AS MATERIALIZED (SELECT i, j, c / sum(CASE WHEN i = j THEN c END) OVER () AS c FROM {matrix})"]
+    steps += [
+        f"""q{k}_{n} AS MATERIALIZED (SELECT i, j, c / sum(CASE WHEN i = j THEN c END) OVER () AS c FROM (
+  SELECT a.i, b.j, sum(a.c * b.c) AS c FROM q{k}_{n - 1} a JOIN q{k}_{n - 1} b ON a.j = b.i GROUP BY a.i, b.j))"""
+        for n in range(1, 13)
+    ]
+    return ",\n".join([
+        *steps, f"p{k} AS (SELECT * FROM q{k}_12)",
+        f"l{k} AS MATERIALIZED (SELECT sum(m.c * p.c) AS l FROM {matrix} m JOIN p{k} p USING (i, j))",
+        f"m{k} AS MATERIALIZED (SELECT i, j, m.c - l * p.c AS c FROM {matrix} m JOIN p{k} p USING (i, j), l{k})",
+        f"""v{k} AS MATERIALIZED (SELECT i AS dim, c / sqrt(top) AS v FROM p{k} JOIN (
+  SELECT i AS j, c AS top FROM p{k} WHERE i = j ORDER BY c DESC LIMIT 1) USING (j))""",
+    ])
+
+
+_PCA = f"""{CELLS},
+m0 AS MATERIALIZED (SELECT a.dim AS i, b.dim AS j, covar_samp(a.x, b.x) AS c
+  FROM cells a JOIN cells b USING (vec_id) GROUP BY a.dim, b.dim),
+{_main_direction(1, "m0")},
+{_main_direction(2, "m1")},
+spread AS (SELECT sum(c) AS s FROM m0 WHERE i = j)"""
+
+
+@query(f"""WITH {_PCA}
+SELECT 0::BIGINT AS component, {r('l / s', 'explained_ratio')} FROM l1, spread
+UNION ALL SELECT 1, {r('l / s', 'explained_ratio')} FROM l2, spread""")
 def pca_explained(spark: SparkSession, folder: str) -> DataFrame:
     model = statistics.pca_fit(flows.vectors(spark, folder), 2)
     rows = [(i, float(x)) for i, x in enumerate(model.explained_ratio)]
     return spark.createDataFrame(rows, "component int, explained_ratio double")
 
 
-@query()
+@query(f"""WITH {_PCA},
+middle AS (SELECT dim, avg(x) AS m FROM cells GROUP BY dim)
+SELECT vec_id, {r('sum((x - m) * v1.v)', 'p1')}, {r('sum((x - m) * v2.v)', 'p2')}
+FROM cells JOIN middle USING (dim) JOIN v1 USING (dim) JOIN v2 USING (dim) GROUP BY vec_id""")
 def pca_projection(spark: SparkSession, folder: str) -> DataFrame:
     acts = flows.vectors(spark, folder)
     projected = statistics.pca_project(acts, statistics.pca_fit(acts, 2))
@@ -510,6 +543,48 @@ def pca_projection(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_ROUNDS = 3
+_CENTRES = ",\n".join(
+    f"""near{n} AS MATERIALIZED (SELECT vec_id, cluster, distance FROM (
+  SELECT vec_id, cluster, list_distance(x, centre) AS distance,
+         row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(x, centre), cluster) AS k FROM emb, centre{n}) WHERE k = 1),
+centre{n + 1} AS MATERIALIZED (SELECT cluster, coalesce(any_value(moved), any_value(centre)) AS centre FROM centre{n} LEFT JOIN (
+  SELECT cluster, list(m ORDER BY dim) AS moved FROM (
+    SELECT cluster, dim, avg(x) AS m FROM cells JOIN near{n} USING (vec_id) GROUP BY cluster, dim) GROUP BY cluster
+  ) USING (cluster) GROUP BY cluster)"""
+    for n in range(_ROUNDS + 1)
+)
+_CLUSTERED = f"""{CELLS},
+centre0 AS MATERIALIZED (SELECT label AS cluster, list(m ORDER BY dim) AS centre FROM (
+  SELECT label, dim, avg(x) AS m FROM cells GROUP BY label, dim) GROUP BY label),
+{_CENTRES}"""
+
+
+def _label_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    acts = flows.vectors(spark, folder)
+    means = (
+        acts.select("label", F.posexplode("activation").alias("dim", "x"))
+        .groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
+        .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "m"))).alias("cells"))
+    )
+    starts = means.select(F.col("label").alias("cluster"), F.col("cells.m").alias("centroid"))
+    return statistics.cluster_from(acts, starts, _ROUNDS)
+
+
+@query(f"WITH {_CLUSTERED} SELECT vec_id, cluster, {r('distance', 'distance')} FROM near{_ROUNDS}")
+def label_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups that start at the mean of every label."""
+    return _label_clusters(spark, folder).select("vec_id", "cluster", "distance")
+
+
+@query(f"""WITH {_CLUSTERED},
+usual AS (SELECT cluster, avg(distance) + 2 * stddev_pop(distance) AS most FROM near{_ROUNDS} GROUP BY cluster)
+SELECT vec_id, cluster, {r('distance', 'distance')} FROM near{_ROUNDS} JOIN usual USING (cluster) WHERE distance > most""")
+def label_cluster_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    far = statistics.outliers(_label_clusters(spark, folder), 2.0)
+    return far.select("vec_id", "cluster", "distance")
+
+
 @query()
 def clusters(spark: SparkSession, folder: str) -> DataFrame:
     return statistics.cluster(flows.vectors(spark, folder), 10).select(

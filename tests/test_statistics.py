@@ -131,3 +131,17 @@ def test_neighbours_broadcast_and_blocks(spark, x):
 def test_more_neighbours_than_rows(spark):
     got = neighbours.knn(table(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]), 9)
     assert got.groupBy("id").agg(F.count("*").alias("n")).where("n <> 2").count() == 0
+
+
+def test_clusters_from_given_starts(spark):
+    rows = [(1, [0.0, 0.0]), (2, [2.0, 0.0]), (3, [10.0, 0.0]), (4, [12.0, 0.0]), (5, [6.0, 0.0]), (5, [6.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, activation array<float>")
+    starts = spark.createDataFrame(
+        [(7, [1.0, 0.0]), (3, [11.0, 0.0]), (5, [99.0, 99.0])], "cluster int, centroid array<double>"
+    )
+    got = statistics.cluster_from(df, starts, 0).collect()
+    assert {(r.vec_id, r.cluster) for r in got} == {(1, 7), (2, 7), (3, 3), (4, 3), (5, 3)}  # the tie goes to 3
+    moved = {(r.vec_id, r.cluster, r.distance) for r in statistics.cluster_from(df, starts, 1).collect()}
+    # centroids 1 and 8.5; that of cluster 5 has no vector and stays
+    assert moved == {(1, 7, 1.0), (2, 7, 1.0), (3, 3, 1.5), (4, 3, 3.5), (5, 3, 2.5)}
+    assert statistics.cluster_from(df.limit(0), starts, 2).collect() == []
