@@ -203,6 +203,54 @@ def sae_encode(
     return reduce(DataFrame.unionByName, parts)
 
 
+def code_sums(
+    acts: DataFrame,
+    sae: DataFrame,
+    activations: tuple[str, ...],
+    b_dec: list[float] | None = None,
+    vector: str = "activation",
+    max_bytes: int = MAX_BLOCK_BYTES,
+) -> DataFrame:
+    """(activation, latent, n, total): how many codes are not zero, and their sum.
+
+    For functions whose codes are hardly ever zero: a task adds them up per
+    latent and no code leaves it. All functions share one pass per block.
+    """
+    bias = None if b_dec is None else np.asarray(b_dec, dtype=np.float64)
+    parts = []
+    for block in blocks_of(sae, max_bytes, ("w_enc",)):
+        shared = acts.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            b = shared.value
+            step = max(1, _CELLS_PER_STEP // len(b.latent))
+            n = np.zeros((len(activations), len(b.latent)), np.int64)
+            total = np.zeros(n.shape)
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    x = to_matrix(batch.column(0).slice(at, step))
+                    pre = (x if bias is None else x - bias) @ b.w_enc.T + b.b_enc
+                    for i, name in enumerate(activations):
+                        z = _code(pre, b.theta, name)
+                        n[i] += np.count_nonzero(z, axis=0)
+                        total[i] += z.sum(axis=0)
+            i, j = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.array(activations, object)[i], pa.string()), pa.array(b.latent[j], pa.int32()),
+                    pa.array(n[i, j]), pa.array(total[i, j]),
+                ],
+                names=["activation", "latent", "n", "total"],
+            )
+
+        parts.append(
+            acts.select(vector).mapInArrow(run, "activation string, latent int, n long, total double")
+        )
+    return reduce(DataFrame.unionByName, parts).groupBy("activation", "latent").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total")
+    )
+
+
 def _decode_block(grouped: DataFrame, block: Block, keys: list[str]) -> DataFrame:
     shared = grouped.sparkSession.sparkContext.broadcast(block)
 

@@ -668,14 +668,9 @@ def _variant(name: str, formula: str, kept: str) -> str:
 {_variant('tanh', 'tanh(z)', 'z <> 0')}""")
 def dense_codes(spark: SparkSession, folder: str) -> DataFrame:
     """The other code functions, summed per latent."""
-    parts = [
-        flows.vector_codes(spark, folder, activation=name)
-        .groupBy("latent")
-        .agg(F.count("*").alias("n"), F.sum("z").alias("total"))
-        .withColumn("activation", F.lit(name))
-        for name in ("relu", "sigmoid", "tanh")
-    ]
-    return shards.union_shards(*parts)
+    return autoencoder.code_sums(
+        flows.vectors(spark, folder), flows.dictionary(spark, folder), ("relu", "sigmoid", "tanh")
+    )
 
 
 _DECODED = CODES + """,

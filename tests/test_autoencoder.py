@@ -257,3 +257,18 @@ def test_training_goes_on_from_a_saved_state(spark, tmp_path):
     training.save_dictionary(again, str(tmp_path / "saved"))
     sae, bias = training.load_dictionary(spark, str(tmp_path / "saved"))
     assert bias == again.b_dec and sae.orderBy("latent").collect() == rows(again)
+
+
+def test_code_sums_are_those_of_the_codes(spark, case):
+    x, d = acts(spark, case[0]), dictionary(spark, case[1])
+    for bound in (1 << 20, 400):  # one block, and several
+        got = {
+            (r.activation, r.latent): (r.n, r.total)
+            for r in sae.code_sums(x, d, ("relu", "tanh"), max_bytes=bound).collect()
+        }
+        for name in ("relu", "tanh"):
+            z = sae.sae_encode(x, d, ["vec_id"], activation=name)
+            for r in z.groupBy("latent").agg(F.count("*").alias("n"), F.sum("z").alias("t")).collect():
+                n, total = got.pop((name, r.latent))
+                assert n == r.n and total == pytest.approx(r.t)
+        assert not got
