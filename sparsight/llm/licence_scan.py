@@ -1,8 +1,9 @@
 """Licence notices in whole texts, by patience alignment with templates.
 
-Long words of a template show where in a text it may lie. Each such stretch is
-aligned alone: words unique to both sides are anchors, the longest increasing
-subsequence of them is kept, and the gaps between are aligned the same way.
+Key words of a template show where in a text it may lie. Such a stretch may hold
+several copies; a local alignment places each, and the copy is aligned alone:
+words unique to both sides are anchors, the longest increasing subsequence of
+them is kept, and the gaps between are aligned the same way.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from sparsight.llm.words import LOWER_ALNUM, bounded, coded
 
 COVERAGE = 0.8
 _KEY_LETTERS = 7
+#: what a word found is worth in words of text passed over, in placing a copy: too little to reach over to the next copy
+#: for the words that one lacks
+_WORTH = 4
+_START = (1 << 32) - 1
 
 #: fixed values: the notices
 TEMPLATES = {
@@ -89,6 +94,94 @@ def _words(text: str) -> list[str]:
     return text.encode().translate(LOWER_ALNUM).decode().split()
 
 
+def key_places(words: list[str], coverage: float = COVERAGE) -> list[int]:
+    """Places of a template's key words: all long ones, and so many that a notice cannot lack them all."""
+    least = min(_KEY_LETTERS, max(map(len, words), default=0))
+    order = sorted(range(len(words)), key=lambda i: (-len(words[i]), i))
+    spare = len(words) - _needed(words, coverage)
+    return sorted(i for k, i in enumerate(order) if len(words[i]) >= least or k <= spare)
+
+
+def _needed(words: list[str], coverage: float) -> int:
+    """The least number of words found in a notice."""
+    n = max(1, int(coverage * len(words)))
+    return n if n >= coverage * len(words) else n + 1
+
+
+def in_common(words: list[str], template: list[str]) -> int:
+    """The length of the longest common subsequence, all places of the template in one number."""
+    at: dict[str, int] = {}
+    for j, w in enumerate(template):
+        at[w] = at.get(w, 0) | 1 << j
+    full = (1 << len(template)) - 1
+    free = full
+    for m in filter(None, map(at.get, words)):
+        u = free & m
+        free = (free + u | free - u) & full
+    return len(template) - free.bit_count()
+
+
+def placed(words: list[str], template: list[str], need: int) -> list[tuple[int, int, int]]:
+    """``start, end, found`` of disjoint local alignments in which ``need`` words and more are found, best first.
+
+    One is the better, the more words are found in it, and the fewer others
+    stand between them.
+    """
+    at: dict[str, list[int]] = {}
+    for j, w in enumerate(template):
+        at.setdefault(w, []).append(j)
+    places = {w: np.array(x) for w, x in at.items()}
+    # of each prefix of the template, the best alignment so far: worth of the words found plus start, and start
+    best = np.full(len(template) + 1, -1, np.int64)
+    ends, last = [], -1
+    for i, w in enumerate(words):
+        j = places.get(w)
+        if j is None:
+            continue
+        best[j + 1] = np.maximum(best[j + 1], np.maximum(best[j], i << 32 | i) + (_WORTH << 32))
+        np.maximum.accumulate(best, out=best)
+        top = int(best[-1])
+        if top != last:
+            last, start = top, top & _START
+            found = ((top >> 32) - start) // _WORTH
+            if found >= need:
+                ends.append((i + 1 - (top >> 32), start, i + 1, found))
+    taken: list[tuple[int, int]] = []
+    out = []
+    for _, start, end, found in sorted(ends):
+        k = bisect_left(taken, (start, end))
+        if (k and taken[k - 1][1] > start) or (k < len(taken) and taken[k][0] < end):
+            continue
+        taken.insert(k, (start, end))
+        out.append((start, end, found))
+    return out
+
+
+def copies(words: list[str], template: list[str], coverage: float = COVERAGE) -> list[tuple[int, int, int]]:
+    """``start, end, found`` of every notice in a stretch, until what lies around those found holds no more."""
+    need = _needed(template, coverage)
+    out, work = [], [(0, len(words))]
+    while work:
+        x, y = work.pop()
+        if y - x < need or in_common(words[x:y], template) < need:
+            continue
+        spans = []
+        for start, end, found in placed(words[x:y], template, need):
+            pairs = patience(words[x + start : x + end], template)
+            if len(pairs) >= need:
+                start, end, found = start + pairs[0][0], start + pairs[-1][0] + 1, len(pairs)
+            spans.append((x + start, x + end, found))
+        if not spans:  # one torn further apart than a placed copy may be
+            pairs = patience(words[x:y], template)
+            if len(pairs) >= need:
+                spans.append((x + pairs[0][0], x + pairs[-1][0] + 1, len(pairs)))
+        if spans:
+            out += spans
+            spans.sort()
+            work += zip([x, *(s[1] for s in spans)], [*(s[0] for s in spans), y])
+    return sorted(out)
+
+
 def stretches(places: np.ndarray, offsets: np.ndarray, length: int, n: int) -> list[tuple[int, int]]:
     """Where a template of ``length`` words may lie in ``n`` words, from key words found and their places in it."""
     slack = max(4, length // 4)
@@ -112,15 +205,14 @@ def notices(
     hold a notice many times; null and empty texts hold none.
     """
     known = {name: _words(t) for name, t in sorted((templates or TEMPLATES).items())}
+    least = {name: len(key_places(w, coverage)) + _needed(w, coverage) - len(w) for name, w in known.items()}
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict[str, list[tuple[str, int]]] = {}
         for name, words in known.items():
-            longest = max(map(len, words), default=0)
-            for i, w in enumerate(words):
-                if len(w) >= min(_KEY_LETTERS, longest):
-                    keys.setdefault(w, []).append((name, i))
+            for i in key_places(words, coverage):
+                keys.setdefault(words[i], []).append((name, i))
         for batch in bounded(batches, "t"):
             codes, offsets, distinct = coded(batch.column("t"), LOWER_ALNUM)
             names = distinct.to_pylist()
@@ -137,15 +229,15 @@ def notices(
                         places, at = found.setdefault(name, ([], []))
                         places.append(p - a)
                         at.append(i)
-                words = None
                 best = []
                 for name, (places, at) in found.items():
                     template = known[name]
+                    if len(set(at)) < least[name]:  # key words of a notice that are not among those it may lack
+                        continue
                     for x, y in stretches(np.array(places), np.array(at), len(template), int(b - a)):
                         words = [names[c] for c in codes[a + x : a + y]]
-                        pairs = patience(words, template)
-                        if pairs and len(pairs) >= coverage * len(template):
-                            best.append((-len(pairs), -len(pairs) / len(template), x + pairs[0][0], name, x + pairs[-1][0] + 1))
+                        for start, end, n in copies(words, template, coverage):
+                            best.append((-n, -n / len(template), x + start, name, x + end))
                 taken: list[tuple[int, int]] = []
                 for _, cover, start, name, end in sorted(best):
                     k = bisect_left(taken, (start, end))

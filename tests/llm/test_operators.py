@@ -317,6 +317,64 @@ def test_licences_are_found_where_they_stand(spark, empty):
     assert licence_scan.notices(empty).count() == 0
 
 
+def brute_force_copies(words, template, need):
+    """Disjoint windows by words found, four each, less their length; the common subsequence of each by the plain table."""
+    spans = []
+    for x in range(len(words)):
+        row = [0] * (len(template) + 1)
+        for y in range(x, min(len(words), x + len(template) * 3 // 2)):
+            new = [0]
+            for j, w in enumerate(template):
+                new.append(row[j] + 1 if w == words[y] else max(row[j + 1], new[j]))
+            row = new
+            if row[-1] >= need:
+                spans.append((y + 1 - x - 4 * row[-1], x, y + 1))
+    out = []
+    for _, x, y in sorted(spans):
+        if all(y <= a or x >= b for a, b in out):
+            out.append((x, y))
+    return sorted(out)
+
+
+def test_adjacent_licences_are_all_found(spark):
+    texts, expected = [], []
+    for name, notice in licence_scan.TEMPLATES.items():
+        n = len(licence_scan._words(notice))
+        for gap in (0, 1, 3, 7, 20, 50, 80, 97):
+            texts.append(" ".join([prose(30), *([notice, prose(gap)] * 4), prose(30)]))
+            expected += [(len(texts) - 1, name, 30 + k * (n + gap), 30 + k * (n + gap) + n, 1.0) for k in range(4)]
+    for name, other in (("MIT", "Apache-2.0"), ("Apache-2.0", "Apache-2.0 line"), ("MIT line", "ISC")):
+        texts.append(" ".join(licence_scan.TEMPLATES[x] for x in (name, other, name)))
+        at = 0
+        for x in (name, other, name):
+            n = len(licence_scan._words(licence_scan.TEMPLATES[x]))
+            expected.append((len(texts) - 1, x, at, at := at + n, 1.0))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in licence_scan.notices(df).collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("name", list(licence_scan.TEMPLATES))
+def test_damaged_adjacent_licences_match_brute_force(name):
+    template = licence_scan._words(licence_scan.TEMPLATES[name])
+    need = licence_scan._needed(template, licence_scan.COVERAGE)
+    spare = len(template) - need
+    for gap in (0, 5, len(template)):
+        words, planted = [], []
+        for _ in range(3):
+            words += prose(gap).split()
+            at = len(words)
+            lost = set(RNG.choice(range(1, len(template) - 1), spare, replace=False))
+            words += [f"x{j}" if j in lost else w for j, w in enumerate(template)]
+            planted.append((at, len(words)))
+        found = [c[:2] for c in licence_scan.copies(words, template)]
+        assert found == planted == brute_force_copies(words, template, need)
+
+
+def test_a_licence_without_its_longest_word_is_found(spark):
+    df = spark.createDataFrame([(1, "Licenced under CC BY-NC 4.0.")], "doc_id bigint, text string")
+    assert [tuple(r)[1:4] for r in licence_scan.notices(df).collect()] == [("CC-BY-NC-4.0 line", 1, 7)]
+
+
 def test_warc_round_trip_and_revisits(spark, tmp_path):
     at = "timestamp'2024-01-01 00:00:0{}'"
     df = spark.sql(" union all ".join(
