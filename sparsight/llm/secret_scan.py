@@ -32,7 +32,22 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 FALSE_DISCOVERY = 0.01
 #: width of a p-value bin, in powers of ten, and the smallest p-value told apart
 BIN, LEAST = 0.05, 1e-30
-_HEX, _UPPER, _ALNUM = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0-9A-Za-z"
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: pattern that a string of the encoding matches, and its alphabet in order; the first that matches holds, so smaller ones stand first
+ENCODINGS = (
+    ("[0-9]+", _DIGITS),
+    ("[0-9a-f]+", _DIGITS + "abcdef"),
+    ("[0-9A-F]+", _DIGITS + "ABCDEF"),
+    ("[A-Z2-7]+=*", _UPPER + "234567"),
+    ("(?=.*[2-7])[a-z2-7]+", _LOWER + "234567"),
+    ("(?=.*[0-9])[0-9a-z]+", _DIGITS + _LOWER),
+    ("[0-9A-Z]+", _DIGITS + _UPPER),
+    ("(?=.*[0-9])[1-9A-HJ-NP-Za-km-z]+", "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"),
+    ("(?=.*[0-9])[0-9A-Za-z]+", _DIGITS + _UPPER + _LOWER),
+)
+_BASE_64 = _UPPER + _LOWER + _DIGITS + "+/"
+#: groups of digits between dashes, as in a UUID; the dashes are not tested
+DASHED = "^(?:[0-9a-f]{4,}(?:-[0-9a-f]{4,})+|[0-9A-F]{4,}(?:-[0-9A-F]{4,})+)$"
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
@@ -96,54 +111,69 @@ def _upper_tail(z: Column) -> Column:
 def battery(word: Column) -> dict[str, Column]:
     """The tests of a string: its encoding's size, and the p-value of each test.
 
-    The encoding is the smallest of hex, base 32 and base 64 whose alphabet
-    holds the string. P-values are small where it is unlike random characters.
+    The encoding is the first of ``ENCODINGS`` that the string matches, else
+    base 64; random characters of a larger alphabet that fall into a smaller
+    one are random in that too. Letters without a digit are no base 36, 58 or
+    62, so that long words are held against base 64. P-values are small where
+    the string is unlike random characters.
     """
-    size = (
-        F.when(word.rlike(f"^[{_HEX}]+$") | word.rlike("^[0-9A-F]+$"), 16)
-        .when(word.rlike(f"^[{_UPPER}]+=*$"), 32).otherwise(64)
+    bare = F.when(word.rlike(DASHED), F.replace(word, F.lit("-"), F.lit(""))).otherwise(word)
+    tests = _bound(bare, lambda w: _bound(_alphabet(w), lambda alphabet: _tests(w, alphabet)))
+    return {name: tests[name] for name in ("alphabet", "p_uniform", "p_runs", "p_serial")}
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is made once, however often and in whatever loop it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _alphabet(word: Column) -> Column:
+    return reduce(
+        lambda rest, e: F.when(word.rlike(f"^{e[0]}$"), F.lit(e[1])).otherwise(rest), reversed(ENCODINGS), F.lit(_BASE_64)
     )
-    n = F.length(word)
+
+
+def _tests(word: Column, alphabet: Column) -> Column:
+    size, n = F.length(alphabet), F.length(word)
     letters = F.split(word, "(?!^)(?!$)")
     squares = F.aggregate(
         F.array_distinct(letters), F.lit(0.0),
         lambda acc, c: acc + F.pow(n - F.length(F.replace(word, c, F.lit(""))), F.lit(2.0)),
     )
+    # the place of a character in its alphabet; what is none of its letters and digits stands at 62
+    code = lambda c: F.when(
+        c.isin("+", "/", "-", "_", "="), F.least(size - 1, F.lit(62))
+    ).otherwise(F.position(c, alphabet) - 1).cast("double")
+    codes = F.transform(letters, code)
+    sums = lambda codes: F.struct(
+        size.alias("size"), n.alias("n"), squares.alias("squares"),
+        (F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x) / n).alias("mean"),
+        F.size(F.filter(codes, lambda x: x >= size / 2)).alias("above"),
+    )
+    return _bound(codes, lambda codes: _bound(sums(codes), lambda x: _p_values(codes, x)))
+
+
+def _p_values(codes: Column, sums: Column) -> Column:
+    size, n, squares, mean, above = (sums[x] for x in ("size", "n", "squares", "mean", "above"))
     chi = size / n * squares - n
     df = size - 1
     # cube roots of chi-squared are close to normal
     z_chi = (F.cbrt(chi / df) - (1 - 2 / (9.0 * df))) / F.sqrt(2 / (9.0 * df))
-    # the place of a character in its alphabet
-    code = lambda c: (
-        F.when(c.between("0", "9"), F.ascii(c) - F.when(size == 32, F.lit(24)).when(size == 64, F.lit(-4)).otherwise(F.lit(48)))
-        .when(c.between("a", "z"), F.ascii(c) - F.when(size == 16, F.lit(87)).otherwise(F.lit(71)))
-        .when(c.between("A", "Z"), F.ascii(c) - F.when(size == 16, F.lit(55)).otherwise(F.lit(65)))
-        .otherwise(F.least(size - 1, F.lit(62)))
-    ).cast("double")
-    codes = F.transform(letters, code)
-    high = F.transform(codes, lambda x: x >= size / 2)
-    above = F.size(F.filter(high, lambda x: x))
     below = n - above
-    changes = F.size(F.filter(
-        F.zip_with(F.slice(high, F.lit(1), n - 1), F.slice(high, F.lit(2), n - 1), lambda a, b: a != b), lambda x: x
-    ))
+    pairs = lambda f: F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), f)
+    changes = F.size(F.filter(pairs(lambda a, b: (a >= size / 2) != (b >= size / 2)), lambda x: x))
     expected = 2.0 * above * below / n + 1
     spread = F.sqrt(F.greatest(F.lit(1e-9), (expected - 1) * (expected - 2) / (n - 1)))
     z_runs = F.when((above == 0) | (below == 0), 8.0).otherwise(F.abs(changes + 1 - expected) / spread)
-    total = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x)
-    mean = total / n
     power = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    product = F.aggregate(
-        F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: (a - mean) * (b - mean)),
-        F.lit(0.0), lambda acc, x: acc + x,
+    product = F.aggregate(pairs(lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda acc, x: acc + x)
+    z_serial = _bound(power, lambda power: F.when(power == 0, 8.0).otherwise(
+        F.abs(product / power + 1.0 / n) * F.sqrt(n.cast("double"))
+    ))
+    p = lambda z, sides: _bound(z, lambda z: F.greatest(sides * _upper_tail(z), F.lit(LEAST)))
+    return F.struct(
+        size.alias("alphabet"), p(z_chi, 1).alias("p_uniform"), p(z_runs, 2).alias("p_runs"), p(z_serial, 2).alias("p_serial")
     )
-    z_serial = F.when(power == 0, 8.0).otherwise(F.abs(product / power + 1.0 / n) * F.sqrt(n.cast("double")))
-    return {
-        "alphabet": size,
-        "p_uniform": F.greatest(_upper_tail(z_chi), F.lit(LEAST)),
-        "p_runs": F.greatest(2 * _upper_tail(z_runs), F.lit(LEAST)),
-        "p_serial": F.greatest(2 * _upper_tail(z_serial), F.lit(LEAST)),
-    }
 
 
 def candidates(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The operators on small tables with nulls, ties, repeats, empty and long texts, against plain code."""
 
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -225,6 +226,40 @@ def test_secrets_match_plain_patterns(spark, docs, empty):
     assert secret_scan.secret_spans(docs).count() == len(TEXTS) and secret_scan.secret_spans(empty).count() == 0
 
 
+def test_random_strings_of_each_encoding_are_found(spark):
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rng = np.random.default_rng(11)
+    encodings = {
+        "decimal": digits, "hex": digits + "abcdef", "HEX": digits + "ABCDEF", "base 32": upper + "234567",
+        "base 32 lower": lower + "234567", "base 36": digits + lower, "BASE 36": digits + upper,
+        "base 58": "".join(c for c in digits + upper + lower if c not in "0OIl"), "base 62": digits + upper + lower,
+        "base 64": digits + upper + lower + "+/",
+    }
+    rows = [(f"{name} {n}", "".join(rng.choice(list(a), n))) for name, a in encodings.items() for n in (24, 32, 40, 64) for _ in range(300)]
+    for _ in range(300):
+        rows.append(("uuid", str(uuid.UUID(bytes=rng.bytes(16), version=4))))
+        rows.append(("UUID", str(uuid.UUID(bytes=rng.bytes(16), version=4)).upper()))
+    df = spark.createDataFrame(rows, "name string, word string").repartition(8)
+    ps = F.least(*(c for k, c in secret_scan.battery(F.col("word")).items() if k != "alphabet"))
+    # three tests at 0.05 together; 300 strings leave it four deviations of room
+    rate = {r.name: r.rate for r in df.groupBy("name").agg(F.avg((ps > 0.05 / 3).cast("int")).alias("rate")).collect()}
+    assert len(rate) == 42 and min(rate.values()) >= 0.9, rate
+
+
+def test_tokens_of_small_alphabets_are_masked(spark):
+    rng = np.random.default_rng(5)
+    tokens = ["".join(rng.choice(list("0123456789abcdefghijklmnopqrstuvwxyz"), 64)) for _ in range(100)]
+    tokens += [t.upper() for t in tokens[:50]]
+    tokens += ["".join(rng.choice(list("0123456789"), 22)) for _ in range(50)]
+    tokens += [str(uuid.UUID(bytes=rng.bytes(16), version=4)) for _ in range(50)]
+    tokens += ["unremarkablecompoundwords", "aaaaaaaaaabbbbbbbbbb1111", "0000-0000-0000-0000-0000"]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens)], "doc_id int, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.secret_spans(df).collect()}
+    random = [found[i] == [(4, 3, 4 + len(t))] for i, t in enumerate(tokens)]
+    assert np.mean(random[:150]) >= 0.9 and np.mean(random[150:200]) >= 0.85 and np.mean(random[200:250]) >= 0.85
+    assert not any(random[250:])
+
+
 def test_url_rules_and_links(spark):
     rows = [
         (1, "http://a.example.org/es/1", None), (2, "http://A.example.org/en/1x?q", ""), (3, "http://b.com/de/1", "<a href='//spam.net/'>"),
