@@ -120,20 +120,22 @@ def plan(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a ``tokenizers`` file, ordinary text only.
+    """The byte-level BPE of a ``tokenizers`` file, its added tokens as special ones.
 
     Its vocabulary lists every merge by id, so the ids are the ranks; byte
     values are written as printable characters in the way of that file format.
     """
     with open(path, encoding="utf-8") as f:
         given = json.load(f)
-    special = {x["content"] for x in given["added_tokens"]}
+    special = {x["content"]: x["id"] for x in given["added_tokens"]}
+    if any(x[k] for x in given["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens must stand for their own characters alone")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in plain}
     letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(letters[c] for c in t): i for t, i in given["model"]["vocab"].items() if t not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 @lru_cache(maxsize=4)
@@ -143,14 +145,17 @@ def _blank_first(path: str) -> np.ndarray:
     return np.array([code.decode_single_token_bytes(i).startswith(b" ") for i in range(code.max_token_value + 1)])
 
 
-def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: pa.Array, path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in order, and where each text's begin and end.
 
     A blank between two characters that are no white space always starts a new
     token, so such texts are cut there and each distinct part is encoded once;
-    texts with longer white space are encoded whole.
+    texts with longer white space are encoded whole. With ``added``, added
+    tokens of the file that stand in a text become their ids, as ``tokenizers``
+    has it by default; without, they are ordinary text.
     """
-    code = encoder(path).encode_ordinary
+    bpe = encoder(path)
+    code = (lambda t: bpe.encode(t, allowed_special="all")) if added else bpe.encode_ordinary
     texts = pc.fill_null(texts.cast(pa.string()), "")
     whole = pc.match_substring_regex(texts, r"[\s\p{Z}\x{85}\x0b\x1c-\x1f]{2}").to_numpy(zero_copy_only=False)
     parts = pc.split_pattern(texts, " ")
@@ -197,7 +202,7 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = _width(path, end_id)
         for batch in bounded(batches, "t", _PIECE_BYTES):
-            ids, ends = encode(batch.column("t"), path)
+            ids, ends = encode(batch.column("t"), path, added=True)
             out = np.insert(ids, ends[1:], end_id).astype(width)
             bounds = (ends + np.arange(len(ends))) * width.itemsize
             raw = pa.Array.from_buffers(

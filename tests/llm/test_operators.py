@@ -193,6 +193,21 @@ def test_encoding_is_that_of_the_tokenizer():
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == expected
 
 
+def test_packed_ids_hold_added_tokens(spark):
+    model = Tokenizer.from_file(PATH)
+    end = "<|endoftext|>"
+    pieces = ["a", "b", " ", "  ", "\n", "é", "1", "!", end, end, "<|", "|>", "endoftext", "\u3000", "'s"]
+    texts = [end, f"a{end}b", f"a {end} b", f"{end}{end}", f" {end} ", f"x  {end}\ny"]
+    texts += ["".join(RNG.choice(pieces, RNG.integers(0, 12))) for _ in range(3000)]
+    expected = [x.ids for x in model.encode_batch(texts, add_special_tokens=False)]
+    assert expected[1][1] == 50256
+    ids, ends = packing.encode(pa.array(texts), PATH, added=True)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == expected
+    df = spark.createDataFrame(list(enumerate(texts[:300])), "doc_id int, text string")
+    for r in packing.tokenized(df, PATH).collect():
+        assert np.frombuffer(bytes(r.ids), "<u2").tolist() == [*expected[r.doc_id], packing.END_ID]
+
+
 def test_plan_wastes_one_sequence_at_most():
     for lengths in (RNG.integers(1, 5000, 500), np.array([2048, 1]), np.array([0]), np.full(9, 1500)):
         item, start, size, sequence, offset = packing.plan(lengths)
