@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsight.llm import (
-    lempel_ziv_dedup, licence_scan, link_rank, packing, phrase_index, projected_neighbours, secret_scan, simhash_dedup,
-    toxicity, warc,
+    hilbert_clusters, lempel_ziv_dedup, licence_scan, link_rank, merkle_manifest, packing, personal_data, phrase_index,
+    projected_neighbours, secret_scan, simhash_dedup, toxicity, warc,
 )
 from sparsight.session import ship_package
 
@@ -244,3 +244,137 @@ def op3_warc_revisits(spark, folder):
 @query()
 def op7_licence_scan(spark, folder):
     return licence_scan.notices(table(spark, folder, "documents"))
+
+
+_LEAF = "sha256(" + " || ".join(
+    f"coalesce(strlen(CAST({{{c}}} AS VARCHAR)) || ':' || CAST({{{c}}} AS VARCHAR), '-')"
+    for c in ("doc_id", "source", "lang", "n_chars", "text")
+) + ")"
+_COLUMNS = {c: c for c in ("doc_id", "source", "lang", "n_chars", "text")}
+
+
+def _levels_sql(name: str, group: str, levels: int) -> str:
+    """Levels of a binary tree above ``{name}0`` (group, i, h); a group of one node stays as it is."""
+    return "\n".join(
+        f""", {name}{n + 1} AS MATERIALIZED (
+  SELECT {group}, CASE WHEN m = 1 THEN i ELSE i // 2 END AS i, CASE WHEN min(m) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+  FROM (SELECT *, count(*) OVER (PARTITION BY {group}) AS m FROM {name}{n}) GROUP BY {group}, m, CASE WHEN m = 1 THEN i ELSE i // 2 END)"""
+        for n in range(levels)
+    )
+
+
+def _fold_sql(name: str, tree: str, group: str, levels: int) -> str:
+    """Folds of ``{name}0`` (doc_id, g, place, i, own, new, proof) up the levels of a tree."""
+    return "\n".join(
+        f""", {name}{n + 1} AS MATERIALIZED (
+  SELECT f.* EXCLUDE (i, new, proof), f.i // 2 AS i, f.proof || coalesce(s.h, '') AS proof,
+    CASE WHEN k.m = 1 THEN new WHEN s.h IS NULL THEN sha256(new) WHEN f.i % 2 = 0 THEN sha256(new || s.h) ELSE sha256(s.h || new) END AS new
+  FROM {name}{n} f JOIN (SELECT {group} AS kg, count(*) AS m FROM {tree}{n} GROUP BY 1) k ON kg = f.{group}
+  LEFT JOIN {tree}{n} s ON s.{group} = f.{group} AND s.i = xor(f.i, 1))"""
+        for n in range(levels)
+    )
+
+
+#: levels that the SQL follows: tables of up to a million rows and 64 groups
+_DEEP, _WIDE = 20, 6
+_OP11_SQL = f"""
+WITH RECURSIVE crcs(b, k, c) AS (
+  SELECT CAST(b AS BIGINT), 0, CAST(b AS BIGINT) FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crcs WHERE k < 8
+), crc AS MATERIALIZED (SELECT b, c FROM crcs WHERE k = 8), crc_table AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM crc
+), d AS MATERIALIZED (
+  SELECT *, coalesce('=' || lang, '') AS g, {_LEAF.format(**_COLUMNS)} AS leaf,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda acc, x: xor(acc >> 8, t[xor(acc % 256, x) + 1])), 4294967295) AS crc
+  FROM documents, crc_table
+), n AS MATERIALIZED (
+  SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS own,
+    CASE WHEN crc % 7 = 0 THEN {_LEAF.format(**_COLUMNS | {"n_chars": "n_chars + 1"})} ELSE leaf END AS new
+  FROM d
+), l0 AS MATERIALIZED (SELECT g, i, own AS h FROM n)
+{_levels_sql("l", "g", _DEEP)}
+, subroots AS MATERIALIZED (SELECT g, row_number() OVER (ORDER BY encode(g)) - 1 AS place, h AS subroot FROM l{_DEEP}
+), u0 AS MATERIALIZED (SELECT 0 AS z, place AS i, subroot AS h FROM subroots)
+{_levels_sql("u", "z", _WIDE)}
+, f0 AS MATERIALIZED (SELECT *, '' AS proof FROM n)
+{_fold_sql("f", "l", "g", _DEEP)}
+, v0 AS MATERIALIZED (SELECT f.doc_id, f.own, f.new, f.proof, s.subroot, s.place AS i, 0 AS z FROM f{_DEEP} f JOIN subroots s USING (g))
+{_fold_sql("v", "u", "z", _WIDE)}
+SELECT doc_id, own AS leaf, subroot, u{_WIDE}.h AS root, sha256(proof) AS proof_sha256, new AS folded_root, new = u{_WIDE}.h AS verified
+FROM v{_WIDE}, u{_WIDE}
+"""
+
+
+@query(_OP11_SQL)
+def op11_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    more = [(F.col("n_chars").cast("decimal(20,0)") + 1) if i == 3 else f for i, f in enumerate(fields)]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = docs.select(
+        "doc_id", merkle_manifest.group_key(F.col("lang")).alias("g"), merkle_manifest.leaf(fields).alias("leaf"),
+        F.when(tampered, merkle_manifest.leaf(more)).alias("changed"),
+    )
+    tree = merkle_manifest.manifest(rows, [F.col("doc_id").asc_nulls_first()])
+    changes = tree.leaves.withColumn("new", F.coalesce("changed", "leaf")).drop("changed")
+    text = lambda c: F.lower(F.hex(c))
+    return merkle_manifest.folded(tree, changes).select(
+        "doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"),
+        text("proof").alias("proof_sha256"), text("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def _round_sql(n: int) -> str:
+    return f""", n{n} AS MATERIALIZED (
+  SELECT key, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT key, c, list_sum(list_transform(list_zip(v, y), lambda p: CAST((p[1] - p[2]) * (p[1] - p[2]) AS HUGEINT))) AS d FROM p, c{n}) GROUP BY key
+)"""
+
+
+_OP12_SQL = f"""
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER () AS key, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {hilbert_clusters.DIMENSIONS}
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {hilbert_clusters.DIMENSIONS}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v AS y FROM p ORDER BY sha256('3:' || vec_id) LIMIT {hilbert_clusters.CLUSTERS}
+)
+""" + "\n".join(
+    _round_sql(n) + f""", c{n + 1} AS MATERIALIZED (
+  SELECT c, list(coalesce(m, y) ORDER BY i) AS y FROM (
+    SELECT c, i, y[i] AS y FROM (SELECT c, y, unnest(range(1, {hilbert_clusters.DIMENSIONS + 1})) AS i FROM c{n}))
+  LEFT JOIN (
+    SELECT c, i, CAST((s - (((s % k) + k) % k)) // k AS BIGINT) AS m FROM (
+      SELECT c, i, sum(x) AS s, count(*) AS k FROM (
+        SELECT n{n}.c, unnest(range(1, {hilbert_clusters.DIMENSIONS + 1})) AS i, unnest(v) AS x FROM p JOIN n{n} USING (key)
+      ) GROUP BY c, i)
+  ) USING (c, i) GROUP BY c
+)"""
+    for n in range(hilbert_clusters.ROUNDS)
+) + _round_sql(hilbert_clusters.ROUNDS) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM p JOIN n{hilbert_clusters.ROUNDS} USING (key) JOIN c{hilbert_clusters.ROUNDS} USING (c)
+"""
+
+
+@query(_OP12_SQL)
+def op12_hilbert_clusters(spark, folder):
+    found, centroids = hilbert_clusters.clusters(table(spark, folder, "embeddings"))
+    names = F.array(*(F.lit(",".join(map(str, c))) for c in centroids.tolist())).cast("array<string>")
+    return found.withColumn("centroid_sha256", F.sha2(F.get(names, F.col("cluster")), 256))
+
+
+@query()
+def op13_personal_data(spark, folder):
+    found = personal_data.personal_spans(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: ~s["added"])
+    count = [
+        F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
+        for k, name in enumerate(personal_data.KINDS)
+    ]
+    return found.select(
+        "doc_id", *count, F.sha2(personal_data.joined(base), 256).alias("base_sha256"),
+        personal_data.joined(F.col("spans")).alias("spans"),
+    )
