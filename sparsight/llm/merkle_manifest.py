@@ -36,17 +36,19 @@ class Manifest:
     blocks: DataFrame
     paths: DataFrame
     arity: int
+    size: int
 
     def write(self, path: str) -> None:
         for name in ("leaves", "blocks", "paths"):
-            getattr(self, name).withColumn("arity", F.lit(self.arity)).write.parquet(f"{path}/{name}")
+            table = getattr(self, name).withColumn("arity", F.lit(self.arity)).withColumn("size", F.lit(self.size))
+            table.write.parquet(f"{path}/{name}")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Manifest:
         """A manifest written before; one without any leaf has no arity of its own."""
         leaves, blocks, paths = (spark.read.parquet(f"{path}/{name}") for name in ("leaves", "blocks", "paths"))
-        first = blocks.select("arity").first()
-        return Manifest(leaves.drop("arity"), blocks.drop("arity"), paths.drop("arity"), first[0] if first else 2)
+        arity, size = blocks.select("arity", "size").first() or (2, BLOCK)
+        return Manifest(*(t.drop("arity", "size") for t in (leaves, blocks, paths)), arity, size)
 
 
 def leaf(values: list[Column]) -> Column:
@@ -61,14 +63,6 @@ def group_key(group: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))
 
 
-def _span(arity: int) -> tuple[int, int]:
-    """Levels inside a block and the leaves it holds."""
-    levels = 1
-    while arity ** (levels + 1) <= BLOCK:
-        levels += 1
-    return levels, arity**levels
-
-
 def _height(n: int, arity: int) -> int:
     levels = 0
     while arity**levels < n:
@@ -95,22 +89,23 @@ def subtree(digests: np.ndarray, levels: int, arity: int) -> tuple[list[np.ndarr
     return nodes, states
 
 
-def _levels(n: int, arity: int, step: int) -> int:
-    """Levels that a group of ``n`` leaves has in a step of blocks of blocks."""
-    return min(_span(arity)[0], max(0, _height(n, arity) - step * _span(arity)[0]))
+def _levels(n: int, arity: int, size: int, step: int) -> int:
+    """Levels that a group of ``n`` leaves has in a step of blocks of ``size`` blocks."""
+    deep = _height(size, arity)
+    return min(deep, max(0, _height(n, arity) - step * deep))
 
 
 def _digests(column: pa.ChunkedArray) -> np.ndarray:
     return sha.unpacked(b"".join(column.to_pylist()))
 
 
-def _blocks(leaves: DataFrame, arity: int) -> DataFrame:
+def _blocks(leaves: DataFrame, arity: int, size: int) -> DataFrame:
     """``g, b, n, root, digests, states`` of every block of leaves."""
 
     def build(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("i")
         n = rows.column("n")[0].as_py()
-        nodes, states = subtree(_digests(rows.column("leaf")), _levels(n, arity, 0), arity)
+        nodes, states = subtree(_digests(rows.column("leaf")), _levels(n, arity, size, 0), arity)
         level = [sha.packed(x) for x in nodes]
         return pa.table({
             "g": rows.column("g")[:1], "b": rows.column("b")[:1], "n": rows.column("n")[:1], "root": pa.array([level[-1]], pa.binary()),
@@ -122,14 +117,13 @@ def _blocks(leaves: DataFrame, arity: int) -> DataFrame:
     return leaves.select("g", "b", "i", "n", "leaf").groupBy("g", "b").applyInArrow(build, kind)
 
 
-def _steps_above(nodes: DataFrame, arity: int, step: int) -> DataFrame:
+def _steps_above(nodes: DataFrame, arity: int, size: int, step: int) -> DataFrame:
     """``g, c, b, n, path, root`` of every node ``c`` in a block ``b`` of nodes: the steps from it to the block's root."""
-    size = _span(arity)[1]
 
     def build(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("c")
         m = rows.num_rows
-        nodes, states = subtree(_digests(rows.column("digest")), _levels(rows.column("n")[0].as_py(), arity, step), arity)
+        nodes, states = subtree(_digests(rows.column("digest")), _levels(rows.column("n")[0].as_py(), arity, size, step), arity)
         level = [sha.pieces(sha.packed(x)) for x in nodes]
         state = [[sha.pieces(sha.packed(s)) for s in x] for x in states]
         paths = []
@@ -152,11 +146,11 @@ def _steps_above(nodes: DataFrame, arity: int, step: int) -> DataFrame:
     return rows.groupBy("g", "b").applyInArrow(build, kind)
 
 
-def _climbed(nodes: DataFrame, arity: int, first: int, steps: int) -> DataFrame:
+def _climbed(nodes: DataFrame, arity: int, size: int, first: int, steps: int) -> DataFrame:
     """``g, c, path, root``: all steps from each node to the root of its group."""
-    size, parts = _span(arity)[1], []
+    parts = []
     for step in range(first, steps):
-        part = materialize(_steps_above(nodes, arity, step), "paths")
+        part = materialize(_steps_above(nodes, arity, size, step), "paths")
         parts.append(part)
         nodes = part.where(F.col("c") % size == 0).select("g", F.col("b").alias("c"), "n", F.col("root").alias("digest"))
     out = nodes.select("g", "c", F.array().cast(f"array<{_STEP}>").alias("path"), F.col("digest").alias("root"))
@@ -166,19 +160,22 @@ def _climbed(nodes: DataFrame, arity: int, first: int, steps: int) -> DataFrame:
     return out
 
 
-def manifest(rows: DataFrame, order: list[Column], arity: int = 2) -> Manifest:
+def manifest(rows: DataFrame, order: list[Column], arity: int = 2, block: int = BLOCK) -> Manifest:
     """The tree over ``rows``, which have ``g`` (``group_key``) and ``leaf`` (binary) besides columns of their own.
 
     Leaves of a group stand in the given order, then by digest; a parent takes
     ``arity`` of them, the last of a level fewer. A lone leaf is its group's
     root. The roots of the groups, ordered by ``g``, are combined likewise.
+    A task builds subtrees of up to ``block`` leaves.
     Rows may have null keys and repeat; an empty table has an empty tree.
     Columns named ``b``, ``i``, ``n`` or ``at`` are refused.
     """
     taken = {"b", "i", "n", "at"} & {c.lower() for c in rows.columns}
     if taken or arity < 2:
         raise ValueError(f"name these columns otherwise: {sorted(taken)}" if taken else "a parent has two slots at least")
-    size = _span(arity)[1]
+    size = arity
+    while size * arity <= block:
+        size *= arity
     ranked = rank_rows(materialize(rows, "leaves"), [F.col("g"), *order, F.col("leaf")], "at")
     groups = ranked.groupBy("g").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     groups = materialize(rank_rows(groups, [F.col("g")], "place"), "groups")
@@ -187,20 +184,20 @@ def manifest(rows: DataFrame, order: list[Column], arity: int = 2) -> Manifest:
     leaves = placed.withColumn("i", F.col("at") - F.col("first")).withColumn(
         "b", F.floor(F.col("i") / size).cast("bigint")
     ).drop("at", "first")
-    blocks = materialize(_blocks(leaves, arity), "blocks")
+    blocks = materialize(_blocks(leaves, arity, size), "blocks")
 
-    steps = lambda n: max(1, -(-_height(n or 0, arity) // _span(arity)[0]))
+    steps = lambda n: max(1, -(-_height(n or 0, arity) // _height(size, arity)))
     roots = blocks.select("g", F.col("b").alias("c"), "n", F.col("root").alias("digest"))
-    inner = materialize(_climbed(roots, arity, 1, steps(largest)), "paths").withColumnRenamed("root", "subroot")
+    inner = materialize(_climbed(roots, arity, size, 1, steps(largest)), "paths").withColumnRenamed("root", "subroot")
     tops = inner.where("c = 0").join(groups.select("g", "place"), "g").select(
         F.lit("").alias("g"), F.col("place").alias("c"), F.lit(many).cast("bigint").alias("n"), F.col("subroot").alias("digest")
     )
-    outer = _climbed(tops, arity, 0, steps(many)).select(F.col("c").alias("place"), F.col("path").alias("above"), "root")
+    outer = _climbed(tops, arity, size, 0, steps(many)).select(F.col("c").alias("place"), F.col("path").alias("above"), "root")
     above = materialize(groups.select("g", "place").join(outer, "place").drop("place"), "paths")
     paths = lookup_join(inner, above, ["g"], _PATH_BYTES + (wide or 0)).select(
         "g", F.col("c").alias("b"), F.concat("path", "above").alias("path"), "subroot", "root"
     )
-    return Manifest(leaves.drop("n"), blocks.drop("n", "root"), materialize(paths, "paths"), arity)
+    return Manifest(leaves.drop("n"), blocks.drop("n", "root"), materialize(paths, "paths"), arity, size)
 
 
 def fold_block(
@@ -249,7 +246,7 @@ def folded(tree: Manifest, changes: DataFrame, new: str = "new") -> DataFrame:
     replaced, computed from the states kept; ``proof`` is SHA-256 of the
     siblings on its way in hexadecimal, from the leaf up, left to right.
     """
-    arity, size = tree.arity, _span(tree.arity)[1]
+    arity, size = tree.arity, tree.size
 
     def run(block: pa.Table, rows: pa.Table) -> pa.Table:
         n = rows.num_rows if block.num_rows else 0

@@ -64,7 +64,6 @@ def _characters() -> dict[str, str]:
 CHARACTERS = _characters()
 _any = lambda words: "|".join(sorted(words.split(), key=len, reverse=True))
 _words = _any(" ".join(DIGITS))
-_CHARACTER = re.compile(f"[{re.escape(''.join(CHARACTERS))}]")
 _DIGIT_WORD = re.compile(rf"(?i)(?<!\w)(?:{_words})(?!\w)")
 _REPEAT = re.compile(r"(?i)(?<!\w)(double|triple)\s{1,2}$")
 _GAP = re.compile(rf"(?i)[\s,()-]{{1,3}}(?:(?:double|triple)\s{{1,2}})?|\s{{0,2}}[\[({{]?\s{{0,2}}(?:{_any(DOT)})\s{{0,2}}[\])}}]?\s{{0,2}}|\.|[\s,.()-]{{1,3}}[0-9]{{1,19}}[\s,.()-]{{1,3}}")
@@ -81,7 +80,7 @@ _SIGNS = re.compile(
     rf"|(?P<weak_dot>(?<=[a-z0-9])(?:\s{{1,3}}(?:{_any(DOT)})\s{{1,3}}|[_-](?:{_any(DOT)})[_-])(?=[a-z0-9]))"
 )
 #: texts that none of these fit hold no disguise; they may fit others too
-_MAY_SIGN = rf"(?i)(?:{_any(DOT)})|[\[({{<]\s{{0,3}}(?:\.|@|{_any(AT)})|\s@|@\s"
+_MAY_SIGN = rf"(?i)(?:{_any(DOT)})|[\[({{<]\s{{0,3}}(?:\.|@|{_any(AT)})|\s@|@\s|[\s_-](?:{_any(AT)})[\s_-]{{1,3}}[a-z0-9-]+\.[a-z0-9]"
 _MAY_DIGIT = rf"(?i)(?:{_words})[\s,.()-]{{1,3}}(?:{_words})|[0-9][OolI|]|[OolI|][0-9]|[0-9][\s\[({{<]{{1,5}}(?:\.|{_any(DOT)})|(?:plus|más|mas)\s"
 _MAY_CHARACTER = f"[{''.join(sorted(CHARACTERS))}]"
 
@@ -194,7 +193,8 @@ PLAIN = (emails, ips, cards, phones)
 
 def fold_characters(text: str) -> list[tuple[int, int, str]]:
     """Look-alikes to ASCII; characters without width go."""
-    return [(m.start(), m.end(), CHARACTERS[m.group()]) for m in _CHARACTER.finditer(text)]
+    here = "".join(CHARACTERS.keys() & set(text))
+    return [(m.start(), m.end(), CHARACTERS[m.group()]) for m in re.finditer(f"[{here}]", text)] if here else []
 
 
 def fold_bad_digits(text: str) -> list[tuple[int, int, str]]:
