@@ -1,7 +1,8 @@
 """Licence notices in whole texts, by patience alignment with templates.
 
 Key words of a template show where in a text it may lie. Such a stretch may hold
-several copies; a local alignment places each, and the copy is aligned alone:
+several copies; disjoint windows are placed so that as many as possible hold one,
+and each copy is aligned alone:
 words unique to both sides are anchors, the longest increasing subsequence of
 them is kept, and the gaps between are aligned the same way.
 """
@@ -20,10 +21,6 @@ from sparsight.llm.words import LOWER_ALNUM, bounded, coded
 
 COVERAGE = 0.8
 _KEY_LETTERS = 7
-#: what a word found is worth in words of text passed over, in placing a copy: too little to reach over to the next copy
-#: for the words that one lacks
-_WORTH = 4
-_START = (1 << 32) - 1
 
 #: fixed values: the notices
 TEMPLATES = {
@@ -122,64 +119,79 @@ def in_common(words: list[str], template: list[str]) -> int:
 
 
 def placed(words: list[str], template: list[str], need: int) -> list[tuple[int, int, int]]:
-    """``start, end, found`` of disjoint local alignments in which ``need`` words and more are found, best first.
+    """``start, end, found`` of disjoint windows in each of which ``need`` words of the template and more are found.
 
-    One is the better, the more words are found in it, and the fewer others
-    stand between them.
+    Of all such sets, one with the most windows; of these, with the most words
+    found; of these, with the fewest words spanned. A window spans up to twice
+    the template.
     """
-    at: dict[str, list[int]] = {}
+    at: dict[str, int] = {}
     for j, w in enumerate(template):
-        at.setdefault(w, []).append(j)
-    places = {w: np.array(x) for w, x in at.items()}
-    # of each prefix of the template, the best alignment so far: worth of the words found plus start, and start
-    best = np.full(len(template) + 1, -1, np.int64)
-    ends, last = [], -1
-    for i, w in enumerate(words):
-        j = places.get(w)
-        if j is None:
-            continue
-        best[j + 1] = np.maximum(best[j + 1], np.maximum(best[j], i << 32 | i) + (_WORTH << 32))
-        np.maximum.accumulate(best, out=best)
-        top = int(best[-1])
-        if top != last:
-            last, start = top, top & _START
-            found = ((top >> 32) - start) // _WORTH
-            if found >= need:
-                ends.append((i + 1 - (top >> 32), start, i + 1, found))
-    taken: list[tuple[int, int]] = []
-    out = []
-    for _, start, end, found in sorted(ends):
-        k = bisect_left(taken, (start, end))
-        if (k and taken[k - 1][1] > start) or (k < len(taken) and taken[k][0] < end):
+        at[w] = at.get(w, 0) | 1 << j
+    hits = [(i, at[w]) for i, w in enumerate(words) if w in at]
+    full, reach = (1 << len(template)) - 1, 2 * len(template)
+    most = {w: m.bit_count() for w, m in at.items()}
+    here: Counter = Counter()
+    possible, ahead = 0, 0  # words that a window from a hit on may find at most
+    # of each prefix of the hits: count, words found, less words spanned; and the last window of the best set
+    best: list[tuple[int, int, int]] = [(0, 0, 0)] * (len(hits) + 1)
+    window: list[tuple[int, int] | None] = [None] * (len(hits) + 1)
+    for s, (start, _) in enumerate(hits):
+        if s and best[s] < best[s - 1]:
+            best[s], window[s] = best[s - 1], None
+        while ahead < len(hits) and hits[ahead][0] < start + reach:
+            w = words[hits[ahead][0]]
+            possible += here[w] < most[w]
+            here[w] += 1
+            ahead += 1
+        if possible >= need:
+            free, (count, words_found, spanned) = full, best[s]
+            for e in range(s, ahead):
+                end, mask = hits[e]
+                u = free & mask
+                free = (free + u | free - u) & full
+                found = len(template) - free.bit_count()
+                if found >= need:
+                    value = (count + 1, words_found + found, spanned - (end + 1 - start))
+                    if value > best[e + 1]:
+                        best[e + 1], window[e + 1] = value, (s, found)
+        w = words[start]
+        here[w] -= 1
+        possible -= here[w] < most[w]
+    if hits and best[-1] < best[-2]:
+        window[-1] = None
+    out, k = [], len(hits)
+    while k:
+        if window[k] is None:
+            k -= 1
             continue
-        taken.insert(k, (start, end))
-        out.append((start, end, found))
-    return out
+        s, found = window[k]
+        out.append((hits[s][0], hits[k - 1][0] + 1, found))
+        k = s
+    return out[::-1]
 
 
 def copies(words: list[str], template: list[str], coverage: float = COVERAGE) -> list[tuple[int, int, int]]:
-    """``start, end, found`` of every notice in a stretch, until what lies around those found holds no more."""
+    """``start, end, found`` of every notice in a stretch.
+
+    Each placed window is aligned alone, and trimmed to what patience finds
+    where that is a notice. One torn over more than a window is looked for
+    where none is placed.
+    """
     need = _needed(template, coverage)
-    out, work = [], [(0, len(words))]
-    while work:
-        x, y = work.pop()
-        if y - x < need or in_common(words[x:y], template) < need:
-            continue
-        spans = []
-        for start, end, found in placed(words[x:y], template, need):
-            pairs = patience(words[x + start : x + end], template)
-            if len(pairs) >= need:
-                start, end, found = start + pairs[0][0], start + pairs[-1][0] + 1, len(pairs)
-            spans.append((x + start, x + end, found))
-        if not spans:  # one torn further apart than a placed copy may be
-            pairs = patience(words[x:y], template)
-            if len(pairs) >= need:
-                spans.append((x + pairs[0][0], x + pairs[-1][0] + 1, len(pairs)))
-        if spans:
-            out += spans
-            spans.sort()
-            work += zip([x, *(s[1] for s in spans)], [*(s[0] for s in spans), y])
-    return sorted(out)
+    if len(words) < need or in_common(words, template) < need:
+        return []
+    out = []
+    for start, end, found in placed(words, template, need):
+        pairs = patience(words[start:end], template)
+        if len(pairs) >= need:
+            start, end, found = start + pairs[0][0], start + pairs[-1][0] + 1, len(pairs)
+        out.append((start, end, found))
+    if not out:
+        pairs = patience(words, template)
+        if len(pairs) >= need:
+            out.append((pairs[0][0], pairs[-1][0] + 1, len(pairs)))
+    return out
 
 
 def stretches(places: np.ndarray, offsets: np.ndarray, length: int, n: int) -> list[tuple[int, int]]:

@@ -179,10 +179,17 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, each id once.
+    """One row of ``docs`` for each group of near-duplicates: that with the smallest id, of equal ids the smallest key.
 
-    Rows without an id cannot be named as a copy of another: they stay.
+    The key of a row is its id with hashes of its text, so that texts which
+    share an id are told apart. Null ids come last. Rows with equal ids and
+    texts are copies, of which one stays, whatever their other columns hold.
     """
-    found = near_duplicates(docs, doc_id, text).where("doc_id = component_id")
-    kept = docs.join(found.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    raw = F.coalesce(F.col(text), F.lit(""))
+    key = F.struct(
+        F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(raw).alias("a"), F.hash(raw).alias("b"),
+        F.octet_length(raw).alias("size"),
+    )
+    keyed = docs.withColumn("__key", key)
+    kept = near_duplicates(keyed, "__key", text).select(F.col("component_id").alias("__key")).distinct()
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -1,7 +1,7 @@
 """The stages of the corpus pipeline: each takes and returns documents, the last packs them.
 
-Columns that a stage does not know pass through it. Rows are told apart by
-their content, so null and repeated ids do no harm.
+Columns that a stage does not know pass through it. Rows are told apart by id
+and text; of rows that repeat both, near-dedup keeps one.
 """
 
 from __future__ import annotations
