@@ -11,7 +11,7 @@ from sparsight.llm import (
     hilbert_clusters, lempel_ziv_dedup, licence_scan, link_rank, merkle_manifest, packing, personal_data, phrase_index,
     projected_neighbours, secret_scan, simhash_dedup, toxicity, warc,
 )
-from sparsight.session import ship_package
+from sparsight.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -189,8 +189,8 @@ def op1_projected_neighbours(spark, folder):
     return projected_neighbours.nearest(table(spark, folder, "embeddings"))
 
 
-# Captures derived from pages: each page is answered in full once, and asked for
-# again later, with another spelling of its URL, by a request that finds it unchanged
+# Captures derived from pages, written as WARC files and read back: each page is
+# answered in full once, and asked for again later, with another spelling of its URL, by a request that finds it unchanged
 # or, for one page in seven, that has another entity tag.
 _OP3_SQL = r"""
 WITH p AS (
@@ -224,6 +224,7 @@ def op3_warc_revisits(spark, folder):
         F.col("page_id").cast("string").alias("record_id"), F.lit("response").alias("kind"), "url",
         F.timestamp_seconds(seconds).alias("at"), F.lit(200).alias("status"),
         headers("content-type", "text/html", "date", seconds.cast("string"), "etag", quoted(tag)).alias("headers"),
+        F.col("html").alias("body"),
     )
     revisits = pages.select(
         F.concat(F.lit("again-"), F.col("page_id").cast("string")).alias("record_id"), F.lit("revisit").alias("kind"),
@@ -231,10 +232,13 @@ def op3_warc_revisits(spark, folder):
         headers(
             "content-length", "0", "date", later.cast("string"),
             "etag", F.concat(F.lit("W/"), quoted(F.when(F.col("page_id") % 7 == 0, "other").otherwise(tag))),
-        ).alias("headers"),
+        ).alias("headers"), F.lit("").alias("body"),
     )
+    path = scratch_path(spark, "captures")
+    warc.write_warc(responses.unionByName(revisits), path, "gzip")
+    captures = warc.read_warc(spark, path).where("not damaged")
     entries = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return warc.resolve(responses.unionByName(revisits)).select(
+    return warc.resolve(captures).select(
         F.regexp_replace("record_id", "again-", "").cast("bigint").alias("page_id"),
         F.col("target_id").cast("bigint").alias("target_page"), "outcome",
         F.when(F.col("headers").isNotNull(), F.regexp_replace(F.concat_ws(",", entries), "W/", "")).alias("headers"),

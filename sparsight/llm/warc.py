@@ -7,11 +7,16 @@ response for the same canonical URL, if the validators agree; headers that a
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sparsight.session import materialize, shuffle_partitions
 
 VERSION = "WARC/1.1\r\n"
+BATCH_BYTES = 16 << 20
 #: fixed values: headers that a 304 answer may renew in a stored response
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 FIELDS = "record_id string, kind string, url string, at timestamp, status int, headers map<string,string>, body binary"
@@ -37,27 +42,76 @@ def block(record: dict[str, Column]) -> Column:
     )
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Uncompressed WARC files, one per task, of a table with the columns of ``block``."""
+def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
+    """WARC files, one per task, of a table with the columns of ``block``; ``gzip`` makes each one a compressed stream."""
     named = {c: F.col(c) for c in ("record_id", "kind", "url", "at", "status", "headers", "body")}
     named["body"] = F.coalesce(named["body"].cast("string"), F.lit(""))
-    records.select(block(named)).write.option("lineSep", "\r\n\r\n").text(path)
+    records.select(block(named)).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files with the columns of ``FIELDS``, and ``damaged``.
+_HEAD = re.compile(rb"[0-9.]+\r\n.*?\r\n\r\n", re.DOTALL)
+_TYPE = re.compile(rb"(?im)^WARC-Type:")
+_LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*([0-9]+)")
+
 
-    Large files are split between records. A record whose content is shorter
-    than its length says, as where content holds a version line, is damaged.
-    Header names are in lower case; of a repeated header the last counts.
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``head, content, damaged`` from the pieces between version lines, in the order of each split of a file.
+
+    A piece begins a record unless the one before still lacks content. One
+    without a record's head, as the rest of content cut by a split, is none.
     """
-    raw = spark.read.option("lineSep", VERSION).text(path).where("value <> ''").select(F.col("value").cast("binary").alias("b"))
-    text = F.col("b").cast("string")
-    head = F.substring_index(text, "\r\n\r\n", 1)
-    cut = F.octet_length(head) + 4
+    head, size, parts, held, split, rows, full = None, 0, [], 0, None, [], 0
+
+    def done():
+        if head is not None:
+            content = b"WARC/".join(parts)
+            rows.append((head, content[:size], len(content) < size))
+
+    def batch_of(rows):
+        head, content, damaged = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(head, pa.binary()), pa.array(content, pa.binary()), pa.array(damaged, pa.bool_())], ["head", "content", "damaged"]
+        )
+
+    for batch in batches:
+        for piece, where in zip(batch.column("b").to_pylist(), batch.column("split").to_pylist()):
+            if where == split and head is not None and held < size:
+                parts.append(piece)
+                held += len(b"WARC/") + len(piece)
+                continue
+            found = _HEAD.match(piece)
+            done()
+            head, split = None, where
+            if found and _TYPE.search(found.group()):
+                length = _LENGTH.search(found.group())
+                head, size = found.group()[:-4], int(length.group(1)) if length else 0
+                parts = [piece[found.end():]]
+                held = len(parts[0])
+                full += held
+            if full > BATCH_BYTES:
+                yield batch_of(rows) if rows else batch_of([(b"", b"", False)]).slice(1)
+                rows, full = [], 0
+    done()
+    if rows:
+        yield batch_of(rows)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files of any version, compressed or not, with the columns of ``FIELDS``, and ``damaged``.
+
+    Files are read as a stream and cut at version lines; the length that a
+    record states says whether such a line is its own content. Uncompressed
+    large files are split, compressed ones are not. Damaged is a record shorter
+    than it says, also one whose content holds a version line at the very place
+    where a large file is split. Header names are in lower case; of a repeated
+    header the last counts. Empty files hold nothing.
+    """
+    raw = spark.read.option("lineSep", "WARC/").text(path).select(
+        F.col("value").cast("binary").alias("b"), F.concat_ws(":", "_metadata.file_path", "_metadata.file_block_start").alias("split")
+    )
+    records = raw.mapInArrow(_records, "head binary, content binary, damaged boolean")
+    head = F.col("head").cast("string")
     field = lambda name: F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
-    size = field("Content-Length").cast("int")
-    content = F.substring(F.col("b"), cut + 1, size)
     http = F.substring_index(F.col("content").cast("string"), "\r\n\r\n", 1)
     lines = F.filter(F.split(http, "\r\n"), lambda x: x.contains(":"))
     pairs = F.transform(lines, lambda x: F.struct(
@@ -65,12 +119,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     ))
     # the last of each name
     last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda y: y["key"] == x["key"]))
-    return raw.select(
+    return records.select(
         F.regexp_replace(field("WARC-Record-ID"), "^<|>$", "").alias("record_id"), field("WARC-Type").alias("kind"),
         field("WARC-Target-URI").alias("url"), F.try_to_timestamp(field("WARC-Date")).alias("at"),
-        content.alias("content"), (F.octet_length(content) < size).alias("damaged"),
-    ).select(
-        "record_id", "kind", "url", "at", F.regexp_extract(http, r"^HTTP/[0-9.]+ ([0-9]+)", 1).try_cast("int").alias("status"),
+        F.regexp_extract(http, r"^HTTP/[0-9.]+ ([0-9]+)", 1).try_cast("int").alias("status"),
         F.map_from_entries(last).alias("headers"),
         F.substring(F.col("content"), F.octet_length(http) + 5, F.octet_length("content")).alias("body"), "damaged",
     )

@@ -477,6 +477,54 @@ def test_warc_round_trip_and_revisits(spark, tmp_path):
     assert warc.resolve(df.where("false")).count() == 0
 
 
+def warc_bytes(version, records, end=b"\r\n\r\n"):
+    out = []
+    for name, content in records:
+        http = b"HTTP/1.1 200 OK\r\nA: 1\r\na: 2\r\n\r\n" + content
+        head = f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\nWARC-Target-URI: http://x.org/{name}\r\n" \
+            f"WARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {len(http)}\r\n\r\n"
+        out.append(head.encode() + http)
+    return [x + end for x in out]
+
+
+@pytest.mark.parametrize("version", ["0.18", "1.0", "1.1"])
+@pytest.mark.parametrize("packing", ["plain", "stream", "members"])
+def test_warc_files_of_every_version(spark, tmp_path, version, packing):
+    import gzip
+
+    # contents with version lines, ends of records and bytes that are no text
+    bodies = [b"one", b"", b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc", b"x\r\n\r\nWARC/1.1\r\n" * 3, bytes(range(256)) * 50, b"last WARC/"]
+    blocks = warc_bytes(version, [(f"r{k}", b) for k, b in enumerate(bodies)])
+    raw = b"".join(map(gzip.compress, blocks)) if packing == "members" else gzip.compress(b"".join(blocks)) if packing == "stream" else b"".join(blocks)
+    (tmp_path / f"a.warc{'' if packing == 'plain' else '.gz'}").write_bytes(raw)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = sorted((r.record_id, bytes(r.body), r.damaged, r.headers["a"]) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert got == [(f"r{k}", b, False, "2") for k, b in enumerate(bodies)]
+
+
+def test_warc_records_cut_short_are_damaged(spark, tmp_path):
+    blocks = warc_bytes("1.0", [("a", b"x" * 100), ("b", b"y" * 100)])
+    (tmp_path / "a.warc").write_bytes(blocks[0] + blocks[1][:-40])
+    (tmp_path / "b.warc").write_bytes(blocks[0])
+    got = sorted((r.record_id, len(r.body), r.damaged) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert got == [("a", 100, False), ("a", 100, False), ("b", 64, True)]
+
+
+def test_large_warc_files_are_split_between_records(spark, tmp_path):
+    bodies = [(f"r{k}", b"WARC/1.0\r\n" + bytes([65 + k % 20]) * (k * 37 % 4000)) for k in range(300)]
+    (tmp_path / "a.warc").write_bytes(b"".join(warc_bytes("1.0", bodies)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "70000")
+        df = warc.read_warc(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 3
+        got = {r.record_id: (len(r.body), r.damaged) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = {k for k, (_, damaged) in got.items() if not damaged}
+    assert {n for n, _ in bodies} >= whole and len(whole) >= 290 and all(got[n][0] == len(b) for n, b in bodies if n in whole)
+
+
 def test_pipeline_stages_keep_columns(spark, docs, empty, tmp_path):
     spark.createDataFrame([(0, 0), (1, 0)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "one"), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
