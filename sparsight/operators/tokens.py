@@ -72,7 +72,8 @@ def _in_place(vocab: DataFrame):
         offsets = kept[np.concatenate([[0], np.cumsum(sizes)])]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found.drop_null().cast(pa.int32()))
 
-    return ids
+    # no filter on the sizes of sequences may be pushed below it, or every text would be coded twice
+    return ids.asNondeterministic()
 
 
 def tokenize(

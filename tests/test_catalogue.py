@@ -48,3 +48,11 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert {"latent", "rank", "tokens"} <= set(df.columns)
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", [
+    "token_rows", "token_frequency", "chunks", "lookup_activations", "token_activation_rms", "top_activations", "rebuilt_text",
+])
+def test_texts_go_to_python_once(spark, name):
+    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 1
