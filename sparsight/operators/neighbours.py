@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -18,7 +17,7 @@ _DECIMALS = 9  # equal vectors must tie in whichever order they are summed
 _SCHEMA = "id long, neighbour long, similarity double"
 
 
-def _best(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int):
+def best_of(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int):
     """The k best of ``others`` (ascending) for each of ``ids``; ties go to the smaller id."""
     similarity = np.round(x @ y.T, _DECIMALS)
     similarity[ids[:, None] == others[None, :]] = -np.inf
@@ -39,14 +38,14 @@ def knn(
     key: str = "vec_id",
     column: str = "activation",
     max_bytes: int = MAX_BROADCAST_BYTES,
-    block_rows: int = 4096,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(id, neighbour, similarity, rank): the ``k`` nearest others of each vector.
 
     A table that fits ``max_bytes`` is broadcast, each task comparing its own
-    rows with all. Beyond that, rows are hashed into blocks, every pair of
-    blocks is one bounded group, and the best ``k`` per block are ranked
-    again. Either way a task only puts out ``k`` rows per vector.
+    rows with all. Beyond that, pieces of bounded size are compared in pairs,
+    most of which are ruled out by bounds, see ``balls``. Either way a task
+    only puts out ``k`` rows per vector and piece.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v"))
     n = rows.count()
@@ -54,7 +53,9 @@ def knn(
     if n * (4 * width + 16) <= max_bytes:
         found = _knn_broadcast(rows, k)
     else:
-        found = _knn_blocks(rows, k, max(1, -(-n // block_rows)))
+        from sparsight.operators.balls import knn_balls
+
+        return knn_balls(rows, k, "id", "v", block_rows)[0]
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -72,28 +73,9 @@ def _knn_broadcast(rows: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                found = _best(part.column("id").to_numpy(), to_matrix(part.column("v")), others, y, k)
+                found = best_of(part.column("id").to_numpy(), to_matrix(part.column("v")), others, y, k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) for c in found], names=["id", "neighbour", "similarity"]
                 )
 
     return rows.mapInArrow(run, _SCHEMA)
-
-
-def _knn_blocks(rows: DataFrame, k: int, blocks: int) -> DataFrame:
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = rows.select("id", "v", own.alias("qb"), F.explode(every).alias("cb"))
-    right = rows.select("id", "v", F.explode(every).alias("qb"), own.alias("cb"))
-
-    def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
-        c = c.sort_values("id")
-        x, y = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (q, c))
-        found = _best(q["id"].to_numpy(), x, c["id"].to_numpy(), y, k)
-        return pd.DataFrame(dict(zip(["id", "neighbour", "similarity"], found)))
-
-    return (
-        left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(compare, _SCHEMA)
-    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsight.functions.vectors import squared_norm
 from sparsight.operators import (
-    autoencoder, extraction, neighbours, ordering, packing, statistics, tokens, training,
+    autoencoder, balls, extraction, neighbours, ordering, packing, statistics, tokens, training,
 )
 from sparsight.plans import flows
 from sparsight.plans.catalogue import (
@@ -598,17 +598,26 @@ def cluster_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return statistics.outliers(grouped, 2.0).select("vec_id", "cluster", "distance")
 
 
-@query(f"""WITH {EMB},
+_NEAREST = f"""WITH {EMB},
 pairs AS (SELECT a.vec_id AS id, b.vec_id AS neighbour,
                  round(list_inner_product(a.x, b.x), 9) AS similarity
           FROM emb a JOIN emb b ON a.vec_id <> b.vec_id),
 ranked AS (SELECT *, row_number() OVER
              (PARTITION BY id ORDER BY similarity DESC, neighbour) AS rank FROM pairs)
-SELECT id, neighbour, {r('similarity', 'similarity')}, rank FROM ranked WHERE rank <= 5""")
+SELECT id, neighbour, {r('similarity', 'similarity')}, rank FROM ranked WHERE rank <= 5"""
+
+
+@query(_NEAREST)
 def nearest_activations(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.knn(flows.vectors(spark, folder), 5)
 
 
+@query(_NEAREST)
+def nearest_by_balls(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows where the table is too large to be sent to every task."""
+    return balls.knn_balls(flows.vectors(spark, folder), 5)[0]
+
+
 @query(f"WITH {_NUMBERED} SELECT i // 16 AS batch_id, count(*) AS n_rows FROM numbered GROUP BY 1")
 def batch_progress(spark: SparkSession, folder: str) -> DataFrame:
     batched = tokens.assign_batches(

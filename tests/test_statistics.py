@@ -145,3 +145,49 @@ def test_clusters_from_given_starts(spark):
     # centroids 1 and 8.5; that of cluster 5 has no vector and stays
     assert moved == {(1, 7, 1.0), (2, 7, 1.0), (3, 3, 1.5), (4, 3, 3.5), (5, 3, 2.5)}
     assert statistics.cluster_from(df.limit(0), starts, 2).collect() == []
+
+
+def _nearest(rows, k):
+    out = []
+    for i, x in rows:
+        near = sorted((-round(float(np.dot(x, y)), 9), j) for j, y in rows if j != i)[:k]
+        out += [(i, j, round(-s, 7), r + 1) for r, (s, j) in enumerate(near)]
+    return sorted(out)
+
+
+def test_balls_give_the_exact_neighbours(spark):
+    from sparsight.operators.balls import knn_balls
+
+    rng = np.random.default_rng(3)
+    middles = rng.normal(0, 5, (12, 8))
+    clustered = [(i, (middles[i % 12] + rng.normal(0, 0.3, 8)).tolist()) for i in range(600)]
+    clustered += [(1000 + i, clustered[5][1]) for i in range(300)]  # one vector very often
+    spread = [(i, rng.normal(0, 1, 8).tolist()) for i in range(200)] + [(900, [0.0] * 8)]
+    for rows, share in ((clustered, 0.6), (spread, 1.0), (spread[:3], 1.0)):
+        df = spark.createDataFrame([*rows, (5000, None)], "vec_id bigint, activation array<double>").repartition(4)
+        got, visits = knn_balls(df, 5, piece_rows=20)
+        found = sorted((r.id, r.neighbour, round(r.similarity, 7), r.rank) for r in got.collect())
+        assert found == _nearest(rows, 5)
+        pairs = [(r.q, r.c) for r in visits.collect()]
+        pieces = len({q for q, _ in pairs})
+        assert len(set(pairs)) == len(pairs) <= share * pieces**2
+    empty = df.where("false")
+    assert knn_balls(empty, 5)[0].count() == 0
+
+
+def test_balls_rule_out_most_pairs_of_clustered_vectors(spark):
+    from sparsight.operators.balls import knn_balls
+
+    rng = np.random.default_rng(4)
+    middles = rng.normal(0, 1, (40, 16))
+    middles /= np.linalg.norm(middles, axis=1, keepdims=True)
+    rows = [(i, (10 * middles[i % 40] + rng.normal(0, 0.05, 16)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, activation array<double>")
+    got, visits = knn_balls(df, 3, piece_rows=20)
+    pairs = visits.count()
+    pieces = visits.select("q").distinct().count()
+    assert pairs < 0.1 * pieces**2
+    from sparsight.operators.neighbours import knn
+
+    columns = ["id", "neighbour", "rank"]
+    assert got.select(columns).exceptAll(knn(df, 3).select(columns)).count() == 0
