@@ -23,8 +23,25 @@ def quality_strict(df: DataFrame, text: str = "text") -> DataFrame:
 
 def quality_report(df: DataFrame, by: str = "source", text: str = "text") -> DataFrame:
     """How many documents each rule rejects, per group, in one pass."""
+    return df.groupBy(by).agg(*_rule_counts(text))
+
+
+def quality_cube(df: DataFrame, by: Sequence[str] = ("source", "lang"), text: str = "text") -> DataFrame:
+    """The same counts for every combination of ``by``, each alone, and all rows, from one pass over the texts.
+
+    ``grouping_id`` tells which columns a row sums over, the last one in the
+    lowest bit; these are null there. The rules run before rows are repeated
+    for the combinations.
+    """
+    counts = _rule_counts(text)
+    finest = df.groupBy(*by).agg(*counts)
+    names = [c for c in finest.columns if c not in by]
+    return finest.cube(*by).agg(F.grouping_id().cast("int").alias("grouping_id"), *(F.sum(n).alias(n) for n in names))
+
+
+def _rule_counts(text: str) -> list:
     t = F.col(text)
-    return df.groupBy(by).agg(
+    return [
         F.count("*").alias("n_docs"),
         F.count_if(~tx.is_nonblank(t)).alias("blank"),
         F.count_if(~tx.long_enough(t)).alias("too_short"),
@@ -34,7 +51,7 @@ def quality_report(df: DataFrame, by: str = "source", text: str = "text") -> Dat
         F.count_if(~tx.not_numeric(t)).alias("numeric"),
         F.count_if(tx.is_good(t)).alias("kept_good"),
         F.count_if(tx.is_strict(t)).alias("kept_strict"),
-    )
+    ]
 
 
 def drop_special(tokens: DataFrame, special: Sequence[int] | DataFrame) -> DataFrame:

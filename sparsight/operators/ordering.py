@@ -6,6 +6,12 @@ and get a running sum, and the window that remains runs inside one bucket.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -133,3 +139,128 @@ def shuffle_index(
 ) -> DataFrame:
     """Position of each row in the shuffled order."""
     return rank_rows(df, shuffle_order(key, seed), out)
+
+
+@dataclass(frozen=True)
+class Permutation:
+    """A keyed order of 0 .. n - 1 that gives each place by arithmetic, without a sort or a list.
+
+    Cubes are a bijection modulo a prime that leaves 2 when divided by 3. The
+    prime is the next such above ``n``; the few images of what lies between are
+    left out of the count. Key and epoch choose the factor and the shifts.
+    """
+
+    n: int
+    prime: int
+    factor: int
+    before: int
+    after: int
+    holes: tuple[int, ...]
+
+    @staticmethod
+    def of(n: int, seed: int, epoch: int = 0) -> Permutation:
+        prime = n + 1
+        while prime % 3 != 2 or not _is_prime(prime):
+            prime += 1
+        draw = hashlib.sha256(f"{seed}:{epoch}".encode()).digest()
+        factor, before, after = (int.from_bytes(draw[i : i + 8]) % prime for i in (0, 8, 16))
+        bare = Permutation(n, prime, factor or 1, before, after, ())
+        return Permutation(n, prime, factor or 1, before, after, tuple(sorted(map(bare._image, range(n, prime)))))
+
+    def _image(self, i: int) -> int:
+        return (self.factor * pow(i + self.before, 3, self.prime) + self.after) % self.prime
+
+    def place(self, i: int) -> int:
+        image = self._image(i)
+        return image - sum(h < image for h in self.holes)
+
+    def at(self, place: int) -> int:
+        """What stands at a place: the inverse of ``place``."""
+        image = place
+        for hole in self.holes:
+            image += hole <= image
+        cube = (image - self.after) * pow(self.factor, -1, self.prime)
+        return (pow(cube, pow(3, -1, self.prime - 1), self.prime) - self.before) % self.prime
+
+    def column(self, index: Column) -> Column:
+        """``place`` of a column of whole numbers."""
+        kind = "bigint" if self.prime < 1 << 31 else "decimal(38,0)"
+        number = lambda x: F.lit(x).cast(kind)
+        mod = lambda c: (c % number(self.prime)).cast(kind)
+        x = mod(index.cast(kind) + number(self.before))
+        image = mod(mod(mod(mod(x * x) * x) * number(self.factor)) + number(self.after)).cast("bigint")
+        holes = F.array(*(F.lit(h).cast("bigint") for h in self.holes)).cast("array<bigint>")
+        return image - F.size(F.filter(holes, lambda h: h < image))
+
+
+def _is_prime(n: int) -> bool:
+    """Miller and Rabin's test with bases that decide every number below 2 ** 64."""
+    small = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
+    if n < 2 or any(n % p == 0 for p in small):
+        return n in small
+    odd, twos = n - 1, 0
+    while odd % 2 == 0:
+        odd, twos = odd // 2, twos + 1
+    for base in small:
+        x = pow(base, odd, n)
+        if x not in (1, n - 1) and all((x := x * x % n) != n - 1 for _ in range(twos - 1)):
+            return False
+    return True
+
+
+def epoch_order(
+    df: DataFrame, n: int, epoch: int, index: str = "doc_idx", seed: int = 42, out: str = "epoch_idx"
+) -> DataFrame:
+    """The place of each row in the order of an epoch, from its dense index: a map, no shuffle."""
+    return df.withColumn(out, Permutation.of(n, seed, epoch).column(F.col(index)))
+
+
+def buffer_shuffle(
+    df: DataFrame, key: str = "doc_id", size: int = 50_000, seed: int = 42, out: str = "shuffled_idx",
+    splits: list[float] | None = None,
+) -> DataFrame:
+    """The rows of every key range in the order of a bounded buffer, with their ``range`` and their place in its order.
+
+    A full buffer gives up a row at random for each that comes in; what is left
+    leaves at random. So a row moves ahead by less than ``size`` places. Places
+    count within a range, and the buffer is carried from batch to batch. The
+    same table, seed and ``splits`` (numeric keys) give the same order. A task
+    holds ``size`` rows.
+    """
+    cuts = key_splits(df, key) if splits is None else splits
+    ranged = with_key_bucket(df, key, cuts, "range").repartition(len(cuts) + 1, "range").sortWithinPartitions("range", key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number, rng, place = None, None, None, 0
+
+        def numbered(rows: pa.Table, order: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal place
+            idx = pa.array(np.arange(place, place + len(order)))
+            place += len(order)
+            yield from rows.take(pa.array(order)).append_column(out, idx).combine_chunks().to_batches()
+
+        for batch in batches:
+            ranges = batch.column("range").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1), len(ranges)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if ranges[a] != number:
+                    if held is not None and held.num_rows:
+                        yield from numbered(held, rng.permutation(held.num_rows))
+                    held, number, place = None, ranges[a], 0
+                    rng = np.random.default_rng([seed, int(number)])
+                rows = pa.Table.from_batches([batch.slice(a, b - a)])
+                held = rows if held is None else pa.concat_tables([held, rows])
+                if held.num_rows <= size:
+                    continue
+                slots, left = np.arange(size), np.empty(held.num_rows - size, np.int64)
+                for i, slot in enumerate(rng.integers(0, size, len(left))):
+                    left[i], slots[slot] = slots[slot], size + i
+                yield from numbered(held, left)
+                held = held.take(pa.array(slots))
+        if held is not None and held.num_rows:
+            yield from numbered(held, rng.permutation(held.num_rows))
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
+    return ranged.mapInArrow(run, f"{kind}, `{out}` bigint")

@@ -18,6 +18,8 @@ from sparsight.functions.vectors import from_matrix, squared_norm, to_matrix
 from sparsight.operators.joins import lookup_join
 from sparsight.session import materialize
 
+_ROWS_AT_ONCE = 1_024
+_BAND_CELLS = 1 << 17  # numbers of a sum that meet in one task
 _MAX_WIDTH = 8192  # widest vector whose covariance the driver takes
 
 
@@ -302,6 +304,82 @@ def pca_fit(acts: DataFrame, k: int = 2, column: str = "activation") -> Pca:
     return Pca(mean, components, values[order] / values.sum())
 
 
+def _summed(acts: DataFrame, column: str, of, rows: int, width: int) -> np.ndarray:
+    """The sum over all vectors of ``of(matrix of vectors)``, a matrix of ``rows`` x ``width``.
+
+    Each task adds up its own; the sums meet on the executors in bands of rows.
+    """
+    band = max(1, _BAND_CELLS // width)
+
+    def partial(batches):
+        total = np.zeros((rows, width))
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                total += of(to_matrix(batch.column(0).slice(at, _ROWS_AT_ONCE), np.float64))
+        for at in range(0, rows, band):
+            yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int32()), "g": [total[at : at + band].tobytes()]})
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(g) for g in group.column("g").to_pylist())
+        return pa.table({"at": group.column("at")[:1], "g": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "at int, g binary"
+    found = acts.select(column).mapInArrow(partial, kind).groupBy("at").applyInArrow(add, kind).toArrow()
+    out = np.zeros((rows, width))
+    for at, g in zip(found["at"].to_pylist(), found["g"].to_pylist()):
+        piece = np.frombuffer(g).reshape(-1, width)
+        out[at : at + len(piece)] = piece
+    return out
+
+
+def pca_fit_wide(
+    acts: DataFrame, k: int = 2, column: str = "activation", seed: int = 42, block: int | None = None,
+    rounds: int = 60, tolerance: float = 1e-8,
+) -> Pca:
+    """Principal directions of vectors of any width, without their covariance matrix.
+
+    From a random block of directions, every round multiplies by the covariance
+    in one pass over the vectors; the best combination of all blocks so far is
+    taken, until its residual is within ``tolerance`` of the largest variance.
+    The driver holds ``width`` x ``block`` numbers per round. ``rounds`` bounds
+    the passes; what they leave is an error, not a rougher answer.
+    """
+    first = acts.where(F.col(column).isNotNull()).select(column).first()
+    n = acts.where(F.col(column).isNotNull()).count()
+    if n < 2:
+        raise ValueError("two vectors at least have a variance")
+    rows = acts.where(F.col(column).isNotNull())
+    width = len(first[0])
+    shift = np.array(first[0], float)
+    mean = shift + _summed(rows, column, lambda x: (x - shift).sum(axis=0)[:, None], width, 1)[:, 0] / n
+    total = _summed(rows, column, lambda x: np.array([[((x - mean) ** 2).sum()]]), 1, 1)[0, 0] / (n - 1)
+    size = min(width, block or max(k + 4, 8))
+    fresh = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
+    basis, images = np.zeros((width, 0)), np.zeros((width, 0))
+    for _ in range(rounds):
+        shared = fresh
+        image = _summed(rows, column, lambda x: (x - mean).T @ ((x - mean) @ shared), width, shared.shape[1]) / (n - 1)
+        basis, images = np.hstack([basis, fresh]), np.hstack([images, image])
+        small = basis.T @ images
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        best = np.argsort(values)[::-1][:k]
+        gap = images @ turn[:, best] - (basis @ turn[:, best]) * values[best]
+        if len(best) == min(k, width) and np.linalg.norm(gap, axis=0).max() <= tolerance * max(total / width, values[best[0]]):
+            break
+        left = image - basis @ (basis.T @ image)
+        left -= basis @ (basis.T @ left)
+        q, triangle = np.linalg.qr(left)
+        fresh = q[:, np.abs(np.diag(triangle)) > 1e-12 * max(total, 1e-300)]
+        if not fresh.shape[1]:
+            break
+    else:
+        raise ValueError(f"no convergence in {rounds} rounds: take a larger block")
+    components = (basis @ turn[:, best]).T
+    largest = np.abs(components).argmax(axis=1)
+    components = components * np.sign(components[np.arange(len(best)), largest])[:, None]
+    return Pca(mean, components, values[best] / total)
+
+
 def pca_project(acts: DataFrame, model: Pca, column: str = "activation") -> DataFrame:
     """Coordinates along the principal directions."""
     mean, basis = model.mean, model.components.T

@@ -1,7 +1,7 @@
 """Training the sparse autoencoder: one Spark job per step.
 
-The training table is written once, hashed into lots that are folders, so a
-step reads the folder of its lot and nothing else. Tasks add up gradients of
+The training table is written once in the order of a hashed key, so a step
+reads the row groups of its key ranges and nothing else. Tasks add up gradients of
 their rows; the sums meet on the executors per group of latents, and only one
 gradient, as large as the parameters, reaches the driver for the update.
 """
@@ -15,12 +15,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparsight.functions.vectors import from_matrix, to_matrix
 from sparsight.operators.autoencoder import (
     INITIAL_THRESHOLD, SAE_SCHEMA, Block, blocks_of, sae_init,
 )
+from sparsight.operators.ordering import Permutation
 from sparsight.session import materialize
 
 # Fixed values of the training recipe.
@@ -38,6 +39,7 @@ BATCH_ROWS = 1_024
 LOG_EVERY = 500
 
 _MAX_PARAMETER_BYTES = 2 << 30
+_MIX = 8  # key ranges that make up a batch
 _GROUP_CELLS = 1 << 20  # gradient numbers that meet in one reducing group
 
 
@@ -53,7 +55,6 @@ class FitConfig:
     bandwidth: float = BANDWIDTH
     threshold: float = INITIAL_THRESHOLD
     expected_norm: float | None = None
-    max_lots: int = 4_096
     seed: int = 42
 
 
@@ -173,17 +174,29 @@ class _Adam:
         return -lr * m_hat / (np.sqrt(v_hat) + ADAM_EPS)
 
 
-def _lots(
-    acts: DataFrame, keys: list[str], vector: str, cfg: FitConfig
-) -> tuple[DataFrame, int, int]:
-    """The written table, its number of lots, and batches per lot."""
-    n = acts.count()
-    batches = max(1, n // cfg.batch_rows)
-    lots = min(batches, cfg.max_lots)
-    hashed = acts.select(
-        F.xxhash64(F.lit(cfg.seed), *keys).alias("key"), F.col(vector).alias("x")
-    ).withColumn("lot", F.pmod("key", F.lit(lots)).cast("int")).repartition(lots, "lot")
-    return materialize(hashed, "training", ["lot"]), lots, math.ceil(batches / lots)
+def sorted_rows(acts: DataFrame, keys: list[str], vector: str, seed: int) -> DataFrame:
+    """(key, x), written in the order of a hash of seed and keys, so that ranges of it are random rows."""
+    hashed = acts.select(F.xxhash64(F.lit(seed), *keys).alias("key"), F.col(vector).alias("x"))
+    return materialize(hashed.repartitionByRange("key").sortWithinPartitions("key"), "training")
+
+
+def key_range(part: int, parts: int) -> tuple[int, int]:
+    """First and last key of one of ``parts`` equal ranges of all 64-bit keys."""
+    cut = lambda i: -(1 << 63) + (i << 64) // parts
+    return cut(part), cut(part + 1) - 1
+
+
+def batch_filter(step: int, batches: int, seed: int, mix: int = _MIX) -> Column:
+    """The rows of a step: ``mix`` key ranges, dealt anew every epoch."""
+    epoch, within = divmod(step, batches)
+    if batches == 1:
+        return F.lit(True)
+    order = Permutation.of(batches * mix, seed, epoch)
+    wanted = F.lit(False)
+    for i in range(within * mix, within * mix + mix):
+        low, high = key_range(order.at(i), batches * mix)
+        wanted = wanted | F.col("key").between(low, high)
+    return wanted
 
 
 def _save_state(spark: SparkSession, path: str, step: int, values: dict, adam: dict, log: list) -> None:
@@ -198,7 +211,7 @@ def _save_state(spark: SparkSession, path: str, step: int, values: dict, adam: d
     numbers = {k: pa.array(v, pa.list_(pa.float64())) for k, v in columns.items()}
     state = pa.table({"name": names, "at": pa.array(at, pa.int32()), **numbers})
     # the log first: a state that is marked as whole has its log
-    _log_table(spark, log).write.mode("overwrite").parquet(f"{path}/log-{step:08d}")
+    log_table(spark, log).write.mode("overwrite").parquet(f"{path}/log-{step:08d}")
     spark.createDataFrame(state).write.mode("overwrite").parquet(f"{path}/state-{step:08d}")
 
 
@@ -234,16 +247,17 @@ def sae_fit(
 ) -> Fit:
     """Minibatch training; exactly ``cfg.total_steps`` updates.
 
-    A step takes one lot, or a hashed share of one where lots are larger than
-    a batch. Lots come in a new order, and shares are cut anew, every epoch.
-    ``keys`` name a row, so that rows spread evenly over the lots.
+    A step takes a few ranges of a hashed key, dealt anew every epoch, and reads
+    the row groups that hold them. ``keys`` name a row, so that ranges are
+    random rows, about ``cfg.batch_rows`` in all.
 
     With ``checkpoint``, a folder that all share, the state is saved there
     every ``every`` steps and at the end. A run with the same table and
     settings goes on from the newest whole state; steps without rows count.
     """
     spark = acts.sparkSession
-    table, lots, shares = _lots(acts, list(keys), vector, cfg)
+    table = sorted_rows(acts, list(keys), vector, cfg.seed)
+    batches = max(1, table.count() // cfg.batch_rows)
     width = table.select(F.size("x").alias("n")).first()["n"]
     if (2 * width + 2) * cfg.d_sae * 8 > _MAX_PARAMETER_BYTES:
         raise ValueError("parameters exceed what the driver may hold")
@@ -269,16 +283,9 @@ def sae_fit(
     if done is not None:
         log = _load_state(spark, checkpoint, done, now, adam)
     m, d = now["w_enc"].shape
-    per_epoch = lots * shares
     planned = schedule(spark, cfg).orderBy("step").collect()  # one row per step
     for step, rate, weight in planned[done or 0 :]:
-        epoch, within = divmod(step, per_epoch)
-        order = np.random.default_rng([cfg.seed, epoch]).permutation(per_epoch)
-        lot, share = divmod(int(order[within]), shares)
-        batch = table.where(F.col("lot") == lot)
-        if shares > 1:
-            mine = F.pmod(F.xxhash64(F.lit(epoch), F.col("key")), F.lit(shares)) == share
-            batch = batch.where(mine)
+        batch = table.where(batch_filter(step, batches, cfg.seed))
         params = Block(p.latent, now["w_enc"], now["b_enc"], np.exp(now["log_threshold"]), now["w_dec"])
         g = _step_gradient(batch.select("x"), params, now["b_dec"], norm, weight, cfg.bandwidth)
         squared, active, n = g[m, d : d + 3]
@@ -308,7 +315,7 @@ def sae_fit(
     sae = _parameters(
         spark, p.latent, now["w_enc"], now["b_enc"], now["log_threshold"], now["w_dec"]
     )
-    return Fit(sae, [float(b) for b in now["b_dec"]], _log_table(spark, log), cfg.total_steps)
+    return Fit(sae, [float(b) for b in now["b_dec"]], log_table(spark, log), cfg.total_steps)
 
 
 def save_dictionary(fit: Fit, path: str) -> None:
@@ -335,7 +342,7 @@ def _parameters(spark: SparkSession, latent, w_enc, b_enc, log_theta, w_dec) ->
     return spark.createDataFrame(table, SAE_SCHEMA)
 
 
-def _log_table(spark: SparkSession, log: list[tuple]) -> DataFrame:
+def log_table(spark: SparkSession, log: list[tuple]) -> DataFrame:
     return spark.createDataFrame(
         log,
         "step int, n_rows int, reconstruction double, l0 double, loss double, "

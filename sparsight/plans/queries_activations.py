@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsight.functions.vectors import squared_norm
+from sparsight.operators.asof import as_of
 from sparsight.operators import (
-    autoencoder, balls, extraction, neighbours, ordering, packing, statistics, tokens, training,
+    autoencoder, balls, extraction, neighbours, ordering, packing, sharded_training, statistics, tokens,
+    training,
 )
 from sparsight.plans import flows
 from sparsight.plans.catalogue import (
@@ -220,6 +222,48 @@ def repacked_vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_LISTED = """listed AS (SELECT vec_id // 2 AS doc_id FROM embeddings), stored AS (SELECT vec_id // 3 AS doc_id FROM embeddings)"""
+
+
+@query(f"""WITH {_LISTED}
+SELECT doc_id, 'missing' AS status, count(*) AS n FROM (FROM listed EXCEPT ALL FROM stored) GROUP BY doc_id
+UNION ALL SELECT doc_id, 'extra', count(*) FROM (FROM stored EXCEPT ALL FROM listed) GROUP BY doc_id
+UNION ALL SELECT doc_id, 'stored', count(*) FROM (FROM listed INTERSECT ALL FROM stored) GROUP BY doc_id""")
+def manifest_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys listed twice against keys stored three times."""
+    ids = flows.vectors(spark, folder)
+    listed, stored = (ids.select(F.expr(f"vec_id div {k}").alias("doc_id")) for k in (2, 3))
+    return shards.compare_keys(listed, stored)
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_keys, sum(label)::BIGINT AS labels, true AS near_target FROM embeddings")
+def repacked_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Many small files, merged by their sizes."""
+    small, path = scratch_path(spark, "small"), scratch_path(spark, "merged")
+    flows.vectors(spark, folder).repartition(40, "vec_id").write.option("compression", "zstd").parquet(small)
+    given = shards.listed_files(spark, small)[1]
+    target = max(sum(given) // 4, max(given))
+    sizes = shards.repack_files(spark, small, path, target)
+    worst = sizes.agg(F.max("size"), F.count("*")).first()
+    near = worst[0] <= 1.1 * target and worst[1] <= -(-sum(given) // target) + 1
+    rows = spark.read.parquet(path)
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("vec_id").alias("n_keys"), F.sum("label").alias("labels"),
+    ).withColumn("near_target", F.lit(bool(near)))
+
+
+@query(f"""WITH {EMB},
+saved AS (SELECT label, max(vec_id) AS saved_at, avg(list_inner_product(x, x)) AS mean_sq FROM emb GROUP BY label, vec_id // 50)
+SELECT vec_id, e.label, saved_at, {r('mean_sq', 'mean_sq')} FROM emb e ASOF LEFT JOIN saved s ON e.label = s.label AND e.vec_id >= s.saved_at""")
+def statistics_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Each vector with the statistics last saved for its label, one set for every fifty ids."""
+    acts = flows.vectors(spark, folder).select("vec_id", "label", squared_norm("activation").alias("sq"))
+    saved = acts.groupBy("label", F.expr("vec_id div 50").alias("part")).agg(
+        F.max("vec_id").alias("saved_at"), F.avg("sq").alias("mean_sq")
+    ).drop("part")
+    return as_of(acts.select("vec_id", "label"), saved, ["label"], "vec_id", "saved_at")
+
+
 @query(f"""WITH {_NUMBERED}
 SELECT i // 16 // 4 AS lote, count(*) AS n_rows, count(DISTINCT i // 16) AS n_batches
 FROM numbered GROUP BY i // 16 // 4""")
@@ -522,15 +566,27 @@ m0 AS MATERIALIZED (SELECT a.dim AS i, b.dim AS j, covar_samp(a.x, b.x) AS c
 spread AS (SELECT sum(c) AS s FROM m0 WHERE i = j)"""
 
 
-@query(f"""WITH {_PCA}
+_EXPLAINED = f"""WITH {_PCA}
 SELECT 0::BIGINT AS component, {r('l / s', 'explained_ratio')} FROM l1, spread
-UNION ALL SELECT 1, {r('l / s', 'explained_ratio')} FROM l2, spread""")
+UNION ALL SELECT 1, {r('l / s', 'explained_ratio')} FROM l2, spread"""
+
+
+@query(_EXPLAINED)
 def pca_explained(spark: SparkSession, folder: str) -> DataFrame:
-    model = statistics.pca_fit(flows.vectors(spark, folder), 2)
+    return _explained(spark, statistics.pca_fit(flows.vectors(spark, folder), 2))
+
+
+def _explained(spark: SparkSession, model: statistics.Pca) -> DataFrame:
     rows = [(i, float(x)) for i, x in enumerate(model.explained_ratio)]
     return spark.createDataFrame(rows, "component int, explained_ratio double")
 
 
+@query(_EXPLAINED)
+def pca_explained_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """The same shares without the covariance matrix."""
+    return _explained(spark, statistics.pca_fit_wide(flows.vectors(spark, folder), 2))
+
+
 @query(f"""WITH {_PCA},
 middle AS (SELECT dim, avg(x) AS m FROM cells GROUP BY dim)
 SELECT vec_id, {r('sum((x - m) * v1.v)', 'p1')}, {r('sum((x - m) * v2.v)', 'p2')}
@@ -733,12 +789,15 @@ def _fit(acts: DataFrame) -> training.FitConfig:
     )
 
 
-def _one_step(acts: DataFrame, start: DataFrame) -> training.Fit:
-    cfg = training.FitConfig(
+def _step_config(acts: DataFrame, start: DataFrame) -> training.FitConfig:
+    return training.FitConfig(
         d_sae=start.count(), total_steps=1, batch_rows=max(1, acts.count()), warmup_steps=1,
         sparsity_warmup_steps=1, max_lr=1e-2, bandwidth=0.1, expected_norm=1.0,
     )
-    return training.sae_fit(acts, cfg, initial=start)
+
+
+def _one_step(acts: DataFrame, start: DataFrame) -> training.Fit:
+    return training.sae_fit(acts, _step_config(acts, start), initial=start)
 
 
 @query()
@@ -777,15 +836,30 @@ moved AS (SELECT latent, dim, v, v - lr * ge / (abs(ge) + 1e-8) AS enc, v - lr *
 unit AS (SELECT latent, v, enc, dec / sqrt(sum(dec * dec) OVER (PARTITION BY latent)) AS dec FROM moved)"""
 
 
-@query(f"""WITH {_ONE_STEP}
+_FIRST_STEP = f"""WITH {_ONE_STEP}
 SELECT latent, {r('any_value(-lr * gb / (abs(gb) + 1e-8))', 'b_enc')},
   {r('any_value(ln(t) - 3.5::DOUBLE * lr * gt / (abs(gt) + 1e-8))', 'log_threshold')},
   {r('sum(enc)', 'enc_sum')}, {r('sum(enc * v)', 'enc_kept')}, {r('sum(dec)', 'dec_sum')}, {r('sum(dec * v)', 'dec_kept')}
-FROM unit JOIN scalars USING (latent), theta GROUP BY latent""")
+FROM unit JOIN scalars USING (latent), theta GROUP BY latent"""
+
+
+@query(_FIRST_STEP)
 def sae_first_step(spark: SparkSession, folder: str) -> DataFrame:
     """The dictionary after one step of training on all vectors."""
     start = flows.dictionary(spark, folder)
-    after = _one_step(flows.vectors(spark, folder), start).sae
+    return _moved(_one_step(flows.vectors(spark, folder), start).sae, start)
+
+
+@query(_FIRST_STEP)
+def sharded_first_step(spark: SparkSession, folder: str) -> DataFrame:
+    """The same step with the parameters in ranges of latents on the executors."""
+    start = flows.dictionary(spark, folder)
+    acts = flows.vectors(spark, folder)
+    fit = sharded_training.sharded_fit(acts, _step_config(acts, start), initial=start, per_shard=16)
+    return _moved(fit.sae, start)
+
+
+def _moved(after: DataFrame, start: DataFrame) -> DataFrame:
     pair = after.join(start.select("latent", F.col("w_dec").alias("v")), "latent")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     dot = lambda c: total(F.zip_with(c, "v", lambda a, b: a * b))

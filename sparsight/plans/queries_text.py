@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparsight.functions import text as tx
 from sparsight.operators import filters, ordering, packing, tokens
@@ -84,23 +84,31 @@ def strict_documents(spark: SparkSession, folder: str) -> DataFrame:
     return filters.quality_strict(flows.corpus(spark, folder)).select("doc_id", "source")
 
 
-_RULES = rf"""rules AS (SELECT source, t = '' AS r_blank, length(t) <= 20 AS r_short,
+_RULES = rf"""rules AS (SELECT source, lang, t = '' AS r_blank, length(t) <= 20 AS r_short,
   length(t) >= 30000 AS r_long, NOT regexp_matches(t, '{tx.TWO_LETTERS}') AS r_letters,
   upper(t) = t AS r_upper, regexp_matches(t, '^\p{{N}}+$') AS r_num FROM docs)"""
 
 
-@query(f"""WITH {DOCS}, {_RULES}
-SELECT source, count(*) AS n_docs, count(*) FILTER (r_blank) AS blank,
+_COUNTS = """count(*) AS n_docs, count(*) FILTER (r_blank) AS blank,
   count(*) FILTER (r_short) AS too_short, count(*) FILTER (r_long) AS too_long,
   count(*) FILTER (r_letters) AS few_letters, count(*) FILTER (r_upper) AS all_upper,
   count(*) FILTER (r_num) AS numeric,
   count(*) FILTER (NOT (r_short OR r_long OR r_upper OR r_num)) AS kept_good,
-  count(*) FILTER (NOT (r_short OR r_letters OR r_upper OR r_num)) AS kept_strict
-FROM rules GROUP BY source""")
+  count(*) FILTER (NOT (r_short OR r_letters OR r_upper OR r_num)) AS kept_strict"""
+
+
+@query(f"WITH {DOCS}, {_RULES} SELECT source, {_COUNTS} FROM rules GROUP BY source")
 def quality_report(spark: SparkSession, folder: str) -> DataFrame:
     return filters.quality_report(flows.corpus(spark, folder))
 
 
+@query(f"""WITH {DOCS}, {_RULES}
+SELECT source, lang, GROUPING(source, lang)::BIGINT AS grouping_id, {_COUNTS}
+FROM rules GROUP BY GROUPING SETS ((source, lang), (source), (lang), ())""")
+def quality_cube(spark: SparkSession, folder: str) -> DataFrame:
+    return filters.quality_cube(flows.corpus(spark, folder))
+
+
 @query(f"""WITH {DOCS}
 SELECT min(doc_id) AS doc_id FROM docs GROUP BY t""")
 def exact_duplicates_removed(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,6 +158,40 @@ def shuffled_documents(spark: SparkSession, folder: str) -> DataFrame:
     return ordering.shuffle_index(flows.corpus(spark, folder).select("doc_id"))
 
 
+def _epoch_sql(epoch: int) -> str:
+    """Places by cubes modulo the next prime that leaves 2 when divided by 3, less the images of what lies above the table."""
+    draw = lambda at: f"(('0x' || substr(sha256('42:{epoch}'), {2 * at + 1}, 16))::UBIGINT % p)::BIGINT"
+    image = "((f * (((i + a) % p) * ((i + a) % p) % p * ((i + a) % p) % p) % p + b) % p)"
+    return f"""(WITH size AS (SELECT count(*) AS n FROM documents),
+  prime AS (SELECT n, (SELECT min(p) FROM (SELECT unnest(range(n + 1, n + 1000)) AS p) WHERE p % 3 = 2
+    AND NOT EXISTS (SELECT 1 FROM range(2, CAST(sqrt(p) AS BIGINT) + 1) r(d) WHERE p % d = 0)) AS p FROM size),
+  key AS (SELECT n, p, CASE WHEN {draw(0)} = 0 THEN 1 ELSE {draw(0)} END AS f, {draw(8)} AS a, {draw(16)} AS b FROM prime),
+  holes AS (SELECT {image} AS h FROM key, (SELECT unnest(range(n, p)) AS i FROM key)),
+  idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
+  SELECT doc_id, {epoch}::BIGINT AS epoch, {image} - (SELECT count(*) FROM holes WHERE h < {image}) AS epoch_idx FROM idx, key)"""
+
+
+@query(f"SELECT * FROM {_epoch_sql(0)} UNION ALL SELECT * FROM {_epoch_sql(1)}")
+def epoch_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The places of all documents in two epochs; no sort, no list of places."""
+    docs = flows.documents(spark, folder).select("doc_id")
+    indexed = ordering.index_documents(docs, splits=flows.document_splits(spark, folder))
+    n = docs.count()
+    orders = [ordering.epoch_order(indexed, n, e).select("doc_id", F.lit(e).alias("epoch"), "epoch_idx") for e in (0, 1)]
+    return orders[0].unionByName(orders[1])
+
+
+_BUFFER = 100
+
+
+@query("SELECT doc_id, true AS within_buffer FROM documents")
+def buffer_shuffled_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document once, none ahead of its place by the buffer or more."""
+    mixed = ordering.buffer_shuffle(flows.documents(spark, folder).select("doc_id"), size=_BUFFER)
+    place = F.row_number().over(Window.partitionBy("range").orderBy("doc_id")) - 1
+    return mixed.select("doc_id", (place - F.col("shuffled_idx") < _BUFFER).alias("within_buffer"))
+
+
 @query(f"WITH {VOCAB} SELECT token, n, token_id FROM vocab")
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return flows.vocab(spark, folder).select("token", "n", "token_id")

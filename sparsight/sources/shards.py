@@ -66,6 +66,77 @@ def repack(
     )
 
 
+def packed_files(sizes: list[int], target: int, spill: float = 1.05) -> list[list[int]]:
+    """Which files go into one output: the largest first, each into the first output that it still fits.
+
+    A file over the target has outputs of its own. ``spill`` is how far an
+    output may exceed the target. A tree over the outputs finds the first fit,
+    so many files take little time.
+    """
+    limit = int(target * spill)
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    width = 1
+    while width < max(1, len(sizes)):
+        width *= 2
+    room = [limit] * (2 * width)
+    bins: list[list[int]] = []
+    for i in order:
+        if sizes[i] > limit:
+            bins.append([i])
+            continue
+        node = 1
+        while node < width:
+            node = 2 * node if room[2 * node] >= sizes[i] else 2 * node + 1
+        slot = node - width
+        room[node] -= sizes[i]
+        while node > 1:
+            node //= 2
+            room[node] = max(room[2 * node], room[2 * node + 1])
+        bins.append([i, slot])
+    # outputs in the order they were opened; those of large files stand alone
+    whole = [b for b in bins if len(b) == 1]
+    shared: dict[int, list[int]] = {}
+    for b in bins:
+        if len(b) == 2:
+            shared.setdefault(b[1], []).append(b[0])
+    return whole + [shared[k] for k in sorted(shared)]
+
+
+def repack_files(spark: SparkSession, source: str, path: str, target: int = TARGET_BYTES) -> DataFrame:
+    """Rewrite Parquet files into files of about ``target`` bytes by what the files measure; no rows are counted.
+
+    Small files are merged, each wholly into one output; a larger one is cut
+    into as many outputs as it fills, by a hash of its rows and their place.
+    Only listed names and sizes reach the driver. Returns (file, size) of what
+    was written.
+    """
+    names, sizes = listed_files(spark, source)
+    plan, number = [], 0
+    for group in packed_files(sizes, target):
+        shares = max(1, round(sizes[group[0]] / target)) if len(group) == 1 else 1
+        plan += [(names[i], number, shares) for i in group]
+        number += shares
+    outputs = spark.createDataFrame(plan, "_file string, _first int, _shares int")
+    rows = spark.read.parquet(source).withColumn("_file", F.col("_metadata.file_path"))
+    share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_shares")).cast("int")
+    # outputs: a name and two numbers per input file
+    placed = rows.join(F.broadcast(outputs), "_file").withColumn("_out", F.col("_first") + share)
+    # a range partition per output
+    spread = placed.repartitionByRange(max(1, number), "_out").drop("_file", "_first", "_shares")
+    spread.write.mode("overwrite").partitionBy("_out").option("compression", "zstd").parquet(path)
+    written = listed_files(spark, path)
+    return spark.createDataFrame(list(zip(*written)), "file string, size long")
+
+
+def listed_files(spark: SparkSession, path: str) -> tuple[list[str], list[int]]:
+    """Names and sizes of the Parquet files below a path, without reading them."""
+    found = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+        .select(F.col("_metadata.file_path").alias("name"), "length").orderBy("name").collect()
+    )
+    return [r.name for r in found], [r.length for r in found]
+
+
 def write_vectors_f16(
     df: DataFrame, path: str, vector: str = "activation", target: int = TARGET_BYTES
 ) -> int:
@@ -170,6 +241,18 @@ def pending(df: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.join(done.select(key), key, "left_anti")
 
 
+def compare_keys(listed: DataFrame, stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, status, n): keys that a manifest lists against those stored, repeats counted.
+
+    ``missing``: listed more often than stored, by ``n``; ``extra`` the other
+    way round; ``stored`` what both have. A null key is a key.
+    """
+    listed, stored = listed.select(key), stored.select(key)
+    parts = {"missing": listed.exceptAll(stored), "extra": stored.exceptAll(listed), "stored": listed.intersectAll(stored)}
+    counted = [p.groupBy(key).agg(F.count("*").alias("n")).withColumn("status", F.lit(name)) for name, p in parts.items()]
+    return union_shards(*counted).select(key, "status", "n")
+
+
 def next_shard(done: DataFrame) -> DataFrame:
     """Number that the next split gets."""
     number = F.regexp_extract("split", r"([0-9]+)$", 1).cast("long")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsight.operators import autoencoder as sae
-from sparsight.operators import training
+from sparsight.operators import sharded_training, training
 from sparsight.operators.autoencoder import Block
 
 
@@ -193,7 +193,7 @@ def test_training(spark):
     x = np.maximum(rng.normal(size=(400, 6)), 0) @ true
     cfg = training.FitConfig(
         d_sae=16, total_steps=10, batch_rows=100, warmup_steps=2, sparsity_warmup_steps=4,
-        max_lr=2e-2, max_lots=2,
+        max_lr=2e-2,
     )
     fit = training.sae_fit(acts(spark, x), cfg)
     log = fit.log.orderBy("step").collect()
@@ -206,14 +206,58 @@ def test_training(spark):
     assert [(r.first_step, r.steps) for r in summary] == [(0, 5), (5, 5)]
 
 
-def test_a_step_reads_its_lot_only(spark, case):
-    x, _ = case
-    cfg = training.FitConfig(d_sae=4, batch_rows=10)
-    table, lots, shares = training._lots(acts(spark, x), ["vec_id"], "activation", cfg)
-    assert (lots, shares) == (6, 1)
-    plan = table.where("lot = 3")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(lot" in plan
-    assert table.count() == len(x)
+def test_a_step_reads_its_share_only(spark, tmp_path):
+    n = 4_000
+    df = spark.range(n).select(F.xxhash64(F.lit(42), "id").alias("key"), F.array(F.col("id").cast("double")).alias("x"))
+    path = str(tmp_path / "rows")
+    # small row groups, as many rows as a batch has
+    df.repartitionByRange(4, "key").sortWithinPartitions("key").write.option("parquet.block.size", 1024).option(
+        "parquet.block.row.count.limit", 100).parquet(path)
+    table = spark.read.parquet(path)
+    batches = 10
+    seen = []
+    for step in range(batches):
+        batch = table.where(training.batch_filter(step, batches, 42))
+        plan = batch._jdf.queryExecution().executedPlan()
+        assert "PushedFilters: [" in plan.toString() and "GreaterThanOrEqual(key" in plan.toString()
+        seen += [r.x[0] for r in batch.collect()]
+        read = plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+        batch._jdf.queryExecution().executedPlan()
+        assert read <= n // 2
+    assert sorted(seen) == list(range(n))  # an epoch takes every row once
+    other = [r.x[0] for r in table.where(training.batch_filter(batches, batches, 42)).collect()]
+    assert set(other) != set(seen[: len(other)])
+    ends = [training.key_range(i, 7) for i in range(7)]
+    assert ends[0][0] == -(2**63) and ends[-1][1] == 2**63 - 1 and all(a[1] + 1 == b[0] for a, b in zip(ends, ends[1:]))
+
+
+@pytest.mark.parametrize("per_shard", [1, 3, 100])
+def test_sharded_training_is_training(spark, per_shard):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 5))
+    cfg = training.FitConfig(
+        d_sae=7, total_steps=3, batch_rows=90, warmup_steps=2, sparsity_warmup_steps=3, max_lr=1e-2, bandwidth=0.2, threshold=0.1
+    )
+    whole = training.sae_fit(acts(spark, x), cfg)
+    parts = sharded_training.sharded_fit(acts(spark, x), cfg, per_shard=per_shard)
+    for a, b in zip(whole.sae.orderBy("latent").collect(), parts.sae.orderBy("latent").collect()):
+        assert a.w_enc == pytest.approx(b.w_enc) and a.w_dec == pytest.approx(b.w_dec)
+        assert (a.latent, a.b_enc, a.log_threshold) == pytest.approx((b.latent, b.b_enc, b.log_threshold))
+    assert whole.b_dec == pytest.approx(parts.b_dec)
+    for a, b in zip(whole.log.orderBy("step").collect(), parts.log.orderBy("step").collect()):
+        assert tuple(a) == pytest.approx(tuple(b))
+
+
+def test_sharded_training_over_parts_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(sharded_training, "_PIECES", 1)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 3))
+    cfg = training.FitConfig(d_sae=4, total_steps=1, batch_rows=40, warmup_steps=1, sparsity_warmup_steps=1, max_lr=1e-2, bandwidth=0.2, threshold=0.1)
+    parts = sharded_training.sharded_fit(acts(spark, x), cfg, per_shard=2)
+    whole = training.sae_fit(acts(spark, x), cfg)
+    assert whole.b_dec == pytest.approx(parts.b_dec)
+    with pytest.raises(ValueError, match="no rows"):
+        sharded_training.sharded_fit(acts(spark, x).where("false"), cfg)
 
 
 def test_strongest_per_batch_hold_the_strongest_of_all(spark, case):

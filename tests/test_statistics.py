@@ -191,3 +191,32 @@ def test_balls_rule_out_most_pairs_of_clustered_vectors(spark):
 
     columns = ["id", "neighbour", "rank"]
     assert got.select(columns).exceptAll(knn(df, 3).select(columns)).count() == 0
+
+
+def test_wide_pca_is_that_of_the_covariance(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 20)) * np.linspace(1, 4, 20) + 50
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, activation array<double>")
+    a, b = statistics.pca_fit(df, 3), statistics.pca_fit_wide(df, 3)
+    assert a.explained_ratio == pytest.approx(b.explained_ratio, rel=1e-9) and a.mean == pytest.approx(b.mean)
+    assert np.abs(a.components - b.components).max() < 1e-5
+    flat = spark.createDataFrame([(i, [float(i), 2.0 * i, 0.0]) for i in range(10)], "vec_id long, activation array<double>")
+    assert statistics.pca_fit_wide(flat, 1).explained_ratio == pytest.approx([1.0])
+    with pytest.raises(ValueError, match="two vectors"):
+        statistics.pca_fit_wide(df.limit(1))
+
+
+def test_wide_pca_beyond_the_width_of_a_covariance(spark):
+    rng = np.random.default_rng(7)
+    width = 9_000
+    way = np.zeros((2, width))
+    way[0, ::2], way[1, 1::2] = 1, 1
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    x = rng.normal(size=(40, 2)) * [30, 10] @ way + 0.01 * rng.normal(size=(40, width))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, activation array<double>")
+    with pytest.raises(ValueError, match="exceeds"):
+        statistics.pca_fit(df, 2)
+    model = statistics.pca_fit_wide(df, 2)
+    centred = x - x.mean(axis=0)
+    exact = np.linalg.svd(centred, compute_uv=False) ** 2
+    assert model.explained_ratio == pytest.approx(exact[:2] / exact.sum(), rel=1e-7)
