@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from sparsight.functions.vectors import (
@@ -19,44 +18,6 @@ from sparsight.operators.ordering import running_total
 from sparsight.session import materialize
 
 Model = Callable[[np.ndarray], np.ndarray]
-MAX_MODEL_BYTES = 64 << 20
-
-
-@dataclass(frozen=True)
-class GatedMlp:
-    """A stack of gated layers with given weights: ``down(silu(gate x) * (up x))``.
-
-    ``embedding`` has one row per id, taken modulo their number; ``layers``
-    hold (gate, up, down), each hidden x width, and their outputs are added to
-    what goes into the next one. Call it with ids (rows, tokens) to get the
-    outputs of the layers in ``kept``, (kept, rows, tokens, width), or of the
-    only one without the first axis. Layers above the last kept one are not
-    computed. The weights travel with the job: ``MAX_MODEL_BYTES`` at most.
-    """
-
-    embedding: np.ndarray
-    layers: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]
-    kept: tuple[int, ...] = (0,)
-    max_tokens: int | None = None
-
-    def __post_init__(self) -> None:
-        if self.embedding.nbytes + sum(w.nbytes for layer in self.layers for w in layer) > MAX_MODEL_BYTES:
-            raise ValueError("weights exceed what is sent with a job: load them in the worker instead")
-        if not self.kept or max(self.kept) >= len(self.layers):
-            raise ValueError("no such layer")
-
-    def __call__(self, ids: np.ndarray) -> np.ndarray:
-        if self.max_tokens is not None and ids.shape[1] > self.max_tokens:
-            raise MemoryError(f"sequence exceeds {self.max_tokens} tokens")
-        # a vector follows from its id alone, so every id is computed once
-        distinct, place = np.unique(ids % len(self.embedding), return_inverse=True)
-        x, outputs = self.embedding[distinct], {}
-        for depth, (gate, up, down) in enumerate(self.layers[: max(self.kept) + 1]):
-            gated = x @ gate.T
-            outputs[depth] = (gated / (1.0 + np.exp(-gated)) * (x @ up.T)) @ down
-            x = x + outputs[depth]
-        whole = np.stack([outputs[k] for k in self.kept])[:, place.reshape(ids.shape)]
-        return whole if len(self.kept) > 1 else whole[0]
 
 
 def align_blocks(blocks: DataFrame) -> DataFrame:
@@ -86,6 +47,22 @@ def number_rows(aligned: DataFrame, special: Sequence[int] = (0, 1)) -> DataFram
     return running_total(materialize(aligned, "blocks"), "block_id", kept, "first_row")
 
 
+def number_tokens(
+    seqs: DataFrame, lengths: DataFrame, key: str = "doc_id", splits: list[float] | None = None
+) -> DataFrame:
+    """(key, tok_pos, token_id, row_id): all tokens but BOS and EOS, numbered in order without a gap.
+
+    ``lengths`` has the sizes of the sequences, so that offsets come from it
+    and no sequence is made twice. Rows leave in the order of keys within a task.
+    """
+    words = lengths.select(key, (F.col("n_tokens") - 2).alias("n"))
+    placed = running_total(seqs, key, F.size("seq") - 2, "_first", splits, words)
+    rows = placed.select(key, "_first", F.posexplode("seq").alias("tok_pos", "token_id"), F.size("seq").alias("_n"))
+    return rows.where("tok_pos > 0 AND tok_pos < _n - 1").select(
+        key, "tok_pos", "token_id", (F.col("_first") + F.col("tok_pos") - 1).alias("row_id")
+    )
+
+
 def align_chunks(chunks: DataFrame) -> DataFrame:
     """The same columns from chunks of single documents."""
     n = F.size("ids")
@@ -206,6 +183,7 @@ def succeeded(rows: DataFrame) -> DataFrame:
 
 
 def failed(rows: DataFrame) -> DataFrame:
+    """The blocks that failed, a row for each row or token of them that tells so."""
     return rows.where("error IS NOT NULL").select("block_id", "doc_id", "error")
 
 
@@ -220,6 +198,39 @@ def lookup_activations(tokens: DataFrame, vectors: DataFrame, width: int = 64) -
     return lookup_join(keyed, table, ["vec_id"], row_bytes=8 * width + 32).drop("vec_id")
 
 
+def layer_activations(tokens: DataFrame, layers: DataFrame, n: int, width: int = 64) -> DataFrame:
+    """One row per token and layer, from a table of stored vectors (``layer, vec_id, activation``).
+
+    The vector of a token is that with ``vec_id = token_id mod n`` in each layer.
+    """
+    keyed = tokens.withColumn("vec_id", F.pmod(F.col("token_id").cast("long"), F.lit(n)))
+    table = layers.select("layer", "vec_id", "activation")
+    return lookup_join(keyed, table, ["vec_id"], row_bytes=8 * width + 48).drop("vec_id")
+
+
+def unusable_vectors(vectors: DataFrame, n: int, width: int) -> DataFrame:
+    """(vec_id, error): the ids below ``n`` that have no vector, or one of another width or with strange values."""
+    cells = F.col("activation")
+    hi, lo, endless = F.array_max(cells), F.array_min(cells), F.lit(float("inf"))
+    error = (
+        F.when(cells.isNull(), "no vector").when(F.size(cells) != width, "wrong width")
+        .when(F.exists(cells, lambda x: x.isNull()) | F.isnan(hi) | (hi == endless) | (lo == -endless), "not finite")
+    )
+    ids = vectors.sparkSession.range(n).withColumnRenamed("id", "vec_id")
+    return ids.join(vectors.select("vec_id", "activation"), "vec_id", "left").select("vec_id", error.alias("error")).where("error IS NOT NULL")
+
+
+def quarantine(tokens: DataFrame, unusable: DataFrame, n: int, block: Sequence[str] = ("block_id",)) -> DataFrame:
+    """``tokens`` with ``error``: null, or why the block they stand in cannot be given vectors.
+
+    No vector moves: only the ids that have none meet the tokens. A group is
+    one block. Split the result with ``succeeded`` and ``failed``.
+    """
+    keyed = tokens.withColumn("vec_id", F.pmod(F.col("token_id").cast("long"), F.lit(n)))
+    told = lookup_join(keyed, unusable, ["vec_id"], row_bytes=64, how="left").drop("vec_id")
+    return told.withColumn("error", F.min("error").over(Window.partitionBy(*block)))
+
+
 def activation_rows(matrices: DataFrame, special: Sequence[int] = (0, 1)) -> DataFrame:
     """Unroll (doc_id, ids, activacion): one row per token, special ids dropped."""
     rows = matrices.select(

@@ -146,14 +146,21 @@ def build_prompts(examples: DataFrame, by: str = "latent") -> DataFrame:
 Client = Callable[[dict[str, str], int], list[str]]
 
 
-def echo_client(prompt: dict[str, str], n: int) -> list[str]:
-    """Offline client: names the marked tokens of the prompt, n times."""
-    found = [w[2:-2] for w in prompt["user"].split() if w[:2] == OPEN and w[-2:] == CLOSE]
-    words = list(dict.fromkeys(w.strip(".,;:!?").lower() for w in found))[:8]
-    return [f"tokens like {' '.join(words)}" for _ in range(n)]
+def named_tokens(examples: DataFrame, n: int = COMPLETIONS, most: int = 8, by: str = "latent") -> DataFrame:
+    """(by, completions): the distinct marked tokens of each latent, the strongest first, as ``n`` equal explanations.
+
+    What can be said without a model, in the shape that ``explain`` gives.
+    Marks and punctuation go; a group is the top k of one latent.
+    """
+    marked = F.filter("tokens", is_marked)
+    plain = F.transform(marked, lambda w: F.lower(F.btrim(F.substring(w, 3, F.length(w) - 4), F.lit(".,;:!?"))))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", plain.alias("names"))))
+    names = F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["names"])))
+    said = F.concat(F.lit("tokens like "), F.array_join(F.slice(names, 1, most), " "))
+    return examples.groupBy(by).agg(F.array_repeat(said, n).alias("completions"))
 
 
-def explain(prompts: DataFrame, client: Client = echo_client, n: int = COMPLETIONS) -> DataFrame:
+def explain(prompts: DataFrame, client: Client, n: int = COMPLETIONS) -> DataFrame:
     """Ask ``client`` for ``n`` completions of every prompt."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

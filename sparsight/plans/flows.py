@@ -86,30 +86,43 @@ def dictionary(spark: SparkSession, folder: str) -> DataFrame:
     return materialize(made, "dictionary")  # read several times, made from all vectors once
 
 
-def gated_mlp(
-    spark: SparkSession, folder: str, kept: tuple[int, ...] = (0,), width: int = WIDTH, **kwargs
-) -> extraction.GatedMlp:
-    """Two gated layers whose weights are the directions of the dictionary.
+def layer_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """(layer, vec_id, activation): the given vectors, and these less the mean of their label."""
+    given = vectors(spark, folder)
+    means = (
+        given.select("label", F.posexplode("activation").alias("dim", "x"))
+        .groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m"))
+        .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "m"))).alias("cells"))
+    )
+    less = F.zip_with("activation", F.transform("cells", lambda c: c["m"]), lambda x, m: (x.cast("double") - m).cast("float"))
+    second = given.join(means, "label").select(F.lit(1).alias("layer"), "vec_id", less.alias("activation"))
+    both = given.select(F.lit(0).alias("layer"), "vec_id", "activation").unionByName(second)
+    return materialize(both, "layers")  # counted and joined
 
-    The dictionary has one direction per label and fold, however many vectors
-    there are. Ids stand for its rows; the second layer swaps gate and up.
-    """
-    w = autoencoder.collect_block(dictionary(spark, folder), ("w_enc",)).w_enc[:, :width]
-    return extraction.GatedMlp(w, ((w, w[::-1], w), (w[::-1], w, w)), kept, **kwargs)
+
+def block_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """(block_id, doc_id, tok_pos, token_id) of every kept token of the packed corpus."""
+    return drop_special(packing.unpack(blocks(spark, folder, keep_tail=True)), SPECIAL)
+
+
+def block_activations(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per layer and kept token of the packed corpus."""
+    layers = layer_vectors(spark, folder)
+    return extraction.layer_activations(block_tokens(spark, folder), layers, layers.where("layer = 0").count(), WIDTH)
 
 
 def activation_dataset(spark: SparkSession, folder: str, path: str, rows: int) -> DataFrame:
-    """Corpus to stored activations: filter, pack, model, special ids out, numbered shards.
+    """Corpus to stored activations: filter, tokenise, special ids out, vectors, numbered shards.
 
-    Rows are numbered before the model runs, so no vector is shuffled: a task
-    writes the rows it has made. Returns what was written, read back.
+    Tokens are numbered from the lengths of their documents before they meet
+    their vectors, so no vector is shuffled: a task writes the rows it has
+    made. Returns what was written, read back.
     """
-    aligned = extraction.number_rows(
-        extraction.align_blocks(blocks(spark, folder, keep_tail=True)), SPECIAL
+    tokens_of = extraction.number_tokens(
+        sequences(spark, folder), tokens.sequence_lengths(good(spark, folder)), splits=document_splits(spark, folder)
     )
-    made = extraction.extract_activations(aligned, gated_mlp(spark, folder), SPECIAL)
-    numbered = shards.name_shards(extraction.succeeded(made), "row_id", rows)
-    shards.write_shards(numbered, path, clustered=True)
+    made = extraction.lookup_activations(tokens_of, vectors(spark, folder), WIDTH)
+    shards.write_shards(shards.name_shards(made, "row_id", rows), path, clustered=True)
     return spark.read.parquet(path)
 
 

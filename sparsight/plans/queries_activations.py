@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsight.functions.vectors import squared_norm
 from sparsight.operators.asof import as_of
+from sparsight.operators.filters import drop_special
 from sparsight.operators import (
     autoencoder, balls, extraction, neighbours, ordering, packing, sharded_training, statistics, tokens,
     training,
@@ -13,7 +14,7 @@ from sparsight.operators import (
 from sparsight.plans import flows
 from sparsight.plans.catalogue import (
     DECIMALS,
-    BODY, CELLS, CODES, DICT, EMB, LENGTHS, PLACED, ids_text, query, r,
+    BODY, CELLS, CODES, DICT, EMB, PLACED, TOKENS, ids_text, query, r,
 )
 from sparsight.session import scratch_path
 from sparsight.sources import corpus as sources, shards
@@ -307,21 +308,12 @@ def fallback_write(spark: SparkSession, folder: str) -> DataFrame:
 # --- extraction --------------------------------------------------------------
 
 
-_MLP = f"""{PLACED}, {DICT},
-w AS (SELECT w, row_number() OVER (ORDER BY latent) - 1 AS i, count(*) OVER () AS n FROM dict),
-halves AS (SELECT a.i AS t, h.i AS h, list_inner_product(a.w, h.w) AS p, list_inner_product(a.w, u.w) AS q
-           FROM w a, w h JOIN w u ON u.i = h.n - 1 - h.i),
-out0 AS (SELECT t, d, sum(p / (1 + exp(-p)) * q * w[d]) AS y FROM halves JOIN w ON w.i = h,
-         (SELECT unnest(range(1, (SELECT max(len(w)) FROM w) + 1)) AS d) GROUP BY t, d),
-x1 AS (SELECT t, list(y + w[d] ORDER BY d) AS x FROM out0 JOIN w ON w.i = t GROUP BY t),
-halves1 AS (SELECT t, h.i AS h, list_inner_product(x, u.w) AS p, list_inner_product(x, h.w) AS q
-            FROM x1, w h JOIN w u ON u.i = h.n - 1 - h.i),
-out1 AS (SELECT t, d, sum(p / (1 + exp(-p)) * q * w[d]) AS y FROM halves1 JOIN w ON w.i = h,
-         (SELECT unnest(range(1, (SELECT max(len(w)) FROM w) + 1)) AS d) GROUP BY t, d),
-made AS (SELECT layer, t, list(y::FLOAT::DOUBLE ORDER BY d) AS x
-         FROM (SELECT 0 AS layer, * FROM out0 UNION ALL SELECT 1, * FROM out1) GROUP BY layer, t),
+_LAYERS = f"""{PLACED}, {CELLS},
+label_means AS (SELECT label, dim, round(avg(x), 6) AS m FROM cells GROUP BY label, dim),
+made AS (SELECT 0 AS layer, vec_id AS t, x FROM emb
+  UNION ALL SELECT 1, vec_id, list((x - m)::FLOAT::DOUBLE ORDER BY dim) FROM cells JOIN label_means USING (label, dim) GROUP BY vec_id),
 runs AS (SELECT layer, doc_id, tok_pos, token_id, g, x FROM placed
-         JOIN made ON made.t = token_id % (SELECT count(*) FROM w) WHERE token_id NOT IN (0, 1))"""
+         JOIN made ON made.t = token_id % (SELECT count(*) FROM emb) WHERE token_id NOT IN (0, 1))"""
 _PARTS = f"{r('x[1]', 'first')}, {r('list_sum(x)', 'total')}, {r('list_inner_product(x, x)', 'sq')}"
 
 
@@ -334,36 +326,32 @@ def _parts() -> list:
     ]
 
 
-@query(f"WITH {_MLP} SELECT doc_id, tok_pos, token_id, {_PARTS} FROM runs WHERE layer = 1")
+@query(f"WITH {_LAYERS} SELECT doc_id, tok_pos, token_id, {_PARTS} FROM runs WHERE layer = 1")
 def mlp_activations(spark: SparkSession, folder: str) -> DataFrame:
-    """Packed blocks through the second layer; one row per kept token."""
-    aligned = extraction.align_blocks(flows.blocks(spark, folder, keep_tail=True))
-    model = flows.gated_mlp(spark, folder, (1,))
-    rows = extraction.succeeded(extraction.extract_activations(aligned, model))
+    """The vectors of one layer for the packed corpus; one row per kept token."""
+    rows = flows.block_activations(spark, folder).where("layer = 1")
     return rows.select("doc_id", "tok_pos", "token_id", *_parts())
 
 
-@query(f"""WITH {_MLP}
+@query(f"""WITH {_LAYERS}
 SELECT layer, doc_id, count(*) AS n_rows, {r('sum(list_sum(x))', 'total')},
   {r('sum(list_inner_product(x, x))', 'sq')} FROM runs GROUP BY layer, doc_id""")
 def layer_activations(spark: SparkSession, folder: str) -> DataFrame:
-    """Both layers out of one run of the model."""
-    aligned = extraction.align_blocks(flows.blocks(spark, folder, keep_tail=True))
-    model = flows.gated_mlp(spark, folder, (0, 1))
-    rows = extraction.succeeded(extraction.extract_activations(aligned, model, layers=(0, 1)))
+    """Both layers of every token."""
+    rows = flows.block_activations(spark, folder)
     return rows.select("layer", "doc_id", *_parts()).groupBy("layer", "doc_id").agg(
         F.count("*").alias("n_rows"), F.sum("total").alias("total"), F.sum("sq").alias("sq")
     )
 
 
-@query(f"""WITH {_MLP},
+@query(f"""WITH {_LAYERS},
 numbered AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS row_id FROM runs WHERE layer = 0)
 SELECT 'train_' || lpad((row_id // {DATASET_ROWS})::VARCHAR, 5, '0') AS split, doc_id,
   count(*) AS n_rows, min(row_id) AS first_row, max(row_id) AS last_row, sum(token_id)::BIGINT AS ids,
   {r('sum(list_sum(x))', 'total')}, {r('sum(list_inner_product(x, x))', 'sq')}
 FROM numbered GROUP BY 1, 2""")
 def activation_dataset(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored vectors of all tokens, from the corpus through the model to numbered shards."""
+    """The stored vectors of all tokens, from the corpus to numbered shards."""
     path = scratch_path(spark, "dataset")
     stored = flows.activation_dataset(spark, folder, path, DATASET_ROWS)
     return stored.select("split", "doc_id", "row_id", "token_id", *_parts()).groupBy("split", "doc_id").agg(
@@ -372,16 +360,13 @@ def activation_dataset(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {PLACED}
-SELECT g // 128 AS block_id, doc_id, tok_pos, token_id, 16::BIGINT AS n_values FROM placed
-WHERE token_id NOT IN (0, 1)""")
+@query(f"""WITH {_LAYERS}
+SELECT g // 128 AS block_id, doc_id, tok_pos, token_id, layer, len(x) AS n_values, {r('x[1]', 'first')} FROM runs""")
 def mlp_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    """Which token of which block every row of a model run belongs to."""
-    aligned = extraction.align_blocks(flows.blocks(spark, folder, keep_tail=True))
-    model = flows.gated_mlp(spark, folder, width=16)
-    rows = extraction.succeeded(extraction.extract_activations(aligned, model))
-    return rows.select(
-        "block_id", "doc_id", "tok_pos", "token_id", F.size("activation").alias("n_values")
+    """Which token of which block every stored row belongs to."""
+    return flows.block_activations(spark, folder).select(
+        "block_id", "doc_id", "tok_pos", "token_id", "layer", F.size("activation").alias("n_values"),
+        F.element_at("activation", 1).alias("first"),
     )
 
 
@@ -397,27 +382,23 @@ def lookup_activations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {LENGTHS},
-parts AS (SELECT doc_id, source, n, unnest(range((n + 511) // 512)) AS i FROM lengths),
-sized AS (SELECT *, least(512, n - i * 512) AS k FROM parts),
-kept AS (SELECT *, k - (i = 0)::INT - (i * 512 + k = n)::INT AS words FROM sized)
-SELECT source, sum(CASE WHEN k <= 256 THEN words ELSE 0 END)::BIGINT AS tokens_kept,
-       count(*) FILTER (k > 256) AS blocks_failed FROM kept GROUP BY source""")
+@query(f"""WITH {TOKENS}, size AS (SELECT count(*) AS n FROM embeddings),
+parts AS (SELECT doc_id, tok_pos // 64 AS b, (token_id % n) % 100 = 99 AS lost FROM toks, size WHERE token_id NOT IN (0, 1)),
+sized AS (SELECT doc_id, b, count(*) AS k, bool_or(lost) AS lost FROM parts GROUP BY doc_id, b)
+SELECT source, sum(CASE WHEN lost THEN 0 ELSE k END)::BIGINT AS tokens_kept, count(*) FILTER (lost) AS blocks_failed
+FROM sized JOIN words USING (doc_id) GROUP BY source""")
 def quarantined_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """A model out of memory beyond 256 tokens: failing blocks are set aside."""
-    model = flows.gated_mlp(spark, folder, max_tokens=256)
-    cut = tokens.chunk(flows.sequences(spark, folder), 512, keep_tail=True)
-    rows = extraction.extract_activations(
-        extraction.align_chunks(cut), model, on_error="quarantine"
-    )
-    failed = F.col("error").isNotNull()
-    per_doc = rows.groupBy("doc_id").agg(
-        F.count_if(~failed).alias("kept"), F.count_if(failed).alias("failed")
-    )
-    return (
-        flows.good(spark, folder).select("doc_id", "source").join(per_doc, "doc_id")
-        .groupBy("source")
-        .agg(F.sum("kept").alias("tokens_kept"), F.sum("failed").alias("blocks_failed"))
+    """A store that lacks every hundredth vector: blocks with a token of such a one are set aside."""
+    given = flows.vectors(spark, folder)
+    n = given.count()
+    unusable = extraction.unusable_vectors(given.where("vec_id % 100 <> 99"), n, flows.WIDTH)
+    cut = tokens.chunk(flows.sequences(spark, folder), flows.CHUNK, keep_tail=True)
+    rows = drop_special(cut.select("doc_id", "start", F.explode("ids").alias("token_id")), flows.SPECIAL)
+    told = extraction.quarantine(rows, unusable, n, ["doc_id", "start"])
+    blocks = told.groupBy("doc_id", "start").agg(F.count("*").alias("k"), F.max("error").alias("error"))
+    lost = F.col("error").isNotNull()
+    return flows.good(spark, folder).select("doc_id", "source").join(blocks, "doc_id").groupBy("source").agg(
+        F.sum(F.when(lost, 0).otherwise(F.col("k"))).alias("tokens_kept"), F.count_if(lost).alias("blocks_failed")
     )
 
 

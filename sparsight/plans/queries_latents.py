@@ -65,9 +65,8 @@ said AS (SELECT latent, 'tokens like ' || string_agg(name, ' ' ORDER BY rank) AS
 SELECT latent, n, explanation, k + 2 < 20 AND NOT regexp_matches(explanation, '{latents.FORMATTING}')
   AS valid FROM said, (SELECT unnest(range(1, 4)) AS n)""")
 def latent_explanations(spark: SparkSession, folder: str) -> DataFrame:
-    """Completions of the offline client, each with its check."""
-    prompts = latents.build_prompts(flows.examples(spark, folder))
-    rows = latents.explanations(latents.explain(prompts))
+    """The marked tokens of each latent as explanations, each with its check."""
+    rows = latents.explanations(latents.named_tokens(flows.examples(spark, folder)))
     return rows.withColumn("valid", latents.valid_explanation(F.col("explanation")))
 
 

@@ -12,27 +12,16 @@ def blocks(spark, size=8, **kwargs):
     return packing.pack(df, size, **kwargs)
 
 
-def network(kept=(0,), width=8, hidden=6, ids=11):
-    rng = np.random.default_rng(3)
-    weights = lambda n: rng.normal(0, 0.4, (n, width))
-    layers = tuple(tuple(weights(hidden) for _ in range(3)) for _ in range(2))
-    return extraction.GatedMlp(weights(ids), layers, kept)
-
-
-def naive(net, token):
-    """One token through both layers, number by number."""
-    x = list(net.embedding[token % len(net.embedding)])
-    outputs = []
-    for gate, up, down in net.layers:
-        hidden = []
-        for g_row, u_row in zip(gate, up):
-            g = sum(a * b for a, b in zip(x, g_row))
-            u = sum(a * b for a, b in zip(x, u_row))
-            hidden.append(g / (1 + np.exp(-g)) * u)
-        out = [sum(h * row[i] for h, row in zip(hidden, down)) for i in range(len(x))]
-        outputs.append(out)
-        x = [a + b for a, b in zip(x, out)]
-    return outputs
+def network(kept=(0,), width=8, ids=11):
+    """A table of vectors per layer, looked up by id."""
+    table = np.random.default_rng(3).normal(0, 0.4, (2, ids, width))
+
+    def model(tokens):
+        whole = table[list(kept)][:, tokens % ids]
+        return whole if len(kept) > 1 else whole[0]
+
+    model.table = table
+    return model
 
 
 EXPECTED = {(d, p): t for d, s in ROWS for p, t in enumerate(s) if t not in (0, 1)}
@@ -44,7 +33,7 @@ def test_model_job_against_a_loop(spark):
     rows = extraction.succeeded(extraction.extract_activations(aligned, net, rows_per_call=2)).collect()
     assert {(r.doc_id, r.tok_pos): r.token_id for r in rows} == EXPECTED
     for r in rows:
-        assert r.activation == pytest.approx(naive(net, r.token_id)[1], rel=1e-5, abs=1e-6)
+        assert r.activation == pytest.approx(net.table[1, r.token_id % 11], rel=1e-5, abs=1e-6)
 
 
 def test_several_layers_in_one_run(spark):
@@ -53,7 +42,7 @@ def test_several_layers_in_one_run(spark):
     rows = extraction.extract_activations(aligned, net, layers=(0, 1)).collect()
     assert {(r.layer, r.doc_id, r.tok_pos) for r in rows} == {(k, *at) for k in (0, 1) for at in EXPECTED}
     for r in rows:
-        assert r.activation == pytest.approx(naive(net, r.token_id)[r.layer], rel=1e-5, abs=1e-6)
+        assert r.activation == pytest.approx(net.table[r.layer, r.token_id % 11], rel=1e-5, abs=1e-6)
 
 
 def test_rows_are_numbered_before_the_run(spark, tmp_path):
@@ -68,10 +57,28 @@ def test_rows_are_numbered_before_the_run(spark, tmp_path):
     assert all(r.split == f"train_{r.row_id // 7:05d}" for r in stored)
 
 
-def test_weights_have_a_bound(monkeypatch):
-    monkeypatch.setattr(extraction, "MAX_MODEL_BYTES", 100)
-    with pytest.raises(ValueError, match="weights exceed"):
-        network()
+def test_tokens_are_numbered_from_the_lengths(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, seq array<int>").repartition(3)
+    lengths = spark.createDataFrame([(d, len(q)) for d, q in ROWS], "doc_id long, n_tokens int")
+    rows = sorted((r.row_id, r.doc_id, r.tok_pos, r.token_id) for r in extraction.number_tokens(df, lengths).collect())
+    assert rows == [(i, d, p, EXPECTED[d, p]) for i, (d, p) in enumerate(sorted(EXPECTED))]
+
+
+def test_stored_layers_and_what_they_lack(spark):
+    rows = spark.createDataFrame([(b, 1, i, t) for b, t in enumerate([[2, 3], [5, 6], [4, 12]]) for i, t in enumerate(t)],
+                                 "block_id long, doc_id long, tok_pos int, token_id int")
+    layers = spark.createDataFrame([(k, i, [float(k), float(i)]) for k in (0, 1) for i in range(5)], "layer int, vec_id long, activation array<double>")
+    got = sorted((r.layer, r.token_id, r.activation) for r in extraction.layer_activations(rows, layers, 5, 2).collect())
+    assert got == sorted((k, t, [float(k), float(t % 5)]) for k in (0, 1) for t in (2, 3, 5, 6, 4, 12))
+    nan = float("nan")
+    stored = spark.createDataFrame([(0, [1.0, 2.0]), (1, [nan, 1.0]), (2, [1.0]), (3, [1.0, 1.0])], "vec_id long, activation array<double>")
+    lacking = extraction.unusable_vectors(stored, 5, 2)
+    assert sorted(map(tuple, lacking.collect())) == [(1, "not finite"), (2, "wrong width"), (4, "no vector")]
+    told = extraction.quarantine(rows, lacking, 5)
+    assert sorted((r.block_id, r.error) for r in extraction.failed(told).distinct().collect()) == [
+        (0, "wrong width"), (1, "not finite"), (2, "no vector")]
+    fine = extraction.quarantine(rows, lacking.where("vec_id = 4"), 5)
+    assert sorted(r.token_id for r in extraction.succeeded(fine).collect()) == [2, 3, 5, 6]
 
 
 def test_chunks_keep_true_positions(spark):
@@ -94,7 +101,7 @@ def failing_model():
 
 def test_quarantine_loses_only_the_failing_block(spark):
     aligned = extraction.align_blocks(blocks(spark, 4, keep_tail=True))
-    rows = extraction.extract_activations(aligned, failing_model(), on_error="quarantine").cache()
+    rows = extraction.extract_activations(aligned, failing_model(), on_error="quarantine")
     stream = [t for _, seq in ROWS for t in seq]
     parts = [stream[i : i + 4] for i in range(0, len(stream), 4)]
     bad = extraction.failed(rows).collect()

@@ -59,9 +59,12 @@ def test_prompt_to_explanations(spark):
     row = prompts.first()
     assert row.user == "The activating examples are:\n\n1. We <<talk>> often\n2. you <<say>> it"
     assert row.system == latents.SYSTEM_PROMPT and row.assistant == latents.ASSISTANT_PROMPT
-    rows = latents.explanations(latents.explain(prompts, n=2)).orderBy("n").collect()
+    rows = latents.explanations(latents.named_tokens(df, n=2)).orderBy("n").collect()
     assert [(r.latent, r.n) for r in rows] == [(4, 1), (4, 2)]
     assert rows[0].explanation == "tokens like talk say"
+    client = lambda prompt, n: [f" {len(prompt['user'])} {i} " for i in range(n)]
+    asked = latents.explanations(latents.explain(prompts, client, n=2)).orderBy("n").collect()
+    assert [r.explanation for r in asked] == [f"{len(row.user)} 0", f"{len(row.user)} 1"]
 
 
 @pytest.mark.parametrize(
