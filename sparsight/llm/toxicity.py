@@ -3,7 +3,7 @@
 A word enters as the sum of its own vector and the mean of the vectors of its
 character n-grams, all hashed. Overlapping windows of words run through a
 gated recurrent unit in both directions; attention pools the states of a
-window; a text scores as its highest window. Training is NumPy on the driver,
+window; a text scores as the highest of all its windows, one at every word. Training is NumPy on the driver,
 over a bounded sample of labelled rows; scoring runs in the tasks.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparsight.llm.words import LOWER, bounded, coded
 
-WIDTH, HIDDEN, WINDOW, STRIDE = 8, 8, 24, 16
+#: words of a window, and between the windows that training looks at; scoring takes all windows
+WIDTH, HIDDEN, WINDOW, STRIDE = 8, 8, 12, 8
 BUCKETS = 1 << 13
 GRAMS = (3, 5)
 #: the most labelled rows per class that training reads, and the longest of their texts
@@ -58,7 +59,7 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``text, start, stop`` of overlapping windows that cover every word; none for an empty text."""
+    """``text, start, stop`` of overlapping windows that cover every word, for training; none for an empty text."""
     n = np.diff(offsets)
     count = np.where(n > 0, np.maximum(0, -(-(n - WINDOW) // STRIDE)) + 1, 0)
     text = np.repeat(np.arange(len(n)), count)
@@ -190,16 +191,64 @@ class Network:
         g["gram"] = sum(_summed(gram[:, j], each, BUCKETS) for j in range(gram.shape[1]))
         return float(loss), g
 
+    def slid(self, gates: np.ndarray) -> np.ndarray:
+        """The logit of every window of consecutive rows of ``gates``, what their words add to both directions.
+
+        All windows take a step together: the words of that step are a slice.
+        Of the states only their attention and their share in the logit stay.
+        """
+        n = len(gates) - WINDOW + 1
+        lanes = np.ascontiguousarray(gates.T)
+        attended, out = np.empty((2, WINDOW, n), np.float32), np.empty((2, WINDOW, n), np.float32)
+        heads = np.stack([self.p["attend"].reshape(2, HIDDEN), self.p["out"].reshape(2, HIDDEN)], axis=1)
+        for side in (0, 1):
+            u = np.ascontiguousarray(self.p[f"u{side}"].T)
+            mine = lanes[side * 3 * HIDDEN : (side + 1) * 3 * HIDDEN]
+            h = np.zeros((HIDDEN, n), np.float32)
+            for t in range(WINDOW) if side == 0 else range(WINDOW - 1, -1, -1):
+                a = u @ h
+                x = mine[:, t : t + n]
+                zr = a[: 2 * HIDDEN]
+                zr += x[: 2 * HIDDEN]
+                zr *= np.float32(0.5)
+                np.tanh(zr, out=zr)
+                zr *= np.float32(0.5)
+                zr += np.float32(0.5)
+                new = a[2 * HIDDEN :]
+                new *= zr[HIDDEN:]
+                new += x[2 * HIDDEN :]
+                np.tanh(new, out=new)
+                h -= new
+                h *= zr[:HIDDEN]
+                h += new
+                attended[side, t], out[side, t] = heads[side] @ h
+        score = attended[0] + attended[1]
+        score -= score.max(axis=0)
+        np.exp(score, out=score)
+        return (score * (out[0] + out[1])).sum(axis=0) / score.sum(axis=0) + self.p["bias"][0]
+
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """The score of each text: its highest window; zero without words."""
+        """The score of each text: the highest of all its windows, one at every word; zero without words."""
         codes, offsets, words = coded(texts, LOWER)
         gates = self.projected(self.inputs(features(words)))
-        text, start, stop = windows(offsets)
-        best = np.zeros(len(texts))
-        for a in range(0, len(text), _CHUNK):
-            logit = self.forward(gates, cut(codes, start[a : a + _CHUNK], stop[a : a + _CHUNK]))
-            np.maximum.at(best, text[a : a + _CHUNK], _sigmoid(logit.astype(np.float64)))
-        return best
+        size = np.diff(offsets)
+        best = np.full(len(texts), -np.inf)
+        short = np.flatnonzero((size > 0) & (size < WINDOW))
+        for a in range(0, len(short), _CHUNK):
+            at = short[a : a + _CHUNK]
+            best[at] = self.forward(gates, cut(codes, offsets[at], offsets[at + 1]))
+        # windows over the end of a text are computed along, and left out
+        owner = np.repeat(np.arange(len(size)), size)
+        last = len(codes) - WINDOW
+        for a in range(0, last + 1, _CHUNK):
+            b = min(a + _CHUNK, last + 1)
+            whole = np.flatnonzero(owner[a:b] == owner[a + WINDOW - 1 : b + WINDOW - 1])
+            if len(whole):
+                logit = self.slid(gates[codes[a : b + WINDOW - 1]])
+                mine = owner[a:b][whole]
+                starts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+                np.maximum.at(best, mine[starts], np.maximum.reduceat(logit[whole], starts))
+        return np.where(size > 0, _sigmoid(best), 0.0)
 
 
 def cut(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:

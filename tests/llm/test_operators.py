@@ -324,6 +324,62 @@ def test_network_gradient_and_training():
     assert toxicity.fit([], []).scores(pa.array(["a b"]))[0] < 0.3
 
 
+def plain_score(net, text):
+    """The highest window of a text by the formulas of the network, step by step in double precision."""
+    codes, _, distinct = toxicity.coded(pa.array([text]), toxicity.LOWER)
+    if not len(codes):
+        return 0.0
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    word, gram, ends = toxicity.features(distinct)
+    starts = [0, *ends[:-1]]
+    x = [p["word"][w] + np.mean([sum(p["gram"][g] for g in gram[k]) for k in range(a, b)], axis=0) for w, a, b in zip(word, starts, ends)]
+    squash, n, best = lambda v: 1 / (1 + np.exp(-v)), toxicity.HIDDEN, 0.0
+    for at in range(max(1, len(codes) - toxicity.WINDOW + 1)):
+        own = [x[c] for c in codes[at : at + toxicity.WINDOW]]
+        states = [[], []]
+        for side in (0, 1):
+            h = np.zeros(n)
+            for v in own if side == 0 else own[::-1]:
+                g = (v @ p["x"] + p["xb"])[side * 3 * n : (side + 1) * 3 * n]
+                a = h @ p[f"u{side}"]
+                z, r = squash(g[:n] + a[:n]), squash(g[n : 2 * n] + a[n : 2 * n])
+                h = z * h + (1 - z) * np.tanh(g[2 * n :] + r * a[2 * n :])
+                states[side].append(h)
+        both = [np.concatenate(s) for s in zip(states[0], states[1][::-1])]
+        weight = np.exp([s @ p["attend"] for s in both])
+        pooled = sum(w * s for w, s in zip(weight / weight.sum(), both))
+        best = max(best, squash(pooled @ p["out"] + p["bias"][0]))
+    return best
+
+
+def test_scores_are_those_of_all_windows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    net = toxicity.Network(3)
+    for v in net.p.values():  # far from what training starts with
+        v += rng.normal(0, 0.4, v.shape).astype(np.float32)
+    sizes = (0, 1, 5, toxicity.WINDOW - 1, toxicity.WINDOW, toxicity.WINDOW + 1, 40, 0, 3, 90)
+    texts = [" ".join(rng.choice(VOCABULARY, n)) for n in sizes] + [None, "É" * 400 + " x"]
+    expected = [plain_score(net, t or "") for t in texts]
+    for chunk in (1, 7, 1 << 11):
+        monkeypatch.setattr(toxicity, "_CHUNK", chunk)
+        assert net.scores(pa.array(texts)) == pytest.approx(expected, abs=1e-5)
+    assert net.scores(pa.array([], pa.string())).tolist() == []
+    df = spark.createDataFrame([(i, t, 0.5, 1) for i, t in enumerate(texts)], "doc_id int, text string, score double, i int")
+    got = {r.doc_id: (r.score, r.score_) for r in toxicity.scored(df.repartition(3), net).collect()}
+    assert [got[i] for i in range(len(texts))] == [(0.5, pytest.approx(e, abs=1e-5)) for e in expected]
+
+
+def test_words_in_front_never_lower_a_score():
+    rng = np.random.default_rng(2)
+    net = toxicity.Network(5)
+    for v in net.p.values():
+        v += rng.normal(0, 0.4, v.shape).astype(np.float32)
+    text = " ".join(rng.choice(VOCABULARY, 60))
+    longer = [" ".join([*rng.choice(VOCABULARY, n), text]) for n in range(16)]
+    scores = net.scores(pa.array([text, *longer]))
+    assert (scores[1:] >= scores[0] - 1e-6).all()
+
+
 def test_every_word_is_in_a_window():
     for n in (0, 1, 24, 25, 40, 41, 1000):
         _, start, stop = toxicity.windows(np.array([0, n]))
