@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 LENGTH = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-#: documents of a group on average; their ids, two bytes each, are held by one task
-GROUP_DOCUMENTS = 4096
+#: documents of a group on average, or fewer where their texts are long: the ids of so many bytes of text are held by one task
+GROUP_DOCUMENTS, GROUP_BYTES = 4096, 64 << 20
 _PIECE_BYTES = 8 << 20
 
 
@@ -213,6 +213,13 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     return docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
+def _within(ends: np.ndarray) -> np.ndarray:
+    """Ends of values in one Arrow buffer, which has 32 bits for them."""
+    if ends[-1] >= 1 << 31:
+        raise ValueError("a text of over 500 million tokens does not fit one buffer")
+    return ends
+
+
 def packed(
     docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
     end_id: int = END_ID, group_documents: int = GROUP_DOCUMENTS,
@@ -225,7 +232,8 @@ def packed(
     for itself: the group is drawn by row, so that no id or text can fill one.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    groups = 1 + docs.count() // group_documents
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    groups = 1 + max(n // group_documents, (size or 0) // GROUP_BYTES)
     tokens = tokenized(docs, path, doc_id, text, end_id).withColumn(
         "g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
     )
@@ -244,7 +252,7 @@ def packed(
             "doc_id": group.column("doc_id").combine_chunks().take(pa.array(item)),
             "start": pa.array(start),
             "ids": pa.Array.from_buffers(
-                pa.binary(), len(n), [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(values[at].astype("<u4").tobytes())]
+                pa.binary(), len(n), [None, pa.py_buffer(_within(4 * ends).astype(np.int32).tobytes()), pa.py_buffer(values[at].astype("<u4").tobytes())]
             ),
             "doc_tokens": pa.array(size[item].astype(np.int64)),
             "sequence_id": pa.array((np.int64(number) << 32) + sequence),

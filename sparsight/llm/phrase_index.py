@@ -9,10 +9,12 @@ other terms, shifted by their offsets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from sparsight.llm.words import LOWER_ALNUM, bounded, coded
@@ -135,16 +137,14 @@ class _Postings:
             yield rows[query], start
 
 
-def _blocks(queries: DataFrame, limit: int) -> Iterator[list]:
-    """The query rows in blocks of bounded size, by hash."""
+def _block_count(queries: DataFrame, limit: int) -> int:
+    """How many blocks of bounded size the query rows make, by hash."""
     size = queries.agg(F.sum(F.length(F.concat_ws(" ", "terms")) + 8 * F.size("item_ids") + 64)).first()[0] or 0
-    n = 1 + int(2 * size // limit) if size > limit else 1
-    for k in range(n):
-        yield queries.where(F.pmod(F.xxhash64("terms"), F.lit(n)) == k).collect()
+    return 1 + int(2 * size // limit) if size > limit else 1
 
 
-def _searched(index: DataFrame, rows: list, kind: str) -> DataFrame:
-    """One block of queries against every shard: a row per document."""
+def _searched(index: DataFrame, rows: list, kind: str) -> tuple[DataFrame, Broadcast]:
+    """One block of queries against every shard: a row per document. And what was sent for it."""
     spark = index.sparkSession
     terms = sorted({t for r in rows for t in r.terms})
     number = {t: i for i, t in enumerate(terms)}
@@ -221,7 +221,7 @@ def _searched(index: DataFrame, rows: list, kind: str) -> DataFrame:
         f"shard bigint, number int, doc_id {id_type.simpleString()}, n_words bigint, starts array<bigint>, "
         f"ends array<bigint>, item_ids array<{kind.simpleString()}>"
     )
-    return read.groupBy("shard").applyInArrow(search, schema)
+    return read.groupBy("shard").applyInArrow(search, schema), sent
 
 
 def exact_matches(index: DataFrame, queries: DataFrame, query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -232,11 +232,19 @@ def exact_matches(index: DataFrame, queries: DataFrame, query_bytes: int = QUERY
     occurring window. Documents without a match have empty lists.
     """
     kind = queries.schema["item_ids"].dataType.elementType
-    parts = [_searched(index, rows, kind) for rows in _blocks(queries, query_bytes)]
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
+    blocks = _block_count(queries, query_bytes)
+    if blocks == 1:
+        found, _ = _searched(index, queries.collect(), kind)
+    else:
+        # one block at a time: its result is written and what was sent for it is given up before the next is read
+        written = materialize(queries, "windows")
+        parts = []
+        for k in range(blocks):
+            part, sent = _searched(index, written.where(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == k).collect(), kind)
+            # documents without a match are named once
+            parts.append(materialize(part if k == 0 else part.where(F.size("starts") > 0), "matches"))
+            sent.destroy()
+        found = reduce(DataFrame.unionByName, parts)
         flat = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "item_ids")}
         found = found.groupBy("shard", "number").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *flat.values()

@@ -192,6 +192,15 @@ def test_packing_round_trip(docs, empty):
     assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+def test_groups_are_drawn_by_bytes_of_text(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 2_000)
+    df = spark.createDataFrame([(i, "some words " * 100) for i in range(40)] + [(99, None)], "doc_id bigint, text string")
+    rows = packing.packed(df, PATH).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) > 8 and len({r.doc_id for r in rows}) == 41
+    with pytest.raises(ValueError, match="500 million"):
+        packing._within(np.array([0, 1 << 31]))
+
+
 def test_encoding_is_that_of_the_tokenizer():
     model = Tokenizer.from_file(PATH)
     model.encode_special_tokens = True
