@@ -1,11 +1,15 @@
-"""Secrets in whole texts: known patterns, and strings that pass a battery of randomness tests.
-
-All of it is column expressions. Patterns give spans; other long strings are
-tested for what random characters of their encoding would show: even use of
-the alphabet (chi-squared), as many runs above and below its middle (runs
-test), no correlation of neighbours. The tests of a string are combined, and
-strings are told apart by false-discovery control over the whole corpus, with
-longer strings, whose tests see more, weighted up.
+"""Secrets in whole texts: known patterns, and strings that a battery of tests finds random.
+
+All of it is column expressions. Patterns give spans. Other long strings are
+tested in what sets random characters of their encoding apart: even use of the
+alphabet (chi-squared), as many runs above and below its middle (runs test),
+no correlation of neighbours. Each test has two p-values. ``battery`` gives
+those of the null "the characters are random". What is reported, though, is
+decided on the null "the string is ordinary": its characters coincide as often
+as those of prose or of numbers, its runs or its neighbours are fixed. A string
+must reject all three parts, so its p-value is the largest of theirs; and the
+step-up rule of false-discovery control over the whole corpus, with longer
+strings, whose tests see more, weighted up, alone says which are found.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparsight.session import materialize
+
 #: kind, pattern, group that must reach the length, least length
 PATTERNS = (
     (
@@ -29,7 +35,13 @@ PATTERNS = (
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = tuple(p[0] for p in PATTERNS) + ("random",)
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: of the strings reported, the share that may be ordinary
 FALSE_DISCOVERY = 0.01
+#: how often two characters of an ordinary string are equal. Letters of one case as in English prose; of both
+#: cases and with signs less, as names in CamelCase or with numbers spread over more characters; digits, in times of random
+ONE_CASE, MIXED, NUMBERS = 0.0655, 0.05, 2.5
+#: matches whose places are summed up together, so that a text with very many is not copied for each
+CHUNK = 256
 #: width of a p-value bin, in powers of ten, and the smallest p-value told apart
 BIN, LEAST = 0.05, 1e-30
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -74,24 +86,42 @@ def pattern_spans(text: Column, kind: str) -> Column:
 
 
 def _spans(text: Column, pattern: str, number: int) -> Column:
-    """Matches are what stands between the parts of the text that the pattern splits."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    between = F.split(text, pattern, -1)
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")
-    )
-    return F.aggregate(
-        F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"))),
-        start,
-        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(F.struct(
-            (acc["at"] + x["b"] + x["m"]).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + x["b"]).alias("start"), F.lit(number).alias("kind"),
-                (acc["at"] + x["b"] + x["m"]).alias("end"),
-            ))).alias("spans"),
-        )),
-        lambda acc: acc["spans"],
+    """``start, kind, end`` of all matches."""
+    return F.transform(_matches(text, pattern), lambda m: F.struct(
+        m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")
+    ))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """``start, end, word``: matches are what stands between the parts of the text that the pattern splits.
+
+    Places are running sums, taken within chunks of matches and then over these.
+    """
+    parts = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0),
+        lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"), m.alias("word")),
     )
+    state = lambda at, kind: F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
+    match = "struct<start:int,end:int,word:string>"
+
+    def one(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["b"]
+        found = F.struct(start.alias("start"), (start + x["m"]).alias("end"), x["word"].alias("word"))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(
+            (start + x["m"]).alias("at"), F.concat(acc["found"], F.array(found)).alias("found")
+        ))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        return _bound(F.aggregate(part, state(acc["at"], match), one), lambda got: F.struct(
+            got["at"].alias("at"), F.concat(acc["found"], F.array(got["found"])).alias("found")
+        ))
+
+    def chunked(parts: Column) -> Column:
+        last = F.floor((F.size(parts) - 1) / CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(parts, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.aggregate(chunks, state(F.lit(0), f"array<{match}>"), chunk, lambda acc: F.flatten(acc["found"]))
+
+    return _bound(parts, chunked)
 
 
 def joined(spans: Column) -> Column:
@@ -117,11 +147,15 @@ def battery(word: Column) -> dict[str, Column]:
     62, so that long words are held against base 64. P-values are small where
     the string is unlike random characters.
     """
-    bare = F.when(word.rlike(DASHED), F.replace(word, F.lit("-"), F.lit(""))).otherwise(word)
-    tests = _bound(bare, lambda w: _bound(_alphabet(w), lambda alphabet: _tests(w, alphabet)))
+    tests = _tested(word)
     return {name: tests[name] for name in ("alphabet", "p_uniform", "p_runs", "p_serial")}
 
 
+def _tested(word: Column) -> Column:
+    bare = F.when(word.rlike(DASHED), F.replace(word, F.lit("-"), F.lit(""))).otherwise(word)
+    return _bound(bare, lambda w: _bound(_alphabet(w), lambda alphabet: _tests(w, alphabet)))
+
+
 def _bound(value: Column, use) -> Column:
     """``use`` of a value that is made once, however often and in whatever loop it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -171,50 +205,55 @@ def _p_values(codes: Column, sums: Column) -> Column:
         F.abs(product / power + 1.0 / n) * F.sqrt(n.cast("double"))
     ))
     p = lambda z, sides: _bound(z, lambda z: F.greatest(sides * _upper_tail(z), F.lit(LEAST)))
+    # the null of ordinary strings: coincidences raise chi-squared by a part that grows with the length
+    equal = F.when(size <= 16, F.lit(NUMBERS)).when(size <= 36, size * ONE_CASE).otherwise(size * MIXED)
+    more = n * (equal - 1)
+    degrees = (df + more) * (df + more) / (df + 2 * more)
+    z_even = (F.cbrt(chi / (df + more)) - (1 - 2 / (9 * degrees))) / F.sqrt(2 / (9 * degrees))
+    # and runs or neighbours are fixed
+    z_changing = F.when((above == 0) | (below == 0), 8.0).otherwise(
+        (F.abs(changes + 1 - expected) - (expected - 1)) / spread
+    )
+    z_free = _bound(power, lambda power: F.when(power == 0, 8.0).otherwise(
+        (F.abs(product / power + 1.0 / n) - 1) * F.sqrt(n.cast("double"))
+    ))
     return F.struct(
-        size.alias("alphabet"), p(z_chi, 1).alias("p_uniform"), p(z_runs, 2).alias("p_runs"), p(z_serial, 2).alias("p_serial")
+        size.alias("alphabet"), n.alias("n"),
+        p(z_chi, 1).alias("p_uniform"), p(z_runs, 2).alias("p_runs"), p(z_serial, 2).alias("p_serial"),
+        p(-F.greatest(z_even, z_changing, z_free), 1).alias("p"),
     )
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """``k, span, p, weight``: the long strings of each text that no pattern covers, tested.
+def _strings(text: Column, base: Column) -> Column:
+    """``start, end, word`` of the long strings that no pattern covers."""
+    return F.filter(_matches(text, CANDIDATE), lambda m: ~F.exists(
+        base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])
+    ))
 
-    ``rows`` has ``k, t, base``. ``p`` combines the three tests by Fisher's
-    method (chi-squared with six degrees of freedom).
-    """
-    found = rows.where(F.col("t").rlike(CANDIDATE)).select(
-        "k", "t", "base", F.explode(_spans(F.col("t"), CANDIDATE, KINDS.index("random"))).alias("span")
-    ).where(~F.exists("base", lambda b: (b["start"] < F.col("span.end")) & (b["end"] > F.col("span.start"))))
-    word = F.col("word")
-    found = found.select("k", "span", F.expr("substring(t, span.start + 1, span.end - span.start)").alias("word"))
-    tested = found.select("k", "span", F.length("word").alias("n"), *(c.alias(x) for x, c in battery(word).items()))
-    half = -(F.log("p_uniform") + F.log("p_runs") + F.log("p_serial"))
-    return tested.select(
-        "k", "span", "n", "alphabet", "p_uniform", "p_runs", "p_serial",
-        F.greatest(F.exp(-half) * (1 + half + half * half / 2), F.lit(LEAST)).alias("p"),
-        F.log2(F.col("n") / 20.0 + 1).alias("weight"),
-    )
 
+def _bin(p: Column, n: Column, mean: float) -> Column:
+    """The p-value of a string of ``n`` characters over its weight, in bins; weights have mean one."""
+    scaled = F.least(F.lit(1.0), p * F.lit(mean) / _weight(n))
+    return F.ceil(F.log10(F.greatest(scaled, F.lit(LEAST))) / BIN).cast("int")
 
-def judged(tested: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
-    """``tested`` with ``is_random``: whether the tests leave it so.
 
-    Strings are declared not random by the step-up rule of false-discovery
-    control at ``rate`` on ``p / weight`` with weights of mean one, and
-    further at 0.05 alone; the rest is kept. P-values meet in bins, of which
-    there is a fixed number, so that no sort runs over all strings.
+def _weight(n: Column) -> Column:
+    return F.log2(n / 20.0 + 1)
+
+
+def step_up(tested: DataFrame, rate: float = FALSE_DISCOVERY) -> tuple[float, int]:
+    """Mean weight and last bin found, over all strings (``p, n``), by the step-up rule at ``rate``.
+
+    P-values meet in bins, of which there is a fixed number, so that no sort
+    runs over all strings. A bin counts with its upper end.
     """
-    mean, total = tested.agg(F.avg("weight"), F.count("*")).first()
-    scaled = F.least(F.lit(1.0), F.col("p") * F.lit(mean or 1.0) / F.col("weight"))
-    binned = tested.withColumn("bin", F.ceil(F.log10(F.greatest(scaled, F.lit(LEAST))) / BIN).cast("int"))
+    mean, total = tested.agg(F.avg(_weight(F.col("n"))), F.count("*")).first()
     cut, rank = -(10**6), 0
-    for row in sorted(binned.groupBy("bin").count().collect()):
+    for row in sorted(tested.groupBy(_bin(F.col("p"), F.col("n"), mean or 1.0).alias("bin")).count().collect()):
         rank += row[1]
         if 10 ** (row[0] * BIN) <= rate * rank / total:
             cut = row[0]
-    return binned.withColumn(
-        "is_random", (F.col("bin") > cut) & (F.least("p_uniform", "p_runs", "p_serial") > 0.05 / 3)
-    ).drop("bin")
+    return mean or 1.0, cut
 
 
 def secret_spans(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
@@ -225,20 +264,24 @@ def secret_spans(docs: DataFrame, text: str = "text", name: str = "spans") -> Da
     """
     while name in docs.columns:
         name += "_"
-    from sparsight.session import materialize
-
+    held = "__base"
+    while held in docs.columns:
+        held += "_"
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*(pattern_spans(t, p[0]) for p in PATTERNS))
-    # a text without either needs no look at its strings; the key names the row by its content
-    key = F.struct(F.xxhash64(t), F.length(t)).alias("k")
-    tested = candidates(docs.select(key, t.alias("t"), base.alias("base")).where(F.col("t").rlike(CANDIDATE)))
-    found = judged(materialize(tested, "strings"))
-    more = found.where("is_random").groupBy("k").agg(F.collect_set("span").alias("more"))
-    more = materialize(more.select(F.col("k.*"), "more").toDF("__k", "__n", "__more"), "strings")
-    out = docs.withColumn("__base", base).withColumn("__k", F.xxhash64(t)).withColumn("__n", F.length(t))
-    return out.join(more, ["__k", "__n"], "left").select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        F.array_sort(F.concat("__base", F.coalesce("__more", F.array().cast(f"array<{SPAN}>")))).alias(name),
+    long = t.rlike(CANDIDATE)  # a text without needs no look at its strings
+    strings = docs.where(long).select(F.explode(_strings(t, base)).alias("s")).select(_tested(F.col("s.word")).alias("x"))
+    mean, cut = step_up(materialize(strings.select("x.p", "x.n"), "strings"))
+    # what was found is told from the text again: rows need no key, and nothing is joined
+    found = F.filter(_strings(t, F.col(held)), lambda m: _bound(
+        _tested(m["word"]), lambda x: _bin(x["p"], x["n"], mean) <= cut
+    ))
+    found = F.transform(found, lambda m: F.struct(
+        m["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), m["end"].alias("end")
+    ))
+    more = F.when(long, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return docs.withColumn(held, base).select(
+        *(F.col(f"`{c}`") for c in docs.columns), F.array_sort(F.concat(held, more)).alias(name)
     )
 
 
