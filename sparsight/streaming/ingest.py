@@ -57,11 +57,12 @@ _BLOCK = (
 )
 
 
-def _packer(block: int):
+def _packer(block: int, idle_ms: int | None):
     class Packer(StatefulProcessor):
         """Carries fewer than ``block`` tokens per bucket between arrivals."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.left = handle.getValueState("left", _LEFT_OVER)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
@@ -94,6 +95,20 @@ def _packer(block: int):
                     number += full
                     held = [h[full * block :] for h in held]
             self.left.update((*(h.tolist() for h in held), number))
+            if idle_ms is not None:
+                for at in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(at)
+                if len(held[0]):
+                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            *held, number = self.left.get() if self.left.exists() else ([], [], [], 0)
+            if len(held[0]):
+                ids, docs, positions = ([list(h)] for h in held)
+                yield pd.DataFrame(
+                    {"bucket": key[0], "block_no": [number], "docs": docs, "positions": positions, "ids": ids}
+                )
+                self.left.update(([], [], [], number + 1))
 
         def close(self) -> None:
             pass
@@ -101,9 +116,14 @@ def _packer(block: int):
     return Packer()
 
 
-def stream_pack(seqs: DataFrame, block: int, bucket: str = "bucket") -> DataFrame:
+def stream_pack(seqs: DataFrame, block: int, bucket: str = "bucket", idle_ms: int | None = None) -> DataFrame:
     """Blocks of ``block`` tokens; what is left waits for the next arrival.
 
+    With ``idle_ms`` a bucket to which nothing has come for so long gives what
+    it holds as a short block, and goes on with the next number; every arrival
+    sets the time anew. Times are those of the batches, so the stream needs a
+    trigger that goes on without input.
+
     Order is per bucket: make buckets of (source, hash of the document) so
     that a large source is packed by many tasks. Needs the RocksDB state store.
     At the end of the input ``left_over`` has the tokens that still wait.
@@ -112,8 +132,8 @@ def stream_pack(seqs: DataFrame, block: int, bucket: str = "bucket") -> DataFram
         seqs.select(F.col(bucket).cast("string").alias("bucket"), "doc_id", "seq")
         .groupBy("bucket")
         .transformWithStateInPandas(
-            statefulProcessor=_packer(block), outputStructType=_BLOCK,
-            outputMode="Append", timeMode="None",
+            statefulProcessor=_packer(block, idle_ms), outputStructType=_BLOCK,
+            outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime",
         )
     )
 

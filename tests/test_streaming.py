@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -62,6 +63,45 @@ def test_packing_carries_the_rest_between_arrivals(spark, tmp_path):
         assert all(ps == list(range(len(ps))) for ps in by_doc.values())
 
 
+def test_idle_buckets_give_what_they_hold_while_the_stream_runs(spark, tmp_path):
+    source, sink, block = tmp_path / "in", tmp_path / "out", 16
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ingest.ROCKSDB)
+    source.mkdir()
+    docs = ingest.stream_corpus(spark, str(source))
+    seqs = docs.select(
+        F.col("source").alias("bucket"), "doc_id", F.sequence(F.lit(0), F.size(F.split("text", " "))).alias("seq")
+    )
+    query = (
+        ingest.stream_pack(seqs, block, idle_ms=500).writeStream.format("parquet").option("path", str(sink))
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="200 milliseconds").start()
+    )
+    expected, n_tokens = defaultdict(list), 0
+    try:
+        for round_ in range(3):
+            rows = arrivals(5, round_ * 5)
+            for doc, text, bucket in rows:
+                size = len(text.split(" ")) + 1
+                expected[bucket] += [(doc, p, p) for p in range(size)]
+                n_tokens += size
+            drop(spark, source, rows)
+            # the stream is not stopped: everything comes out by itself before the next arrival
+            blocks, end = [], time.monotonic() + 90
+            while sum(len(b.ids) for b in blocks) < n_tokens and time.monotonic() < end and query.exception() is None:
+                time.sleep(0.5)
+                if (sink / "_spark_metadata").exists():
+                    blocks = spark.read.schema(ingest._BLOCK).parquet(str(sink)).collect()
+            assert query.exception() is None and sum(len(b.ids) for b in blocks) == n_tokens
+    finally:
+        query.stop()
+    for bucket, tokens in expected.items():
+        mine = sorted((b for b in blocks if b.bucket == bucket), key=lambda b: b.block_no)
+        assert [b.block_no for b in mine] == list(range(len(mine)))
+        assert sorted(t for b in mine for t in zip(b.docs, b.positions, b.ids)) == sorted(tokens)
+        # one short block for each arrival at most, none too long
+        assert sum(len(b.ids) < block for b in mine) <= 3 and max(len(b.ids) for b in mine) <= block
+    assert ingest.left_over(spark, str(tmp_path / "state")).count() == 0
+
+
 def test_words_of_the_stream_equal_the_batch(spark, tmp_path):
     drop(spark, tmp_path / "in", arrivals(6) + [(99, "SHOUTED TEXT THAT IS LONG ENOUGH", "s0")])
     run(ingest.stream_words(ingest.stream_corpus(spark, str(tmp_path / "in"))), tmp_path / "out", tmp_path / "state")
