@@ -70,6 +70,24 @@ def test_dimension_statistics(spark, x):
     assert [r.dim for r in top] == [2, 1]
 
 
+def test_dimension_statistics_of_uneven_and_distant_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [[float(v) for v in 1e7 + rng.normal(size=1 + i % 4)] for i in range(3000)]
+    rows[5][0] = rows[9][1] = None
+    rows += [None, [], [None]]
+    df = spark.createDataFrame([(r,) for r in rows], "activation array<double>").repartition(7)
+    got = {r.dim: r for r in statistics.dim_stats(df, 2.0).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for d, r in got.items():
+        cells = [v[d] for v in rows if v is not None and len(v) > d]
+        v = np.array([c for c in cells if c is not None])
+        assert r.n == len(cells) and (r.lo, r.hi) == (v.min(), v.max())
+        assert r["mean"] == pytest.approx(v.mean(), rel=1e-14) and r.variance == pytest.approx(v.var(), rel=1e-7)
+        assert r.extreme_share == pytest.approx((abs(v - v.mean()) > 2 * v.std()).sum() / len(cells))
+    empty = spark.createDataFrame([], "activation array<double>")
+    assert statistics.dim_stats(empty).count() == 0
+
+
 def test_correlation_with_token_presence(spark, x):
     ids = [i % 5 if i % 2 else 9 for i in range(len(x))]
     got = statistics.dim_token_corr(table(spark, x, token_id=ids)).collect()
