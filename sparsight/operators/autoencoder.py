@@ -3,21 +3,24 @@
 A dictionary is a table (latent, w_enc, b_enc, log_threshold, w_dec), one row
 per latent. Products with it run as matrix products per Arrow batch against a
 broadcast block of latents; a dictionary beyond the size bound is taken block
-by block, so no latent is ever left out.
+by block, so no latent is ever left out. Of several blocks one at a time is on
+the driver and broadcast: what it gives is written before the next is read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparsight.functions.vectors import from_matrix, scale, squared_norm, to_matrix, unit
 from sparsight.operators.statistics import products
+from sparsight.session import materialize
 
 MAX_BLOCK_BYTES = 640 << 20  # both matrices of 16,384 latents of width 2,048 are 513 MiB
 MATRICES = ("w_enc", "w_dec")
@@ -101,24 +104,52 @@ def collect_block(sae: DataFrame, matrices: tuple[str, ...] = MATRICES) -> Block
     )
 
 
-def blocks_of(
+def block_ranges(
     sae: DataFrame, max_bytes: int = MAX_BLOCK_BYTES, matrices: tuple[str, ...] = MATRICES
-) -> Iterator[Block]:
-    """The dictionary in ranges of latent ids that stay below ``max_bytes`` each.
-
-    Only the named matrices are read and counted; others stay empty.
-    """
+) -> list[tuple[int, int]]:
+    """First and last latent id of ranges that stay below ``max_bytes`` each, counting the named matrices."""
     lo, hi, width = sae.agg(
         F.min("latent"), F.max("latent"), F.max(F.size(matrices[0]))
     ).first()
     per_block = max(1, max_bytes // (8 * len(matrices) * width + 24))
-    for first in range(lo, hi + 1, per_block):
-        part = sae.where(F.col("latent").between(first, first + per_block - 1))
-        block = collect_block(part, matrices)
+    return [(first, first + per_block - 1) for first in range(lo, hi + 1, per_block)]
+
+
+def _blocks_in(
+    sae: DataFrame, ranges: list[tuple[int, int]], matrices: tuple[str, ...]
+) -> Iterator[Block]:
+    for first, last in ranges:
+        block = collect_block(sae.where(F.col("latent").between(first, last)), matrices)
         if len(block.latent):
             yield block
 
 
+def blocks_of(
+    sae: DataFrame, max_bytes: int = MAX_BLOCK_BYTES, matrices: tuple[str, ...] = MATRICES
+) -> Iterator[Block]:
+    """The dictionary in ranges of latent ids that stay below ``max_bytes`` each.
+
+    Only the named matrices are read and counted; others stay empty.
+    """
+    return _blocks_in(sae, block_ranges(sae, max_bytes, matrices), matrices)
+
+
+def _per_block(
+    sae: DataFrame, max_bytes: int, matrices: tuple[str, ...], label: str, of: Callable[[Broadcast], DataFrame]
+) -> DataFrame:
+    """What ``of`` gives for each block, together; of several blocks each is written before the next is read."""
+    ranges = block_ranges(sae, max_bytes, matrices)
+    parts = []
+    for block in _blocks_in(sae, ranges, matrices):
+        shared = sae.sparkSession.sparkContext.broadcast(block)
+        part = of(shared)
+        if len(ranges) > 1:
+            part = materialize(part, label)
+            shared.destroy()
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _code(pre: np.ndarray, theta: np.ndarray, activation: str) -> np.ndarray:
     if activation == "jumprelu":
         return np.where(pre > theta, pre, 0.0)  # strictly above the threshold
@@ -142,11 +173,9 @@ def _strongest(
 
 
 def _encode_block(
-    acts: DataFrame, block: Block, b_dec: np.ndarray | None, keys: list[str],
+    acts: DataFrame, shared: Broadcast, b_dec: np.ndarray | None, keys: list[str],
     vector: str, activation: str, top: int | None,
 ) -> DataFrame:
-    shared = acts.sparkSession.sparkContext.broadcast(block)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
         step = max(1, _CELLS_PER_STEP // len(b.latent))
@@ -196,11 +225,10 @@ def sae_encode(
     keys. The overall ``top`` are always among them.
     """
     bias = None if b_dec is None else np.asarray(b_dec, dtype=np.float64)
-    parts = [
-        _encode_block(acts, block, bias, keys, vector, activation, top)
-        for block in blocks_of(sae, max_bytes, ("w_enc",))
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return _per_block(
+        sae, max_bytes, ("w_enc",), "codes",
+        lambda shared: _encode_block(acts, shared, bias, keys, vector, activation, top),
+    )
 
 
 def code_sums(
@@ -217,11 +245,9 @@ def code_sums(
     latent and no code leaves it. All functions share one pass per block.
     """
     bias = None if b_dec is None else np.asarray(b_dec, dtype=np.float64)
-    parts = []
-    for block in blocks_of(sae, max_bytes, ("w_enc",)):
-        shared = acts.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, shared=shared):
+    def of(shared: Broadcast) -> DataFrame:
+        def run(batches):
             b = shared.value
             step = max(1, _CELLS_PER_STEP // len(b.latent))
             n = np.zeros((len(activations), len(b.latent)), np.int64)
@@ -243,16 +269,15 @@ def code_sums(
                 names=["activation", "latent", "n", "total"],
             )
 
-        parts.append(
-            acts.select(vector).mapInArrow(run, "activation string, latent int, n long, total double")
-        )
-    return reduce(DataFrame.unionByName, parts).groupBy("activation", "latent").agg(
+        return acts.select(vector).mapInArrow(run, "activation string, latent int, n long, total double")
+
+    return _per_block(sae, max_bytes, ("w_enc",), "code-sums", of).groupBy("activation", "latent").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total")
     )
 
 
-def _decode_block(grouped: DataFrame, block: Block, keys: list[str]) -> DataFrame:
-    shared = grouped.sparkSession.sparkContext.broadcast(block)
+def _decode_block(grouped: DataFrame, shared: Broadcast, keys: list[str]) -> DataFrame:
+    """The keys and codes of ``grouped``, and what the block adds to its ``reconstruction``, if it has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
@@ -271,13 +296,16 @@ def _decode_block(grouped: DataFrame, block: Block, keys: list[str]) -> DataFram
                 z = np.zeros((len(codes), len(b.latent)))
                 values = cells.field("z").to_numpy(zero_copy_only=False)
                 z[row[mine], col[mine]] = values[mine]
+                decoded = z @ b.w_dec
+                if "reconstruction" in part.schema.names:
+                    decoded += to_matrix(part.column("reconstruction"))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in keys), from_matrix(z @ b.w_dec, pa.float64())],
-                    names=[*keys, "reconstruction"],
+                    [*(part.column(k) for k in kept), from_matrix(decoded, pa.float64())],
+                    names=[*kept, "reconstruction"],
                 )
 
-    kinds = dict(grouped.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "reconstruction array<double>"])
+    kinds, kept = dict(grouped.dtypes), [*keys, "codes"]
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in kept), "reconstruction array<double>"])
     return grouped.mapInArrow(run, schema)
 
 
@@ -295,20 +323,15 @@ def sae_decode(
     there as well and decode to the bias. A group holds the codes of one vector: at most as many as there are latents.
     """
     grouped = z.groupBy(*keys).agg(F.collect_list(F.struct("latent", "z")).alias("codes"))
-    parts = [_decode_block(grouped, block, keys) for block in blocks_of(sae, max_bytes, ("w_dec",))]
-    if len(parts) == 1:
-        decoded = parts[0]
-    else:
-        cells = (
-            reduce(DataFrame.unionByName, parts)
-            .select(*keys, F.posexplode("reconstruction").alias("dim", "x"))
-            .groupBy(*keys, "dim")
-            .agg(F.sum("x").alias("x"))
-        )
-        ordered = F.sort_array(F.collect_list(F.struct("dim", "x")))
-        decoded = cells.groupBy(*keys).agg(
-            F.transform(ordered, lambda c: c["x"]).alias("reconstruction")
-        )
+    ranges = block_ranges(sae, max_bytes, ("w_dec",))
+    decoded = grouped
+    for block in _blocks_in(sae, ranges, ("w_dec",)):
+        shared = sae.sparkSession.sparkContext.broadcast(block)
+        decoded = _decode_block(decoded, shared, keys)
+        if len(ranges) > 1:  # a written copy takes the place of the last one, without a shuffle
+            decoded = materialize(decoded, "decoded")
+            shared.destroy()
+    decoded = decoded.drop("codes")
     if every is not None:
         width = sae.select(F.size("w_dec").alias("n")).first()["n"]
         decoded = every.select(*keys).join(decoded, keys, "left").withColumn(
@@ -337,47 +360,64 @@ def sae_loss(
 ) -> DataFrame:
     """(n_rows, l0, reconstruction, loss): loss = reconstruction + weight * l0.
 
-    With the dictionary in one block each batch is encoded, decoded and summed
-    in place, and only sums leave a task.
+    Each batch is encoded and decoded in place. With the dictionary in one block
+    only sums leave a task; of several, each adds to the error of every vector,
+    which is written with the vector. No vector is shuffled.
     """
-    blocks = list(blocks_of(sae, max_bytes))
-    if len(blocks) == 1:
-        shared = acts.sparkSession.sparkContext.broadcast(blocks[0])
-        bias = None if b_dec is None else np.asarray(b_dec, dtype=np.float64)
+    bias = None if b_dec is None else np.asarray(b_dec, dtype=np.float64)
+
+    def coded(batches: Iterator[pa.RecordBatch], b: Block):
+        """Vectors around the bias, their number of active latents, and what they decode to."""
+        step = max(1, _CELLS_PER_STEP // len(b.latent))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x = to_matrix(part.column(vector))
+                centred = x if bias is None else x - bias
+                pre = centred @ b.w_enc.T + b.b_enc
+                z = np.where(pre > b.theta, pre, 0.0)
+                yield part, centred, np.count_nonzero(z, axis=1), z @ b.w_dec
+
+    ranges = block_ranges(sae, max_bytes)
+    if len(ranges) == 1:
+        shared = acts.sparkSession.sparkContext.broadcast(next(_blocks_in(sae, ranges, MATRICES)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            b = shared.value
-            step = max(1, _CELLS_PER_STEP // len(b.latent))
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    x = to_matrix(batch.column(0).slice(at, step))
-                    centred = x if bias is None else x - bias
-                    pre = centred @ b.w_enc.T + b.b_enc
-                    z = np.where(pre > b.theta, pre, 0.0)
-                    error = z @ b.w_dec - centred  # the decoder adds the bias back
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "n": [len(x)], "active": [int(np.count_nonzero(z))],
-                            "squared": [float((error * error).sum())],
-                        }
-                    )
+            for _, centred, active, decoded in coded(batches, shared.value):
+                error = decoded - centred  # the decoder adds the bias back
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "n": [len(error)], "active": [int(active.sum())],
+                        "squared": [float((error * error).sum())],
+                    }
+                )
 
         sums = acts.select(vector).mapInArrow(run, "n long, active long, squared double").agg(
             F.sum("n").alias("n"), F.sum("active").alias("a"), F.sum("squared").alias("s")
         )
     else:
-        z = sae_encode(acts, sae, keys, b_dec, vector=vector, max_bytes=max_bytes)
-        decoded = sae_decode(z, sae, keys, b_dec, max_bytes)
-        width = len(blocks[0].w_dec[0])
-        base = F.array(*[F.lit(float(v)) for v in (b_dec or [0.0] * width)])
-        gap = F.zip_with(
-            F.coalesce("reconstruction", base), vector, lambda y, x: y - x.cast("double")
-        )
-        errors = acts.join(decoded, keys, "left").agg(
-            F.count("*").alias("n"), F.sum(squared_norm(gap)).alias("s")
+        kind = dict(acts.dtypes)[vector]
+        state = acts.select(vector)
+        for block in _blocks_in(sae, ranges, MATRICES):
+            shared = acts.sparkSession.sparkContext.broadcast(block)
+
+            def add(batches, shared=shared):
+                for part, centred, active, decoded in coded(batches, shared.value):
+                    if "error" in part.schema.names:
+                        error = to_matrix(part.column("error")) + decoded
+                        active = active + part.column("active").to_numpy()
+                    else:
+                        error = decoded - centred
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(vector), from_matrix(error, pa.float64()), pa.array(active, pa.int64())],
+                        names=[vector, "error", "active"],
+                    )
+
+            state = materialize(state.mapInArrow(add, f"`{vector}` {kind}, error array<double>, active bigint"), "errors")
+            shared.destroy()
+        sums = state.agg(
+            F.count("*").alias("n"), F.sum("active").alias("a"), F.sum(squared_norm("error")).alias("s")
         )
-        active = z.count()
-        sums = errors.withColumn("a", F.lit(active))
     rec = F.col("s") / F.col("n")
     mean_active = F.col("a") / F.col("n")
     return sums.select(
@@ -463,11 +503,9 @@ def interference(
     The dictionary meets itself block by block inside the tasks; only pairs
     over the bound become rows.
     """
-    parts = []
-    for block in blocks_of(sae, max_bytes, ("w_dec",)):
-        shared = sae.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, shared=shared):
+    def of(shared: Broadcast) -> DataFrame:
+        def run(batches):
             b = shared.value
             step = max(1, _CELLS_PER_STEP // len(b.latent))
             for batch in batches:
@@ -482,8 +520,9 @@ def interference(
                         {"i": i[row], "j": b.latent[col], "overlap": overlap[row, col]}
                     )
 
-        parts.append(sae.select("latent", "w_dec").mapInArrow(run, "i int, j int, overlap double"))
-    return reduce(DataFrame.unionByName, parts)
+        return sae.select("latent", "w_dec").mapInArrow(run, "i int, j int, overlap double")
+
+    return _per_block(sae, max_bytes, ("w_dec",), "interference", of)
 
 
 def superposition(sae: DataFrame) -> DataFrame:

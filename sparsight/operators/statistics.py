@@ -332,6 +332,23 @@ def _summed(acts: DataFrame, column: str, of, rows: int, width: int) -> np.ndarr
     return out
 
 
+def leading_axes(acts: DataFrame, column: str, k: int, rounds: int = 2, seed: int = 42) -> np.ndarray:
+    """width x k (fewer where vectors are narrower): orthonormal axes that hold much of the squared length of the vectors.
+
+    From random directions, each round multiplies by the second moments in one
+    pass. For bounds any axes do, so the rounds are few and nothing is awaited.
+    """
+    width = acts.agg(F.max(F.size(column))).first()[0]
+    axes = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, min(k, width))))[0]
+    for _ in range(rounds):
+        shared = axes
+        image = _summed(acts, column, lambda x: x.T @ (x @ shared), width, shared.shape[1])
+        if not np.isfinite(image).all():
+            break
+        axes = np.linalg.qr(image)[0]
+    return axes
+
+
 def pca_fit_wide(
     acts: DataFrame, k: int = 2, column: str = "activation", seed: int = 42, block: int | None = None,
     rounds: int = 60, tolerance: float = 1e-8,

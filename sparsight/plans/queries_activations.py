@@ -8,7 +8,7 @@ from sparsight.functions.vectors import squared_norm
 from sparsight.operators.asof import as_of
 from sparsight.operators.filters import drop_special
 from sparsight.operators import (
-    autoencoder, balls, extraction, neighbours, ordering, packing, sharded_training, statistics, tokens,
+    autoencoder, balls, directions, extraction, neighbours, ordering, packing, sharded_training, statistics, tokens,
     training,
 )
 from sparsight.plans import flows
@@ -956,14 +956,23 @@ def dictionary_norm(spark: SparkSession, folder: str) -> DataFrame:
     return autoencoder.frobenius_norm(flows.dictionary(spark, folder))
 
 
-@query(f"""WITH {DICT},
+_OVERLAPS = f"""WITH {DICT},
 pairs AS (SELECT a.latent AS i, b.latent AS j, list_inner_product(a.w, b.w) AS overlap
           FROM dict a JOIN dict b ON a.latent < b.latent)
-SELECT i, j, {r('overlap', 'overlap')} FROM pairs WHERE abs(overlap) >= 0.2""")
+SELECT i, j, {r('overlap', 'overlap')} FROM pairs WHERE abs(overlap) >= 0.2"""
+
+
+@query(_OVERLAPS)
 def interference(spark: SparkSession, folder: str) -> DataFrame:
     return autoencoder.interference(flows.dictionary(spark, folder), 0.2)
 
 
+@query(_OVERLAPS)
+def close_directions(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pairs, most products spared where a few axes hold the directions."""
+    return directions.close_directions(flows.dictionary(spark, folder), 0.2)[0]
+
+
 @query()
 def superposition(spark: SparkSession, folder: str) -> DataFrame:
     return autoencoder.superposition(flows.dictionary(spark, folder))

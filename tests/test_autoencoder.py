@@ -316,3 +316,19 @@ def test_code_sums_are_those_of_the_codes(spark, case):
                 n, total = got.pop((name, r.latent))
                 assert n == r.n and total == pytest.approx(r.t)
         assert not got
+
+
+def test_several_blocks_shuffle_no_vector(spark, case):
+    x, w = case
+    df, d = acts(spark, x), dictionary(spark, w, 0.3)
+    small = 16 * 5 * 4
+    loss = sae.sae_loss(df, d, ["vec_id"], 0.01, max_bytes=small)
+    plan = loss._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    z = sae.sae_encode(df, d, ["vec_id"], max_bytes=small)
+    decoded = sae.sae_decode(z, d, ["vec_id"], max_bytes=small)
+    assert decoded.columns == ["vec_id", "reconstruction"]
+    plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+    hat = np.where(x @ w.T > 0.3, x @ w.T, 0.0) @ w
+    assert all(r.reconstruction == pytest.approx(hat[r.vec_id].tolist()) for r in decoded.collect())
