@@ -41,6 +41,8 @@ ENDINGS = (
 )
 
 _DIGIT_OF = {w: str(d) for d, words in enumerate(DIGITS) for w in words.split()}
+#: what patterns without case take for these letters, while ``lower`` does not
+_CASELESS = str.maketrans("İıſK", "iisk")
 _ENDINGS = frozenset(ENDINGS.split())
 _NOT_HOSTS = frozenset(("the", "a", "an"))
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -223,7 +225,7 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
             continue
         end = None
         for m in run:
-            start, digit = m.start(), _DIGIT_OF[m.group().lower()]
+            start, digit = m.start(), _DIGIT_OF[m.group().translate(_CASELESS).lower()]
             times = _REPEAT.search(text, max(0, start - 9), start)
             if times:
                 start, digit = times.start(), digit * (2 if times.group(1).lower() == "double" else 3)

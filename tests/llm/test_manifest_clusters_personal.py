@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparsight.llm import hilbert_clusters as hc, merkle_manifest as mm, midstates as sha, personal_data as pd
+from sparsight.llm import hilbert_clusters as hc, merkle_manifest as mm, midstates as sha, personal_data as pd, queries as llm_queries
 
 H = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
 # names that the operators use inside
@@ -284,3 +284,26 @@ def test_table_of_texts(spark):
     assert got == sorted((str(k), pd.spans(t or "")) for k, t in [*rows, rows[-1]])
     assert pd.personal_spans(df.where("false")).collect() == []
     assert df.limit(1).select(pd.joined(F.expr(f"cast(array() as array<{pd.SPAN}>)")).alias("x")).first().x == ""
+
+
+def test_letters_that_only_match_without_case(spark):
+    """``İ`` matches ``i`` but has another lower case: such words are digits too, and base spans are all there."""
+    text = "mail a@b.cd, +SİX ſEVEN nıne six six SİX NİNE six FİVE ſix"
+    base = [(5, "email", 11)]
+    found = pd.spans(text)
+    assert [(a, pd.KINDS[k], b) for a, k, b, added in found if not added] == base
+    assert [(a, pd.KINDS[k]) for a, k, _, added in found if added] == [(13, "phone")]
+    row = pd.personal_spans(extra(spark, [(1, text)], "doc_id bigint, text string")).first()
+    assert [tuple(s) for s in row.spans] == found
+
+
+def test_query_counts_each_kind(spark, tmp_path):
+    texts = ["a@b.cd, c@d.ef and 1.2.3.4", "+1 234 567 8901 or 4111 1111 1111 1111, a@b.cd", "1.2.3.4 5.6.7.8 9.9.9.9", "none", None]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    got = llm_queries.QUERIES["op13_personal_data"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got] == [
+        (2, 1, 0, 0), (1, 0, 1, 1), (0, 3, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0),
+    ]
