@@ -9,13 +9,14 @@ from sparsight.operators.filters import quality_strict
 from sparsight.plans import flows
 from sparsight.plans.catalogue import GOOD, LENGTHS, WORDS, query, r
 from sparsight.session import scratch_path
+from sparsight.sources.corpus import CORPUS_SCHEMA
 from sparsight.streaming import ingest
 
 BLOCK = 128
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.stream_corpus(spark, folder, "documents.parquet")
+    return ingest.stream_table(spark, folder, "documents.parquet", CORPUS_SCHEMA)
 
 
 def _run(
@@ -49,13 +50,8 @@ def streamed_words(spark: SparkSession, folder: str) -> DataFrame:
   {r('sqrt(avg(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))', 'rms')}
 FROM embeddings""")
 def streamed_rms(spark: SparkSession, folder: str) -> DataFrame:
-    acts = (
-        spark.readStream.schema("vec_id long, embedding array<float>, label int")
-        .option("pathGlobFilter", "embeddings.parquet")
-        .parquet(folder)
-        .withColumnRenamed("embedding", "activation")
-    )
-    return _run(ingest.running_rms(acts), spark, "complete")
+    given = ingest.stream_table(spark, folder, "embeddings.parquet", "vec_id long, embedding array<float>, label int")
+    return _run(ingest.running_rms(given.withColumnRenamed("embedding", "activation")), spark, "complete")
 
 
 @query(f"""WITH {LENGTHS},

@@ -17,9 +17,25 @@ from sparsight.sources.corpus import CORPUS_SCHEMA
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def stream_table(
+    spark: SparkSession, folder: str, table: str, schema: StructType | str, files_per_batch: int = 1_000
+) -> DataFrame:
+    """A stream over ``table`` in ``folder``, be it one file or a folder of files.
+
+    The last letter stands in brackets: a source takes a plain path for a
+    folder, while what a pattern finds may be either.
+    """
+    return (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(f"{folder}/{table[:-1]}[{table[-1]}]")
+    )
+
+
 def stream_corpus(
     spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = 1_000
 ) -> DataFrame:
+    """Files of documents as they arrive in ``folder``."""
     return (
         spark.readStream.schema(CORPUS_SCHEMA)
         .option("pathGlobFilter", pattern)

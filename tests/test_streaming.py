@@ -1,9 +1,13 @@
+import shutil
 import time
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from sparsight.functions import text
 from sparsight.operators.filters import quality_strict
+from sparsight.plans import queries_streaming
 from sparsight.streaming import ingest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -134,3 +138,21 @@ def test_running_rms(spark, tmp_path):
     query.awaitTermination()
     row = spark.table("rms").first()
     assert row.tokens == 2 and abs(row.rms - 12.5**0.5) < 1e-9
+
+
+@pytest.mark.parametrize("as_folder", [False, True])
+def test_queries_read_tables_of_one_file_or_of_a_folder(spark, tmp_path, as_folder):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    for name, table in (("documents", given), ("embeddings", vectors)):
+        if as_folder:
+            table.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+        else:
+            shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    folder, good = str(tmp_path), quality_strict(given)
+    assert queries_streaming.streamed_rms(spark, folder).first().tokens == vectors.count()
+    words = good.select(F.size(text.words(F.col("text"))).alias("n")).agg(F.count("*"), F.sum("n")).first()
+    blocks = queries_streaming.streamed_blocks(spark, folder).agg(F.sum("n_tokens"), F.sum("documents")).first()
+    assert blocks[0] == words[1] + 2 * words[0]
+    assert queries_streaming.streamed_shards(spark, folder).agg(F.sum("n_docs"), F.sum("n_keys")).first()[:] == (words[0],) * 2
+    assert queries_streaming.streamed_words(spark, folder).count() == words[1]
