@@ -191,8 +191,9 @@ def valid_explanation(explanation: Column) -> Column:
     return (n > 0) & (n < MAX_EXPLANATION_WORDS) & ~explanation.rlike(FORMATTING)
 
 
-def latent_keywords(z: DataFrame, m: int, token: str = "token_id") -> DataFrame:
-    """The ``m`` tokens that activate each latent most often."""
-    counts = z.groupBy("latent", token).agg(F.count("*").alias("n"), F.max("z").alias("max_z"))
+def latent_keywords(z: DataFrame, m: int, token: str = "token_id", weight: str | None = None) -> DataFrame:
+    """The ``m`` tokens that activate each latent most often; ``weight`` tells how often a row occurs."""
+    times = F.sum(weight) if weight else F.count("*")
+    counts = z.groupBy("latent", token).agg(times.alias("n"), F.max("z").alias("max_z"))
     order = Window.partitionBy("latent").orderBy(F.desc("n"), F.asc(token))
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m)

@@ -31,14 +31,19 @@ def _elements(acts: DataFrame, *keep: str, column: str = "activation") -> DataFr
     return acts.select(*keep, F.posexplode(column).alias("dim", "x"))
 
 
-def rms_stats(acts: DataFrame, *by: str) -> DataFrame:
-    """tokens, rms = sqrt(mean squared vector norm), and rms per element."""
-    total = F.sum(_x() * _x())
-    tokens = F.count_if(F.col("dim") == 0)
-    return _elements(acts, *by).groupBy(*by).agg(
-        tokens.alias("tokens"),
+def rms_stats(acts: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
+    """tokens, rms = sqrt(mean squared vector norm), and rms per element.
+
+    ``weight`` has the number of times that a vector stands for.
+    """
+    times = F.col(weight) if weight else F.lit(1).cast("long")
+    total = F.sum(_x() * _x() * times)
+    tokens = F.sum(F.when(F.col("dim") == 0, times).otherwise(F.lit(0).cast("long")))
+    keep = [*by, weight] if weight else by
+    return _elements(acts, *keep).groupBy(*by).agg(
+        F.coalesce(tokens, F.lit(0).cast("long")).alias("tokens"),
         F.sqrt(total / tokens).alias("rms"),
-        F.sqrt(total / F.count("*")).alias("rms_elem"),
+        F.sqrt(total / F.sum(times)).alias("rms_elem"),
     )
 
 

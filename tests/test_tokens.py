@@ -142,3 +142,21 @@ def test_shuffle_is_repeatable_and_complete(spark):
     assert order == [r.doc_id for r in ordering.shuffle(df.repartition(7)).collect()]
     placed = {r.doc_id: r.shuffled_idx for r in ordering.shuffle_index(df).collect()}
     assert [placed[d] for d in order] == list(range(100))
+
+
+def test_rare_words_are_coded_in_place_by_rows(spark):
+    """A vocabulary beyond the broadcast: repeated keys, unknown, long and null texts give the ids of the whole one."""
+    rows = [(1, "a b rare1 a b"), (1, "rare2 a rare1"), (None, "a rare3 unknown b"), (3, None), (4, ""), (5, "x" * 200 + " a zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = tokens.build_vocab(df).where("token <> 'unknown'").localCheckpoint()
+    whole = tokens.tokenize(df, vocab).collect()
+    split = tokens.tokenize(df, vocab, broadcast_words=1, head_words=2).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, split)) and len(split) == 6
+
+
+def test_counts_and_first_uses_against_all_rows(spark):
+    seqs = spark.createDataFrame([(7, [0, 5, 5, 6, 5, 1]), (3, [0, 6, 5, 6, 1]), (9, [0, 1]), (4, None)], "doc_id long, seq array<int>").coalesce(1)
+    rows = sorted((r.token_id, r.doc_id, r.tok_pos) for r in tokens.token_rows(seqs).collect() if r.token_id > 1)
+    assert sorted(tokens.token_counts(seqs).collect()) == [(5, 4), (6, 3)]
+    got = sorted((r.token_id, r.doc_id, r.tok_pos) for r in tokens.first_uses(seqs, 2).collect())
+    assert got == [r for k in (5, 6) for r in [x for x in rows if x[0] == k][:2]]
