@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from sparsight.functions import vectors as vx
+from sparsight.plans import flows
 from sparsight.operators import extraction, packing, tokens
 
 ROWS = [(1, [0, 5, 9, 1]), (2, [0, 6, 7, 8, 1]), (3, [0, 1]), (4, [0] + list(range(2, 40)) + [1])]
@@ -176,3 +177,19 @@ def test_lookup_takes_token_modulo(spark):
     got = extraction.lookup_activations(rows, table, 1).orderBy("tok_pos").collect()
     assert [r.activation for r in got] == [[2.0], [1.0]]
     assert got[0].asDict().keys() == {"doc_id", "tok_pos", "token_id", "activation"}
+
+
+def test_layers_come_from_the_model(spark):
+    """Rows of the corpus hold what the gated layers give, computed here in plain code, not the given vectors."""
+    folder = "/root/testdata/sf0.001"
+    sae = flows.dictionary(spark, folder).orderBy("latent").collect()
+    w = np.array([r.w_enc for r in sae])
+    gated = lambda x, gate, up: (x @ gate.T / (1 + np.exp(-(x @ gate.T))) * (x @ up.T)) @ w
+    first = gated(w, w, w[::-1])
+    second = gated(w + first, w[::-1], w)
+    table, n = flows.mlp_layers(spark, folder, (0, 1))
+    assert n == len(w) and table.count() == 2 * n
+    for r in table.collect():
+        assert np.allclose(r.activation, (first, second)[r.layer][r.vec_id], atol=1e-5)
+    rows = flows.mlp_rows(spark, folder, (1,)).limit(200).collect()
+    assert all(np.allclose(r.activation, second[r.token_id % n], atol=1e-5) for r in rows)
