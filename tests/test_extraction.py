@@ -193,3 +193,42 @@ def test_layers_come_from_the_model(spark):
         assert np.allclose(r.activation, (first, second)[r.layer][r.vec_id], atol=1e-5)
     rows = flows.mlp_rows(spark, folder, (1,)).limit(200).collect()
     assert all(np.allclose(r.activation, second[r.token_id % n], atol=1e-5) for r in rows)
+
+
+def test_the_model_runs_over_the_packed_blocks(spark, monkeypatch):
+    """A model whose vectors tell of the whole block: rows made from one run per id would not hold them."""
+    folder = "/root/testdata/sf0.001"
+
+    def telling(embedding, layers, kept):
+        def model(ids):
+            before = np.cumsum(ids, axis=1) % 1009
+            whole = np.stack([np.stack([before + k, np.full_like(ids, ids.shape[1])], axis=-1) for k in kept])
+            return whole if len(kept) > 1 else whole[0]
+
+        model.embedding = embedding
+        return model
+
+    monkeypatch.setattr(extraction, "GatedMlp", telling)
+    aligned = extraction.align_blocks(flows.blocks(spark, folder, keep_tail=True)).collect()
+    wanted = {
+        (d, p): (t, [float(c % 1009 + 1), float(len(b.ids))])
+        for b in aligned for d, p, t, c in zip(b.docs, b.positions, b.ids, np.cumsum(b.ids)) if t not in (0, 1)
+    }
+    rows = flows.mlp_rows(spark, folder, (1,)).collect()
+    assert {(r.doc_id, r.tok_pos): (r.token_id, r.activation) for r in rows} == wanted and len(rows) == len(wanted)
+    both = flows.mlp_rows(spark, folder, (0, 1), {"sum": lambda x: x.sum(axis=1)}).collect()
+    assert len(both) == 2 * len(wanted)
+    assert all(r["sum"] == sum(wanted[r.doc_id, r.tok_pos][1]) - 1 + r.layer for r in both)
+
+
+def test_every_token_goes_through_the_gated_layers():
+    """Outputs of the layers, in the order asked for, over more tokens than one stretch takes."""
+    w = np.random.default_rng(5).normal(0, 0.5, (7, 4))
+    ids = np.arange(2, 2 + 3 * 200).reshape(3, 200)
+    x = w[ids % 7]
+    gated = lambda x, gate, up: (x @ gate.T / (1 + np.exp(-(x @ gate.T))) * (x @ up.T)) @ w
+    first = gated(x, w, w[::-1])
+    second = gated(x + first, w[::-1], w)
+    layers = ((w, w[::-1], w), (w[::-1], w, w))
+    assert np.allclose(extraction.GatedMlp(w, layers, (1, 0))(ids), np.stack([second, first]))
+    assert np.allclose(extraction.GatedMlp(w, layers, (1,))(ids), second)
