@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparsight.operators.ordering import index_documents
+from sparsight.session import released_shuffles
 
 # Fixed values of the file layout.
 TARGET_BYTES = 1 << 29
 ROW_GROUP_ROWS = 8_192
 PAGE_BYTES = 1 << 20
+GROUP_BYTES = 1 << 25  # what a task holds of a shard before it writes a row group
 SPLIT_FORMAT = "train_%05d"
 
 
@@ -32,17 +36,122 @@ def name_shards(df: DataFrame, number: str, rows: int) -> DataFrame:
     return df.withColumn("split", F.format_string(SPLIT_FORMAT, F.expr(f"`{number}` div {int(rows)}")))
 
 
-def write_shards(df: DataFrame, path: str, mode: str = "append", clustered: bool = False) -> None:
+def write_shards(
+    df: DataFrame, path: str, mode: str = "append", clustered: bool = False, steps: Sequence[str] = ()
+) -> None:
     """One folder per split.
 
     Rows as ``assign_shards`` leaves them are ``clustered``: a task holds a
     range of keys and so whole splits but for its ends, and they are written
-    where they are. Otherwise one exchange brings each split into one task.
+    where they are, see ``_write_in_place``. Otherwise one exchange brings each
+    split into one task. Of ``steps``, whole numbers that hardly change from row
+    to row, the changes are stored.
     """
+    if clustered and mode == "append":
+        _write_in_place(df, path, steps)
+        return
     placed = df if clustered else df.repartition("split")
     placed.write.mode(mode).partitionBy("split").parquet(path)
 
 
+def _write_in_place(df: DataFrame, path: str, steps: Sequence[str]) -> None:
+    """Write rows into the folders of their splits as they come.
+
+    Spark's own writer sorts the rows of a task by split first, and with
+    vectors in them the sort goes to disk. Here a task has one file open at a
+    time and holds ``GROUP_BYTES`` of it. Files lie in a hidden folder until the
+    job is over, and only those of tasks that count are then moved.
+    """
+    spark = df.sparkSession
+    uri = _store_uri(spark, path)
+    job = uuid.uuid4().hex
+    hidden = f"{uri}/_{job}"
+    plain = {name for name, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")}
+    stepped = [c for c in steps if c in plain]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        store, root = fs.FileSystem.from_uri(hidden)
+        names = (f"{context.taskAttemptId()}-{i:05d}" for i in range(1 << 62))
+        split, name, writer, held, size = None, None, None, [], 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                writer.write_table(pa.Table.from_batches(held), row_group_size=1 << 62)
+            held, size = [], 0
+
+        for batch in batches:
+            for part in _runs(batch, "split"):
+                if writer is None or part[0] != split:
+                    if writer is not None:
+                        flush()
+                        writer.close()
+                        yield _written(split, name, context.partitionId())
+                    split, name = part[0], next(names)
+                    kept = part[1].schema
+                    writer = pq.ParquetWriter(
+                        f"{root}/{name}", kept, filesystem=store, compression="zstd", compression_level=1,
+                        data_page_size=PAGE_BYTES, column_encoding={c: "DELTA_BINARY_PACKED" for c in stepped},
+                        use_dictionary=[_leaf(f) for f in kept if f.name not in plain],
+                    )
+                held.append(part[1])
+                size += part[1].nbytes
+                if size >= GROUP_BYTES:
+                    flush()
+        if writer is not None:
+            flush()
+            writer.close()
+            yield _written(split, name, context.partitionId())
+
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(uri).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(hadoop(hidden))
+    try:
+        with released_shuffles(spark):
+            # a row per file
+            written = df.mapInArrow(write, "split string, file string, part int").collect()
+        for r in written:
+            folder = hadoop(f"{uri}/split={r.split}")
+            store.mkdirs(folder)
+            final = hadoop(folder, f"part-{r.part:05d}-{r.file}-{job}.parquet")
+            if not store.rename(hadoop(f"{hidden}/{r.file}"), final):
+                raise OSError(f"{hidden}/{r.file} could not be moved to {final.toString()}")
+    finally:
+        store.delete(hadoop(hidden), True)
+
+
+def _written(split: str, name: str, part: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {"split": [split], "file": [name], "part": pa.array([part], pa.int32())}
+    )
+
+
+def _runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Stretches of equal values of a column, without it."""
+    values = batch.column(column)
+    if values.null_count or not pc.all(pc.match_substring_regex(values, r"^[\w.-]+$")).as_py():
+        raise ValueError("the name of a split must be letters, digits, '_', '.' or '-'")
+    rest = batch.drop_columns([column])
+    ends = pc.indices_nonzero(pc.not_equal(values[1:], values[:-1])).to_numpy() + 1 if len(values) else []
+    for lo, hi in zip([0, *ends], [*ends, len(values)]):
+        if hi > lo:
+            yield values[int(lo)].as_py(), rest.slice(lo, hi - lo)
+
+
+def _leaf(field: pa.Field) -> str:
+    """Name by which the Parquet writer knows a column: that of its elements, if it is a list."""
+    return f"{field.name}.list.element" if pa.types.is_list(field.type) else field.name
+
+
+def _store_uri(spark: SparkSession, path: str) -> str:
+    """``path`` with its store: a bare one means the cluster's default store, not a task's own disk."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    uri = hadoop.getFileSystem(conf).makeQualified(hadoop).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and "://" not in uri else uri
+
+
 def rows_per_file(width: int, element_bytes: int = 2, target: int = TARGET_BYTES) -> int:
     return max(1, target // (width * element_bytes))
 
@@ -148,11 +257,7 @@ def write_vectors_f16(
     """
     width = df.select(F.size(vector).alias("n")).first()["n"]
     limit = rows_per_file(width, 2, target)
-    # a bare path means the cluster's default store, not a task's own disk
-    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    uri = hadoop.getFileSystem(conf).makeQualified(hadoop).toString()
-    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and "://" not in uri else uri
+    uri = _store_uri(df.sparkSession, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()

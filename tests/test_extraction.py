@@ -232,3 +232,53 @@ def test_every_token_goes_through_the_gated_layers():
     layers = ((w, w[::-1], w), (w[::-1], w, w))
     assert np.allclose(extraction.GatedMlp(w, layers, (1, 0))(ids), np.stack([second, first]))
     assert np.allclose(extraction.GatedMlp(w, layers, (1,))(ids), second)
+
+
+def test_sequences_numbered_and_stored_where_they_are_made(spark, tmp_path):
+    """Documents in blocks of three tokens: rows keep their numbers, their order and the bytes of their vectors."""
+    from sparsight.sources import shards
+
+    df = spark.createDataFrame(ROWS, "doc_id long, seq array<int>").repartition(3)
+    lengths = spark.createDataFrame([(d, len(q)) for d, q in ROWS], "doc_id long, n_tokens int")
+    aligned = extraction.align_sequences(extraction.number_sequences(df, lengths), 3)
+    net = network((1,))
+    made = extraction.extract_activations(aligned, net, as_bytes=True, rows_per_call=2)
+    named = shards.name_shards(extraction.succeeded(made).drop("block_id"), "row_id", 5)
+    shards.write_shards(named, str(tmp_path / "s"), clustered=True, steps=("row_id", "tok_pos"))
+    stored = spark.read.parquet(str(tmp_path / "s")).withColumn("activation", vx.f32_bytes_to_floats("activation"))
+    rows = stored.orderBy("row_id").collect()
+    assert [(r.row_id, r.doc_id, r.tok_pos, r.token_id) for r in rows] == [
+        (i, d, p, EXPECTED[d, p]) for i, (d, p) in enumerate(sorted(EXPECTED))]
+    assert all(r.split == f"train_{r.row_id // 5:05d}" for r in rows)
+    for r in rows:
+        assert r.activation == pytest.approx(net.table[1, r.token_id % 11], rel=1e-6, abs=1e-6)
+
+
+def test_the_dataset_is_stored_whole_and_small(spark, tmp_path):
+    """Every token has its vector; 256 bytes of floats each, of which equal vectors of a file share one."""
+    from sparsight.sources import shards
+
+    folder, path = "/root/testdata/sf0.001", str(tmp_path / "dataset")
+    stored = flows.activation_dataset(spark, folder, path, 30_000)
+    words = sum(len(r.seq) - 2 for r in flows.sequences(spark, folder).collect())
+    rows = stored.orderBy("row_id").collect()
+    assert [r.row_id for r in rows] == list(range(words))
+    assert {r.split for r in rows} == {f"train_{i // 30_000:05d}" for i in range(words)}
+    table, n = flows.mlp_layers(spark, folder, (0,))
+    vectors = {r.vec_id: r.activation for r in table.collect()}
+    assert all(np.allclose(r.activation, vectors[r.token_id % n], atol=1e-6) for r in rows[::101])
+    assert sum(shards.listed_files(spark, path)[1]) < 8 * words  # 39 bytes a row before
+
+
+def test_bytes_of_floats(spark):
+    x = np.random.default_rng(2).normal(size=(5, 3)).astype(np.float32)
+    data = [(i, bytearray(v.tobytes())) for i, v in enumerate(x)] + [(5, None), (6, bytearray())]
+    df = spark.createDataFrame(data, "i int, b binary").coalesce(1).select("i", vx.f32_bytes_to_floats("b").alias("v"))
+    got = {r.i: r.v for r in df.collect()}
+    assert got[5] is None and got[6] == [] and all(got[i] == x[i].tolist() for i in range(5))
+    parts = df.where("i < 5").select("i", vx.vector_parts("v").alias("p")).select("i", "p.*").collect()
+    for r in parts:
+        v = x[r.i].astype(float)
+        assert (r["first"], r.total, r.sq) == pytest.approx((v[0], v.sum(), (v * v).sum()))
+    with pytest.raises(Exception, match="another width"):
+        df.select(vx.vector_parts("v")).collect()

@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from sparsight.operators.joins import lookup_join
@@ -122,3 +123,32 @@ def test_lookup_join_splits_a_hot_key(spark):
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, salted.collect()))
     assert salted.count() == 300
+
+
+def test_clustered_rows_are_written_as_they_come(spark, tmp_path):
+    path = str(tmp_path / "s")
+    df = shards.assign_shards(vectors(spark, 1000), "vec_id", 100).withColumn("n", F.col("vec_id").cast("int"))
+    shards.write_shards(df, path, clustered=True, steps=("vec_id", "n"))
+    shards.write_shards(df, path, clustered=True)  # appends
+    back = spark.read.parquet(path)
+    twice = {tuple(map(str, r)): r["count"] for r in back.groupBy("vec_id", "n", "split", "activation").count().collect()}
+    wanted = {tuple(map(str, (r.vec_id, r.n, r.split, r.activation, 2))) for r in df.collect()}
+    assert set(twice) == wanted
+    assert {f.name for f in (tmp_path / "s").iterdir()} == {f"split=train_{i:05d}" for i in range(10)}
+    for file in (tmp_path / "s").glob("*/*.parquet"):
+        ids = pq.read_table(file, partitioning=None)["vec_id"].to_pylist()
+        assert ids == list(range(ids[0], ids[-1] + 1))
+
+
+def test_unordered_splits_and_failing_writes(spark, tmp_path):
+    path = str(tmp_path / "s")
+    df = spark.range(40).select("id", F.format_string("s%d", F.col("id") % 3).alias("split")).coalesce(1)
+    shards.write_shards(df, path, clustered=True)
+    back = spark.read.parquet(path)
+    assert sorted((r.id, r.split) for r in back.collect()) == [(i, f"s{i % 3}") for i in range(40)]
+    late = df.withColumn("id", F.when(F.col("id") == 39, F.raise_error(F.lit("late"))).otherwise(F.col("id")))
+    for bad in (late, df.withColumn("split", F.lit("a/b")), df.withColumn("split", F.lit(None).cast("string"))):
+        with pytest.raises(Exception, match="late|name of a split"):
+            shards.write_shards(bad, path, clustered=True)
+    assert spark.read.parquet(path).count() == 40
+    assert {f.name for f in (tmp_path / "s").iterdir() if f.name[0] not in "._"} == {"split=s0", "split=s1", "split=s2"}
