@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ TARGET_BYTES = 1 << 29
 ROW_GROUP_ROWS = 8_192
 PAGE_BYTES = 1 << 20
 GROUP_BYTES = 1 << 25  # what a task holds of a shard before it writes a row group
-SPLIT_FORMAT = "train_%05d"
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+SPLIT_PREFIX = "train_"  # before the number, of five digits at least
 
 
 def assign_shards(
@@ -33,11 +35,27 @@ def assign_shards(
 
 def name_shards(df: DataFrame, number: str, rows: int) -> DataFrame:
     """``split`` of ``rows`` rows each, for rows that ``number`` numbers without a gap."""
-    return df.withColumn("split", F.format_string(SPLIT_FORMAT, F.expr(f"`{number}` div {int(rows)}")))
+    n = F.expr(f"`{number}` div {int(rows)}")
+    # format_string would cost more per row than writing it
+    text = F.when(n.between(0, 99_999), F.lpad(n.cast("string"), 5, "0")).otherwise(n.cast("string"))
+    return df.withColumn("split", F.concat(F.lit(SPLIT_PREFIX), text))
+
+
+def named_batches(run: Run, number: str, rows: int, keep: Sequence[str]) -> Run:
+    """``run``, giving the columns ``keep`` and the ``split`` that ``name_shards`` gives."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            numbers, place = np.unique(batch.column(number).to_numpy() // rows, return_inverse=True)
+            splits = pa.array([f"{SPLIT_PREFIX}{n:05d}" for n in numbers], pa.string()).take(pa.array(place))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), splits], names=[*keep, "split"])
+
+    return named
 
 
 def write_shards(
-    df: DataFrame, path: str, mode: str = "append", clustered: bool = False, steps: Sequence[str] = ()
+    df: DataFrame, path: str, mode: str = "append", clustered: bool = False, steps: Sequence[str] = (),
+    through: Run | None = None,
 ) -> None:
     """One folder per split.
 
@@ -45,16 +63,19 @@ def write_shards(
     range of keys and so whole splits but for its ends, and they are written
     where they are, see ``_write_in_place``. Otherwise one exchange brings each
     split into one task. Of ``steps``, whole numbers that hardly change from row
-    to row, the changes are stored.
+    to row, the changes are stored. ``through`` makes the clustered rows from
+    those of ``df`` in the worker that writes them.
     """
     if clustered and mode == "append":
-        _write_in_place(df, path, steps)
+        _write_in_place(df, path, steps, through)
         return
+    if through is not None:
+        raise ValueError("only clustered rows can be made where they are appended")
     placed = df if clustered else df.repartition("split")
     placed.write.mode(mode).partitionBy("split").parquet(path)
 
 
-def _write_in_place(df: DataFrame, path: str, steps: Sequence[str]) -> None:
+def _write_in_place(df: DataFrame, path: str, steps: Sequence[str], through: Run | None = None) -> None:
     """Write rows into the folders of their splits as they come.
 
     Spark's own writer sorts the rows of a task by split first, and with
@@ -66,8 +87,6 @@ def _write_in_place(df: DataFrame, path: str, steps: Sequence[str]) -> None:
     uri = _store_uri(spark, path)
     job = uuid.uuid4().hex
     hidden = f"{uri}/_{job}"
-    plain = {name for name, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")}
-    stepped = [c for c in steps if c in plain]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -81,7 +100,7 @@ def _write_in_place(df: DataFrame, path: str, steps: Sequence[str]) -> None:
                 writer.write_table(pa.Table.from_batches(held), row_group_size=1 << 62)
             held, size = [], 0
 
-        for batch in batches:
+        for batch in through(batches) if through else batches:
             for part in _runs(batch, "split"):
                 if writer is None or part[0] != split:
                     if writer is not None:
@@ -90,9 +109,10 @@ def _write_in_place(df: DataFrame, path: str, steps: Sequence[str]) -> None:
                         yield _written(split, name, context.partitionId())
                     split, name = part[0], next(names)
                     kept = part[1].schema
+                    plain = [f.name for f in kept if pa.types.is_integer(f.type)]
                     writer = pq.ParquetWriter(
                         f"{root}/{name}", kept, filesystem=store, compression="zstd", compression_level=1,
-                        data_page_size=PAGE_BYTES, column_encoding={c: "DELTA_BINARY_PACKED" for c in stepped},
+                        data_page_size=PAGE_BYTES, column_encoding={c: "DELTA_BINARY_PACKED" for c in steps if c in plain},
                         use_dictionary=[_leaf(f) for f in kept if f.name not in plain],
                     )
                 held.append(part[1])
@@ -130,13 +150,16 @@ def _written(split: str, name: str, part: int) -> pa.RecordBatch:
 def _runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[str, pa.RecordBatch]]:
     """Stretches of equal values of a column, without it."""
     values = batch.column(column)
-    if values.null_count or not pc.all(pc.match_substring_regex(values, r"^[\w.-]+$")).as_py():
-        raise ValueError("the name of a split must be letters, digits, '_', '.' or '-'")
+    if values.null_count:
+        raise ValueError("a row without the name of a split")
     rest = batch.drop_columns([column])
     ends = pc.indices_nonzero(pc.not_equal(values[1:], values[:-1])).to_numpy() + 1 if len(values) else []
     for lo, hi in zip([0, *ends], [*ends, len(values)]):
         if hi > lo:
-            yield values[int(lo)].as_py(), rest.slice(lo, hi - lo)
+            name = values[int(lo)].as_py()
+            if not re.fullmatch(r"[\w.-]+", name, re.ASCII):
+                raise ValueError("the name of a split must be letters, digits, '_', '.' or '-'")
+            yield name, rest.slice(lo, hi - lo)
 
 
 def _leaf(field: pa.Field) -> str:

@@ -282,3 +282,28 @@ def test_bytes_of_floats(spark):
         assert (r["first"], r.total, r.sq) == pytest.approx((v[0], v.sum(), (v * v).sum()))
     with pytest.raises(Exception, match="another width"):
         df.select(vx.vector_parts("v")).collect()
+
+
+def test_rows_are_written_by_the_worker_that_makes_them(spark, tmp_path):
+    from sparsight.sources import shards
+
+    df = spark.createDataFrame(ROWS, "doc_id long, seq array<int>").repartition(3)
+    lengths = spark.createDataFrame([(d, len(q)) for d, q in ROWS], "doc_id long, n_tokens int")
+    aligned = extraction.align_sequences(extraction.number_sequences(df, lengths), 4)
+    keep = ("doc_id", "tok_pos", "token_id", "row_id", "activation")
+    run, _ = extraction.activation_run(network(), as_bytes=True, numbered=True)
+    shards.write_shards(aligned, str(tmp_path / "a"), clustered=True, through=shards.named_batches(run, "row_id", 5, keep))
+    made = extraction.extract_activations(aligned, network(), as_bytes=True)
+    shards.write_shards(shards.name_shards(made.select(*keep), "row_id", 5), str(tmp_path / "b"), clustered=True)
+    a, b = (spark.read.parquet(str(tmp_path / x)).orderBy("row_id") for x in "ab")
+    assert a.collect() == b.collect() and a.count() == len(EXPECTED)
+    with pytest.raises(ValueError, match="clustered"):
+        shards.write_shards(aligned, str(tmp_path / "c"), through=run)
+
+
+def test_names_of_shards(spark):
+    from sparsight.sources import shards
+
+    df = spark.createDataFrame([(i,) for i in (0, 9, 10, 999_999, 1_000_000, 12_345_678)], "n long")
+    assert [r.split for r in shards.name_shards(df, "n", 10).orderBy("n").collect()] == [
+        f"train_{i:05d}" for i in (0, 0, 1, 99_999, 100_000, 1_234_567)]
